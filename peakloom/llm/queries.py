@@ -7,9 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import new_path, table
+from .langid import identify
+from .lzprint import fingerprint
 from .mixing import mix
 from .sharding import shard
+from .tokencount import document_tokens
+from .warc import read_archives, revisits, write_archives
+
+
+def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    archived = read_archives(write_archives(revisits(pages), new_path(spark, "warc")))
+    return archived.select(
+        F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
+    )
+
+
+def op3_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_tokens(table(spark, sf_dir, "documents"), new_path(spark, "tokens"))
 
 
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,12 +40,17 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_virtual_slots": op6_virtual_slots, "op10_mix_sources": op10_mix_sources}
+    found = (op1_warc_dictionary, op3_lz_fingerprint, op5_token_counts, op6_virtual_slots, op7_language_id, op10_mix_sources)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
