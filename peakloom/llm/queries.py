@@ -11,6 +11,7 @@ from .common import new_path, table
 from .langid import identify
 from .lzprint import fingerprint
 from .mixing import mix
+from .ngramjoin import jaccard_components
 from .sharding import shard
 from .tokencount import document_tokens
 from .warc import read_archives, revisits, write_archives
@@ -44,12 +45,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc_dictionary, op3_lz_fingerprint, op5_token_counts, op6_virtual_slots, op7_language_id, op10_mix_sources)
+    found = (op1_warc_dictionary, op3_lz_fingerprint, op5_token_counts, op6_virtual_slots, op7_language_id, op9_ngram_jaccard, op10_mix_sources)
     return {f.__name__: f for f in found}
 
 
