@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate
 from .common import new_path, table
 from .langid import identify
 from .lzprint import fingerprint
@@ -26,6 +27,10 @@ def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint(table(spark, sf_dir, "documents"))
 
@@ -54,9 +59,9 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc_dictionary, op3_lz_fingerprint, op5_token_counts, op6_virtual_slots, op7_language_id, op9_ngram_jaccard, op10_mix_sources)
+    found = (op1_warc_dictionary, op2_decontaminate, op3_lz_fingerprint, op5_token_counts, op6_virtual_slots, op7_language_id, op9_ngram_jaccard, op10_mix_sources)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontaminate": decontaminate.ORACLE_SQL}
