@@ -14,6 +14,7 @@ from .lzprint import fingerprint
 from .mixing import mix
 from .ngramjoin import jaccard_components
 from .sharding import shard
+from .suffixdedup import without_repeats
 from .tokencount import document_tokens
 from .warc import read_archives, revisits, write_archives
 
@@ -50,6 +51,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc_dictionary, op2_decontaminate, op3_lz_fingerprint, op5_token_counts, op6_virtual_slots, op7_language_id, op9_ngram_jaccard, op10_mix_sources)
+    found = (op1_warc_dictionary, op2_decontaminate, op3_lz_fingerprint, op5_token_counts, op6_virtual_slots, op7_language_id, op8_suffix_dedup, op9_ngram_jaccard, op10_mix_sources)
     return {f.__name__: f for f in found}
 
 
