@@ -120,4 +120,4 @@ def count_tokens(files: DataFrame, separator: int = SEPARATOR, block_tokens: int
 def document_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS) -> DataFrame:
     """doc_id and n_tokens of every document, counted from token files that this writes under folder. Repeated ids give repeated rows."""
     files, places = write_token_files(docs, folder, id_col, text_col, tokenizers)
-    return places.join(count_tokens(files), ["path", "ordinal"]).select("doc_id", "n_tokens")
+    return places.hint("merge").join(count_tokens(files), ["path", "ordinal"]).select("doc_id", "n_tokens")
