@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import decontaminate
 from .common import new_path, table
 from .langid import identify
+from .licences import licences
 from .lzprint import fingerprint
 from .mixing import mix
 from .ngramjoin import jaccard_components
@@ -36,6 +37,15 @@ def op3_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand as files of their sources' trees, every eighth named as a licence file."""
+    n = F.col("doc_id")
+    name = F.when(n % 8 == 0, F.lit("LICENSE")).otherwise(F.concat(F.lit("doc"), n, F.lit(".txt")))
+    path = F.concat_ws("/", "source", F.floor(n / 512), F.floor(n / 64), name)
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return licences(files, carry=("doc_id",)).select("doc_id", "path", "own_licence", F.round("similarity", 6).alias("similarity"), "licence", "licence_dir")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_tokens(table(spark, sf_dir, "documents"), new_path(spark, "tokens"))
 
@@ -64,7 +74,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc_dictionary, op2_decontaminate, op3_lz_fingerprint, op5_token_counts, op6_virtual_slots, op7_language_id, op8_suffix_dedup, op9_ngram_jaccard, op10_mix_sources)
+    found = (op1_warc_dictionary, op2_decontaminate, op3_lz_fingerprint, op4_licences, op5_token_counts, op6_virtual_slots, op7_language_id, op8_suffix_dedup, op9_ngram_jaccard, op10_mix_sources)
     return {f.__name__: f for f in found}
 
 
