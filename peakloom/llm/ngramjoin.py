@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ GROWTH = 1.4
 SEEDS = 6
 #: Points in a leaf, and documents of a block compared by one task.
 LEAF, TILE = 32, 512
+#: Bits of the filter of shared block keys, whatever their number; a full one only lets more rows through.
+FILTER_BITS = 25
 #: Comparisons with one document that a task makes.
 STAR_ROWS = 2000
 
@@ -255,6 +258,39 @@ def _block_pairs(rows: DataFrame, similar: int) -> DataFrame:
     return dealt.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(task, "a long, b long").distinct()
 
 
+def _filter_places(keys) -> tuple:
+    """The two bits of the filter that a key sets, for columns and arrays alike."""
+    return keys & ((1 << FILTER_BITS) - 1), (keys >> FILTER_BITS) & ((1 << FILTER_BITS) - 1)
+
+
+def _key_filter(shared: DataFrame) -> np.ndarray:
+    """A Bloom filter of the keys, 2**FILTER_BITS bits, put together by the executors word by word."""
+    low = F.lit((1 << FILTER_BITS) - 1).cast("long")
+    places = F.array(F.col("key").bitwiseAND(low), F.shiftright("key", FILTER_BITS).bitwiseAND(low))
+    place = shared.select(F.explode(places).alias("place"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    words = place.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+
+def _members(sets: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, set_id) of all blocks, less most of those whose key the filter doesn't know."""
+    known = sets.sparkSession.sparkContext.broadcast(np.packbits(_key_filter(shared)))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(known.value).view(bool)
+        for b in batches:
+            keys = b.column(1).flatten().to_numpy()
+            ids = np.repeat(b.column(0).to_numpy(), pc.list_value_length(b.column(1)).to_numpy())
+            first, second = _filter_places(keys)
+            keep = bits[first] & bits[second]
+            yield pa.RecordBatch.from_pydict({"key": keys[keep], "set_id": ids[keep]})
+
+    return sets.filter("n_shingles > 0").select("set_id", "keys").mapInArrow(task, "key long, set_id long")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every document.
 
@@ -271,20 +307,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     sets = written(document_sets(docs, id_col, text_col, words, similar), "join-sets")
     classes = written(set_classes(sets), "join-classes")
-    member = sets.select(F.explode("keys").alias("key"), "set_id")
-    shared = member.groupBy("key").agg(F.min("set_id").alias("star"), F.max("set_id").alias("last")).filter("star < last").select("key", "star")
-    shared = written(shared, "join-blocks")
-    ties = member.join(if_small(shared), "key").filter("set_id <> star").groupBy("set_id", "star").agg(F.count(F.lit(1)).alias("n"))
-    first = ties.groupBy(F.col("set_id").alias("b")).agg(F.max_by("star", F.struct("n", "star")).alias("a"))
+    shared = sets.select(F.explode("keys").alias("key"), "set_id").groupBy("key").agg(F.min("set_id").alias("star"), F.max("set_id").alias("last"))
+    shared = written(shared.filter("star < last").select("key", "star"), "join-blocks")
+    inside = written(_members(sets, shared).join(if_small(shared), "key").distinct(), "join-inside")
+    first = inside.filter("set_id <> star").groupBy("set_id", "star").agg(F.count(F.lit(1)).alias("n"))
+    first = first.groupBy(F.col("set_id").alias("b")).agg(F.max_by("star", F.struct("n", "star")).alias("a"))
     edges = written(verified(docs, written(first, "join-pairs"), classes, id_col, text_col, words, similar), "join-links")
     comps = components(edges)
 
-    inside = sets.select(F.explode("keys").alias("key"), "set_id", "n_shingles", "point").join(if_small(shared.select("key")), "key")
-    inside = inside.groupBy("key", "set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point"))
-    inside = written(inside.join(if_small(comps), F.col("set_id") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "set_id")).drop("node"), "join-inside")
-    unlike = inside.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"))
+    placed = inside.select("key", "set_id").join(if_small(comps), F.col("set_id") == F.col("node"), "left").select("key", "set_id", F.coalesce("comp", "set_id").alias("comp"))
+    placed = written(placed, "join-placed")
+    unlike = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"))
     unlike = written(unlike.filter("low < high").select("key", F.ceil(F.col("n") / F.lit(TILE)).cast("int").alias("tiles")), "join-unlike")
-    pairs = written(_block_pairs(inside.join(if_small(unlike), "key"), similar), "join-pairs")
+    mixed = written(placed.join(if_small(unlike), "key"), "join-mixed")
+    points = sets.join(if_small(written(mixed.select("set_id").distinct(), "join-mixed-sets")), "set_id", "left_semi")
+    points = points.groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point"))
+    pairs = written(_block_pairs(mixed.join(points, "set_id"), similar), "join-pairs")
     more = written(verified(docs, pairs, classes, id_col, text_col, words, similar), "join-links")
     comps = components(edges.unionByName(more))
 
