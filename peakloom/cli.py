@@ -25,7 +25,6 @@ def parser() -> argparse.ArgumentParser:
     c = commands.add_parser("convert", help="spectra in Parquet to MGF files")
     c.add_argument("-p", "--parquet_dir", required=True)
     c.add_argument("-o", "--output")
-    c.add_argument("-c", "--spectra_capacity", type=int, default=CAPACITY)
     c.add_argument("-b", "--batch_size", type=int, default=100_000, help="taken for compatibility; Spark sizes its own batches")
     c.add_argument("-t", "--task_parallel", type=int, default=1, help="taken for compatibility; Spark's master decides")
     m = commands.add_parser("msp", help="clusters to an MSP library")
@@ -40,7 +39,9 @@ def parser() -> argparse.ArgumentParser:
         m.add_argument(f"--{name}", type=float, default=value)
     m.add_argument("--pepmass", default="lower_median", choices=PRECURSORS)
     m.add_argument("--msms_avg", default="weighted", choices=AVERAGES)
+    m.add_argument("--files", type=int, default=1, help="deal the library to so many files")
     for p in (c, m):
+        p.add_argument("-c", "--spectra_capacity", type=int, default=CAPACITY, help="spectra in an MGF file; the same for both commands")
         p.add_argument("--mode", default="append", choices=("append", "overwrite"))
     return top
 
@@ -52,7 +53,7 @@ def main(args: list[str] | None = None) -> None:
         jobs.convert(spark, given.parquet_dir, given.output, given.spectra_capacity, given.mode)
     else:
         options = {k: getattr(given, v) for k, v in OPTIONS[given.strategy_type].items()}
-        jobs.msp(spark, given.path_parquet, given.path_sdrf, given.path_cluster_tsv, given.output, given.strategy_type, given.mode, **options)
+        jobs.msp(spark, given.path_parquet, given.path_sdrf, given.path_cluster_tsv, given.output, given.strategy_type, given.mode, given.files, given.spectra_capacity, **options)
 
 
 if __name__ == "__main__":

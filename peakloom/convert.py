@@ -35,20 +35,22 @@ def convert(spark: SparkSession, parquet_dir: str, output: str | None = None, sp
 
 
 def clustered(spark: SparkSession, path_parquet: str, path_sdrf: str, path_cluster_tsv: str, spectra_capacity: int = CAPACITY) -> DataFrame:
-    """The assigned spectra, as strategies want them."""
+    """The assigned spectra, as strategies want them. An assignment to a place without a spectrum (as under another capacity) is an error."""
     spectra = attach_samples(with_usi(read_spectra(spark, path_parquet, scored=True)), read_samples(spark, path_sdrf))
     placed = place_in_files(spectra, spectra_capacity).withColumnRenamed("exp_mass_to_charge", "pepmass")
-    return join_clusters(read_assignments(spark, path_cluster_tsv), placed)
+    missing = F.raise_error(F.concat(F.lit("no spectrum at "), "mgf_path", F.lit(" "), F.col("mgf_order").cast("string"))).cast("string")
+    joined = join_clusters(read_assignments(spark, path_cluster_tsv), placed.withColumn("found", F.lit(True)))
+    return joined.withColumn("usi", F.when(F.col("found").isNull(), missing).otherwise(F.col("usi"))).drop("found")
 
 
-def msp(spark: SparkSession, path_parquet: str, path_sdrf: str, path_cluster_tsv: str, output: str, strategy_type: str = "best", mode: str = "append", files: int = 1, **options) -> None:
+def msp(spark: SparkSession, path_parquet: str, path_sdrf: str, path_cluster_tsv: str, output: str, strategy_type: str = "best", mode: str = "append", files: int = 1, spectra_capacity: int = CAPACITY, **options) -> None:
     """Reduce clusters to a library of consensus spectra, then single ones, in the file output.
 
     One file is one task's work; with files above 1 clusters are dealt to files <stem>_<k>.msp.
     """
     chosen = strategy(strategy_type, **options)
     ship_package(spark)
-    consensus, single = chosen.consensus_spectrum_aggregation(clustered(spark, path_parquet, path_sdrf, path_cluster_tsv))
+    consensus, single = chosen.consensus_spectrum_aggregation(clustered(spark, path_parquet, path_sdrf, path_cluster_tsv, spectra_capacity))
     folder, _, name = output.rpartition("/")
     part = (F.pmod(F.xxhash64("cluster_accession"), F.lit(files)) + 1).cast("string")
     path = F.lit(name) if files == 1 else F.concat(F.lit(f"{name.removesuffix('.msp')}_"), part, F.lit(".msp"))

@@ -13,8 +13,8 @@ URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 @F.pandas_udf(T.StringType())
 def float_text(values: pd.Series) -> pd.Series:
-    """The shortest decimal text of doubles as Python prints it, which Spark's cast does not give. Null stays null."""
-    return values.map(lambda v: repr(float(v)), na_action="ignore")
+    """The shortest decimal text of doubles as Python prints it, which Spark's cast does not give. Null and NaN give null."""
+    return pd.Series([None if pd.isna(v) else repr(float(v)) for v in values], dtype=object)
 
 
 @F.pandas_udf(T.StringType())
@@ -68,7 +68,7 @@ def stem(file_name: Column) -> Column:
 
 def instrument_name(described: Column) -> Column:
     """The value of the last item starting with NT= in a list separated by semicolons; without one, an error."""
-    item = F.element_at(F.filter(F.split(described, ";"), lambda i: i.startswith("NT=")), -1)
+    item = F.try_element_at(F.filter(F.split(described, ";"), lambda i: i.startswith("NT=")), F.lit(-1))
     missing = F.raise_error(F.concat(F.lit("no NT= item in instrument "), described)).cast("string")
     return F.when(item.isNull() & described.isNotNull(), missing).otherwise(F.substring(item, 4, 1 << 20))
 
