@@ -31,8 +31,8 @@ from .shingles import mix, shingle_sets
 
 #: Words in a shingle; the similarity in hundredths.
 WORDS, SIMILAR = 4, 85
-#: Coordinates of a document's point.
-GROUPS = 64
+#: Coordinates of a document's point, a power of two.
+GROUPS = 256
 #: Sizes are cut into classes, each reaching to GROWTH times the last one's end.
 GROWTH = 1.4
 #: Hashings tried until few groups are empty.
@@ -102,7 +102,16 @@ def block_keys(hashes: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
 
 def point(hashes: np.ndarray) -> np.ndarray:
     """How many shingles of a set fall into each group."""
-    return np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+    return np.bincount((hashes >> np.uint64(65 - GROUPS.bit_length())).astype(np.int64), minlength=GROUPS)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """A byte a coordinate where that is enough, else four."""
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def unpacked(points: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(p, np.uint8 if len(p) == GROUPS else np.uint32).astype(np.int32) for p in points])
 
 
 def pairs_in_block(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, similar: int = SIMILAR) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -147,7 +156,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int = WORD
                 sizes.append(len(h))
                 ids.append(mix(h * _SEED[1]).sum(dtype=np.uint64))
                 checks.append(mix(h * _SEED[2]).sum(dtype=np.uint64))
-                points.append(point(h).tobytes())
+                points.append(packed(point(h)))
                 keys.append(block_keys(h, similar))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = _signed(np.concatenate(keys)) if keys else np.empty(0, np.int64)
@@ -239,8 +248,7 @@ def _block_pairs(rows: DataFrame, similar: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(block: list[tuple]) -> Iterator[pa.RecordBatch]:
             ids, comps, sizes = (np.array(c, np.int64) for c in list(zip(*block, strict=True))[:3])
-            points = np.frombuffer(b"".join(r[3] for r in block), np.uint32).reshape(len(block), GROUPS).astype(np.int64)
-            for i, j in pairs_in_block(points, sizes, comps, similar):
+            for i, j in pairs_in_block(unpacked([r[3] for r in block]), sizes, comps, similar):
                 yield pa.RecordBatch.from_pydict({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
 
         at, block = None, []
@@ -291,6 +299,20 @@ def _members(sets: DataFrame, shared: DataFrame) -> DataFrame:
     return sets.filter("n_shingles > 0").select("set_id", "keys").mapInArrow(task, "key long, set_id long")
 
 
+def central_partners(inside: DataFrame) -> DataFrame:
+    """(a, b): for each set b the set a that is the centre of most of its blocks.
+
+    A block's centre is the member with the most neighbours, counted over all
+    its blocks: the text that a group of near copies was made from, if it is there.
+    """
+    sizes = inside.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    weighed = inside.join(sizes, "key")
+    scores = weighed.groupBy("set_id").agg(F.sum("n").alias("score"))
+    centres = inside.join(scores, "set_id").groupBy("key").agg(F.max_by("set_id", F.struct("score", "set_id")).alias("centre"))
+    ties = inside.join(centres, "key").filter("set_id <> centre").groupBy("set_id", "centre").agg(F.count(F.lit(1)).alias("n"))
+    return ties.groupBy(F.col("set_id").alias("b")).agg(F.max_by("centre", F.struct("n", "centre")).alias("a"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every document.
 
@@ -301,18 +323,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks miss none, no block is capped, and every pair that joins two
     components is compared exactly.
 
-    Round one compares each set with one other of its blocks; what then lies in
-    one component needs no more. Round two compares the pairs of unlike
+    Round one compares each set with the centre of most of its blocks; what then
+    lies in one component needs no more. Round two compares the pairs of unlike
     components inside the blocks left, through the tree of points.
     """
     sets = written(document_sets(docs, id_col, text_col, words, similar), "join-sets")
     classes = written(set_classes(sets), "join-classes")
-    shared = sets.select(F.explode("keys").alias("key"), "set_id").groupBy("key").agg(F.min("set_id").alias("star"), F.max("set_id").alias("last"))
-    shared = written(shared.filter("star < last").select("key", "star"), "join-blocks")
+    shared = sets.select(F.explode("keys").alias("key"), "set_id").groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"))
+    shared = written(shared.filter("low < high").select("key"), "join-blocks")
     inside = written(_members(sets, shared).join(if_small(shared), "key").distinct(), "join-inside")
-    first = inside.filter("set_id <> star").groupBy("set_id", "star").agg(F.count(F.lit(1)).alias("n"))
-    first = first.groupBy(F.col("set_id").alias("b")).agg(F.max_by("star", F.struct("n", "star")).alias("a"))
-    edges = written(verified(docs, written(first, "join-pairs"), classes, id_col, text_col, words, similar), "join-links")
+    first = written(central_partners(inside), "join-pairs")
+    edges = written(verified(docs, first, classes, id_col, text_col, words, similar), "join-links")
     comps = components(edges)
 
     placed = inside.select("key", "set_id").join(if_small(comps), F.col("set_id") == F.col("node"), "left").select("key", "set_id", F.coalesce("comp", "set_id").alias("comp"))
