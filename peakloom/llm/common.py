@@ -34,9 +34,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a written, narrow table of at most `most` rows; beyond that the plain shuffle join stays."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def if_small(df: DataFrame, most: int = BROADCAST_ROWS, items: str | None = None) -> DataFrame:
+    """A broadcast hint for a written, narrow table of at most `most` rows, or of so many items in an array column.
+
+    Beyond that the table keeps out of broadcasts and the join is a shuffle.
+    """
+    if items:
+        size = df.agg(F.sum(F.size(items) + 1)).first()[0] or 0
+    else:
+        size = df.limit(most + 1).count()
+    return F.broadcast(df) if size <= most else df.hint("merge")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,9 +25,9 @@ from .suffixes import common_prefixes, sorted_suffixes
 #: Bytes of a repeated string, and of the substrings that file it.
 LENGTH, GRAM = 400, 48
 #: Bytes sorted at once; contexts of one hash with more bytes than that are split by string instead.
-BLOCK_BYTES = 4 << 20
-#: Rows with spans of a text that are broadcast.
-SPAN_ROWS = 200_000
+BLOCK_BYTES = 2 << 20
+#: Cuts and spans (some 70 bytes each) that are broadcast together.
+BROADCAST_SPANS = 600_000
 
 _ODD = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(31).integers(1, 1 << 63, 256, np.uint64)
@@ -125,7 +125,7 @@ def _with_bytes(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str
     )
     rows = docs.select(F.col(id_col).alias("own_id"), *(c.alias(f"own_{n}") for n, c in zip("ab", _key(F.col(text_col)), strict=True)), F.col(text_col).alias("text"))
     joined = rows.join(
-        if_small(written(by_text, "suffix-cuts"), SPAN_ROWS),
+        if_small(written(by_text, "suffix-cuts"), BROADCAST_SPANS, "cuts"),
         F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_a") == F.col("text_a")) & (F.col("own_b") == F.col("text_b")),
     )
 
@@ -267,7 +267,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spans = written(repeated_spans(docs, id_col, text_col, length), "suffix-texts")
     rows = docs.select(F.col(id_col).alias("doc_id"), *_key(F.col(text_col)), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
-    joined = rows.join(if_small(spans, SPAN_ROWS), ["text_a", "text_b"], "left").select("doc_id", "data", "spans")
+    joined = rows.join(if_small(spans, BROADCAST_SPANS, "spans"), ["text_a", "text_b"], "left").select("doc_id", "data", "spans")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
