@@ -42,7 +42,7 @@ LEAF, TILE = 32, 512
 #: Bits of the filter of shared block keys, whatever their number; a full one only lets more rows through.
 FILTER_BITS = 25
 #: Comparisons with one document that a task makes.
-STAR_ROWS = 2000
+STAR_ROWS = 256
 
 _SEED = np.random.default_rng(11).integers(1, 1 << 63, SEEDS, np.uint64) | np.uint64(1)
 

@@ -14,6 +14,7 @@ from .licences import licences
 from .lzprint import fingerprint
 from .mixing import mix
 from .ngramjoin import jaccard_components
+from .oracles import oracle_sql  # noqa: F401
 from .sharding import shard
 from .suffixdedup import without_repeats
 from .tokencount import document_tokens
@@ -38,10 +39,11 @@ def op3_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents stand as files of their sources' trees, every eighth named as a licence file."""
+    """Documents stand as files of their sources' trees; every eighth is a licence file, some of them a directory higher."""
     n = F.col("doc_id")
     name = F.when(n % 8 == 0, F.lit("LICENSE")).otherwise(F.concat(F.lit("doc"), n, F.lit(".txt")))
-    path = F.concat_ws("/", "source", F.floor(n / 512), F.floor(n / 64), name)
+    leaf = F.when(n % 64 != 0, F.floor(n / 64))
+    path = F.concat_ws("/", "source", F.floor(n / 512), leaf, name)
     files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
     return licences(files, carry=("doc_id",)).select("doc_id", "path", "own_licence", F.round("similarity", 6).alias("similarity"), "licence", "licence_dir")
 
@@ -76,7 +78,3 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_warc_dictionary, op2_decontaminate, op3_lz_fingerprint, op4_licences, op5_token_counts, op6_virtual_slots, op7_language_id, op8_suffix_dedup, op9_ngram_jaccard, op10_mix_sources)
     return {f.__name__: f for f in found}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.ORACLE_SQL}
