@@ -277,18 +277,18 @@ def _key_filter(shared: DataFrame) -> np.ndarray:
     places = F.array(F.col("key").bitwiseAND(low), F.shiftright("key", FILTER_BITS).bitwiseAND(low))
     place = shared.select(F.explode(places).alias("place"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    words = place.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    words = place.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint8)
 
 
 def _members(sets: DataFrame, shared: DataFrame) -> DataFrame:
     """(key, set_id) of all blocks, less most of those whose key the filter doesn't know."""
-    known = sets.sparkSession.sparkContext.broadcast(np.packbits(_key_filter(shared)))
+    known = sets.sparkSession.sparkContext.broadcast(_key_filter(shared))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(known.value).view(bool)
+        bits = np.unpackbits(known.value, bitorder="little").view(bool)
         for b in batches:
             keys = b.column(1).flatten().to_numpy()
             ids = np.repeat(b.column(0).to_numpy(), pc.list_value_length(b.column(1)).to_numpy())
