@@ -17,7 +17,9 @@ from .operators.routing import cluster_counts, routed, singles, top_rows, with_n
 from .plans import AverageSpectrumStrategy, BestSpectrumStrategy, BinningStrategy, MostSimilarStrategy
 from .plans.common import header
 from .plans.most_similar import average_similarity, pair_similarities
-from .sources.spectra import sample_table
+from .session import new_path
+from .sources.sinks import write_blocks
+from .sources.spectra import read_spectra, sample_table, with_usi
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -326,3 +328,25 @@ select cluster_accession, concat_ws(chr(10), concat('Name: ', split_part(usi, ':
 def msp_block(spark, sf_dir):
     consensus, single = BestSpectrumStrategy().consensus_spectrum_aggregation(fx.spectra(spark, sf_dir))
     return msp_blocks(consensus.unionByName(single), "best").select("cluster_accession", "block")
+
+
+@query(f"""{_SAMPLES}, peaks as ({fx.PEAKS}), counted as (select scan_number, count(*) as n from peaks group by 1)
+select mgf_path, count(*) as spectra, cast(sum(n) as bigint) as peaks from positions join counted using (scan_number) group by 1""")
+def mgf_files(spark, sf_dir):
+    """Spectra through the MGF sink and back from the files' text."""
+    folder = new_path(spark, "mgf-files")
+    write_blocks(mgf_block(spark, sf_dir), folder, "mgf")
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.mgf").text(folder)
+    path = F.substring_index(F.url_decode(F.col("_metadata.file_path")), f"{folder.rsplit('/', 1)[1]}/", -1)
+    return lines.groupBy(path.alias("mgf_path")).agg(F.count_if(F.col("value") == "BEGIN IONS").alias("spectra"), F.count_if(F.col("value").rlike("^[0-9]")).alias("peaks"))
+
+
+@query(f"""{_PSM}, peaks as ({fx.PEAKS}), counted as (select scan_number, count(*) as n from peaks group by 1)
+select replace(usi, 'PXD000001', 'PXD7') as usi, charge, pepmass, global_qvalue, n from psm join counted using (scan_number)""")
+def scanned_spectra(spark, sf_dir):
+    """Spectra written as Parquet files in a directory parquet_files and found there again."""
+    folder = new_path(spark, "spectra-files")
+    named = fx.spectra(spark, sf_dir).withColumnRenamed("pepmass", "exp_mass_to_charge")
+    named.write.parquet(f"{folder}/parquet_files")
+    found = with_usi(read_spectra(spark, folder, scored=True, discover=True).withColumn("dataset", F.lit("PXD7")))
+    return found.select("usi", "charge", F.col("exp_mass_to_charge").alias("pepmass"), "global_qvalue", F.size("mz_array").cast("long").alias("n"))

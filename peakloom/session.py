@@ -1,18 +1,37 @@
-"""Ships this package to executors that don't have it installed."""
+"""What sessions share: the folder that all executors see, and this package's sources."""
 
 from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Used only where a local session (tests) names no folder.
+LOCAL_FOLDER = "file:///tmp/checkpoints"
+
 _shipped: set[str] = set()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; a local session without one gets its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return LOCAL_FOLDER
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that no other run has."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Add the package's sources to the session's Python files, once per application."""
     context = spark.sparkContext
