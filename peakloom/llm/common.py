@@ -1,32 +1,16 @@
-"""What the operators share: the folder all executors see, written tables, size-checked joins."""
+"""What the operators share: written tables and size-checked joins."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where a local session (tests) names no folder.
-LOCAL_FOLDER = "file:///tmp/checkpoints"
+from ..session import new_path
+
 #: Rows up to which a narrow table (at most some 50 bytes a row) is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local session without one gets its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return LOCAL_FOLDER
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, label)
