@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.peaks import PROTON, neutral_mass, peaks
-from .common import Strategy, header, with_peaks
+from .common import Strategy, clusters_of, mean, with_peaks
 
 PRECURSORS = ("naive_average", "neutral_average", "lower_median")
 AVERAGES = ("naive", "weighted")
@@ -24,7 +24,8 @@ class AverageSpectrumStrategy(Strategy):
 
     def segments(self, rows: DataFrame) -> DataFrame:
         """(cluster_accession, segment, mz, intensity) for every peak of a cluster's spectra. Without a gap all is segment 0."""
-        peak = rows.select("cluster_accession", F.explode(peaks(F.col("mz_array"), F.col("intensity_array"))).alias("p")).select("cluster_accession", "p.mz", "p.intensity")
+        spectrum = clusters_of(rows).select("cluster_accession", F.explode("spectra").alias("s"))
+        peak = spectrum.select("cluster_accession", F.explode(peaks(F.col("s.mz_array"), F.col("s.intensity_array"))).alias("p")).select("cluster_accession", "p.mz", "p.intensity")
         w = Window.partitionBy("cluster_accession").orderBy("mz", "intensity")
         opens = F.coalesce((F.col("mz") - F.lag("mz").over(w) >= self.gap).cast("int"), F.lit(0))
         cut = peak.withColumn("opens", opens).withColumn("segment", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
@@ -34,7 +35,7 @@ class AverageSpectrumStrategy(Strategy):
 
     def consensus_peaks(self, rows: DataFrame) -> DataFrame:
         """(cluster_accession, mz, intensity) of segments with enough peaks and within the dynamic range. A segment without intensity has a null m/z."""
-        sizes = rows.groupBy("cluster_accession").agg(F.count(F.lit(1)).alias("k"))
+        sizes = clusters_of(rows).select("cluster_accession", F.size("spectra").alias("k"))
         weighted = F.sum(F.col("mz") * F.col("intensity")) / F.nullif(F.sum("intensity"), F.lit(0.0))
         found = self.segments(rows).groupBy("cluster_accession", "segment").agg(
             F.count(F.lit(1)).alias("n"), F.sum("intensity").alias("total"), (weighted if self.msms_avg == "weighted" else F.avg("mz")).alias("mz")
@@ -43,21 +44,24 @@ class AverageSpectrumStrategy(Strategy):
         most = F.max("intensity").over(Window.partitionBy("cluster_accession"))
         return kept.withColumn("most", most).filter(F.col("intensity") >= F.col("most") / self.range).select("cluster_accession", "mz", "intensity")
 
-    def precursors(self, rows: DataFrame) -> DataFrame:
-        """(cluster_accession, pepmass, charge) in the chosen way."""
-        mass = neutral_mass(F.col("pepmass"), F.col("charge"))
-        group = rows.groupBy("cluster_accession")
+    def precursor(self) -> tuple[Column, Column]:
+        """Precursor m/z and charge from a cluster's spectra, in the chosen way."""
+        charges = F.col("spectra.charge")
+        masses = F.transform("spectra", lambda s: neutral_mass(s["pepmass"], s["charge"]))
         if self.pepmass == "naive_average":
             mixed = F.raise_error(F.lit("spectra of a cluster differ in charge: their precursor m/z can't be averaged")).cast("int")
-            return group.agg(F.avg("pepmass").alias("pepmass"), F.when(F.min("charge") != F.max("charge"), mixed).otherwise(F.min("charge")).alias("charge"))
+            return mean(F.col("spectra.pepmass")), F.when(F.array_min(charges) != F.array_max(charges), mixed).otherwise(F.array_min(charges))
         if self.pepmass == "neutral_average":
-            mean = group.agg(F.avg(mass).alias("m"), F.bround(F.avg("charge")).cast("int").alias("charge"))
-            return mean.select("cluster_accession", ((F.col("m") + F.col("charge") * PROTON) / F.col("charge")).alias("pepmass"), "charge")
-        by_mass = group.agg(F.array_sort(F.collect_list(F.struct(mass.alias("m"), "rk", "charge"))).alias("a"))
-        middle = F.element_at("a", (F.floor((F.size("a") - 1) / 2) + 1).cast("int"))
-        return by_mass.select("cluster_accession", middle.alias("s")).select(
-            "cluster_accession", ((F.col("s.m") + F.col("s.charge") * PROTON) / F.col("s.charge")).alias("pepmass"), F.col("s.charge").alias("charge")
-        )
+            z = F.bround(mean(charges)).cast("int")
+            return (mean(masses) + z * PROTON) / z, z
+        by_mass = F.array_sort(F.transform("spectra", lambda s: F.struct(neutral_mass(s["pepmass"], s["charge"]).alias("m"), s["rk"].alias("rk"), s["charge"].alias("z"))))
+        middle = F.element_at(by_mass, (F.floor((F.size("spectra") - 1) / 2) + 1).cast("int"))
+        return (middle["m"] + middle["z"] * PROTON) / middle["z"], middle["z"]
+
+    def precursors(self, rows: DataFrame) -> DataFrame:
+        """Each cluster's header with pepmass and charge."""
+        pepmass, charge = self.precursor()
+        return clusters_of(rows).select("cluster_accession", "Nreps", "posterior_error_probability", "usi", pepmass.alias("pepmass"), charge.alias("charge"))
 
     def consensus(self, rows: DataFrame) -> DataFrame:
-        return with_peaks(header(rows).join(self.precursors(rows), "cluster_accession"), self.consensus_peaks(rows))
+        return with_peaks(self.precursors(rows), self.consensus_peaks(rows))

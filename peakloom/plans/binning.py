@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.peaks import bin_count, bin_index, peaks
-from .common import Strategy, distinct_spectra, header, with_peaks
+from .common import Strategy, clusters_of, distinct_spectra, last_of_each, mean, with_peaks
 
 
 class BinningStrategy(Strategy):
@@ -41,14 +41,19 @@ class BinningStrategy(Strategy):
 
     def consensus_peaks(self, rows: DataFrame) -> DataFrame:
         """(cluster_accession, mz, intensity): means of the bins that enough spectra have a peak in."""
-        spectra = distinct_spectra(rows)
-        sizes = spectra.groupBy("cluster_accession").agg(F.ceil(F.count(F.lit(1)) * F.lit(self.quorum)).alias("quorum"))
+        clusters = clusters_of(rows)
+        spectra = distinct_spectra(clusters)
+        sizes = clusters.select("cluster_accession", F.ceil(F.size(F.array_distinct("spectra.usi")) * F.lit(self.quorum)).alias("quorum"))
         kept = self.merged(self.binned(spectra)).join(sizes, "cluster_accession").filter("n >= quorum")
         return kept.select("cluster_accession", (F.col("mz") / F.col("n")).alias("mz"), (F.col("intensity") / F.col("n")).alias("intensity"))
 
     def precursors(self, rows: DataFrame) -> DataFrame:
-        """(cluster_accession, pepmass, charge): mean precursor m/z and the first spectrum's charge."""
-        return distinct_spectra(rows).groupBy("cluster_accession").agg(F.avg("pepmass").alias("pepmass"), F.min_by("charge", "rk").alias("charge"))
+        """Each cluster's header with pepmass, the mean precursor m/z, and charge, the first spectrum's."""
+        last = last_of_each(F.col("spectra"))
+        first = F.filter(last, lambda s: s["usi"] == F.element_at("spectra.usi", 1))
+        return clusters_of(rows).select(
+            "cluster_accession", "Nreps", "posterior_error_probability", "usi", mean(last["pepmass"]).alias("pepmass"), F.element_at(first, 1)["charge"].alias("charge")
+        )
 
     def consensus(self, rows: DataFrame) -> DataFrame:
-        return with_peaks(header(rows).join(self.precursors(rows), "cluster_accession"), self.consensus_peaks(rows))
+        return with_peaks(self.precursors(rows), self.consensus_peaks(rows))

@@ -30,22 +30,41 @@ class Strategy:
         return as_consensus(self.consensus(rows), False), as_consensus(singles(clusters, filter_metrics), True)
 
 
-def ordered(value: Column) -> Column:
-    """Values of a cluster's rows in order; a cluster has ten rows at most here."""
-    return F.transform(F.array_sort(F.collect_list(F.struct("rk", value.alias("v")))), lambda s: s["v"])
+def clusters_of(rows: DataFrame) -> DataFrame:
+    """One row per cluster of routed rows: Nreps, least posterior_error_probability, joined usi, and its spectra, ten at most, in order.
 
+    Header and peaks both start here, so that one shuffle serves both.
+    """
+    fields = F.struct("rk", "usi", "pepmass", "charge", "mz_array", "intensity_array")
+    return rows.groupBy("cluster_accession").agg(
+        F.first("Nreps").alias("Nreps"), F.min("posterior_error_probability").alias("posterior_error_probability"), F.array_sort(F.collect_list(fields)).alias("spectra")
+    ).withColumn("usi", F.array_join("spectra.usi", ";"))
+
+
+def last_of_each(spectra: Column) -> Column:
+    """Of spectra with one usi the last, at its place."""
+    n = F.size(spectra)
+    return F.filter(spectra, lambda s, i: ~F.array_contains(F.slice(spectra["usi"], i + 2, n), s["usi"]))
 
-def distinct_spectra(rows: DataFrame) -> DataFrame:
-    """One row per usi: the last one's values at the first one's place."""
-    last = F.max_by(F.struct("pepmass", "charge", "mz_array", "intensity_array", "posterior_error_probability", "Nreps"), "rk")
-    return rows.groupBy("cluster_accession", "usi").agg(F.min("rk").alias("rk"), last.alias("row")).select("cluster_accession", "usi", "rk", "row.*")
+
+def distinct_spectra(clusters: DataFrame) -> DataFrame:
+    """A row per cluster and usi: the last one's values, rk of the first."""
+    first = F.array_position("spectra.usi", F.col("s.usi")).cast("int")
+    return (
+        clusters.withColumn("s", F.explode(last_of_each(F.col("spectra"))))
+        .select("cluster_accession", "s.usi", F.element_at("spectra.rk", first).alias("rk"), "s.pepmass", "s.charge", "s.mz_array", "s.intensity_array")
+    )
+
+
+def mean(values: Column) -> Column:
+    """Mean of an array without its nulls."""
+    known = F.filter(values, lambda v: v.isNotNull())
+    return F.try_divide(F.aggregate(known, F.lit(0.0), lambda total, v: total + v), F.size(known))
 
 
 def header(rows: DataFrame) -> DataFrame:
     """Nreps, least posterior_error_probability and the joined usi of each cluster, repeats included."""
-    return rows.groupBy("cluster_accession").agg(
-        F.first("Nreps").alias("Nreps"), F.min("posterior_error_probability").alias("posterior_error_probability"), F.array_join(ordered(F.col("usi")), ";").alias("usi")
-    )
+    return clusters_of(rows).select("cluster_accession", "Nreps", "posterior_error_probability", "usi")
 
 
 def listed_peaks(peaks: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import SIMILARITIES, similarity, similarity_sums
-from .common import Strategy, distinct_spectra
+from .common import Strategy, clusters_of, distinct_spectra, last_of_each
 
 
 class MostSimilarStrategy(Strategy):
@@ -17,9 +17,10 @@ class MostSimilarStrategy(Strategy):
 
     def winners(self, rows: DataFrame) -> DataFrame:
         """(cluster_accession, usi, total) of each cluster's first spectrum with the greatest summed similarity."""
-        fields = F.struct("rk", "usi", F.col("mz_array").cast("array<double>").alias("mz_array"), F.col("intensity_array").cast("array<double>").alias("intensity_array"))
-        lists = distinct_spectra(rows).groupBy("cluster_accession").agg(F.array_sort(F.collect_list(fields)).alias("s"))
-        summed = lists.withColumn("sums", similarity_sums(F.col("s"), self.tolerance, self.sim))
+        lists = clusters_of(rows).select("cluster_accession", "spectra", last_of_each(F.col("spectra")).alias("last"))
+        first = lambda s: F.array_position("spectra.usi", s["usi"])
+        placed = F.array_sort(F.transform("last", lambda s: F.struct(first(s).alias("place"), s["usi"].alias("usi"), s["mz_array"].alias("mz_array"), s["intensity_array"].alias("intensity_array"))))
+        summed = lists.select("cluster_accession", placed.alias("s")).withColumn("sums", similarity_sums(F.col("s"), self.tolerance, self.sim))
         at = F.array_position("sums", F.array_max("sums")).cast("int")
         return summed.select("cluster_accession", F.element_at("s.usi", at).alias("usi"), F.array_max("sums").alias("total"))
 
@@ -30,7 +31,7 @@ class MostSimilarStrategy(Strategy):
 
 def pair_similarities(rows: DataFrame, tolerance: float = 0.02, sim: str = "dot") -> DataFrame:
     """(cluster_accession, usi_a, usi_b, similarity) of the spectra of routed rows, earlier ones left, each with itself too."""
-    one = distinct_spectra(rows).select("cluster_accession", "usi", "rk", "mz_array", "intensity_array")
+    one = distinct_spectra(clusters_of(rows)).select("cluster_accession", "usi", "rk", "mz_array", "intensity_array")
     a = one.select("cluster_accession", *(F.col(c).alias(f"{c}_a") for c in one.columns[1:]))
     b = one.select("cluster_accession", *(F.col(c).alias(f"{c}_b") for c in one.columns[1:]))
     pairs = a.join(b, "cluster_accession").filter("rk_a <= rk_b")

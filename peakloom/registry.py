@@ -15,7 +15,7 @@ from .functions.similarity import fraction_by
 from .operators.layout import attach_samples, join_clusters, place_in_files
 from .operators.routing import cluster_counts, routed, singles, top_rows, with_nreps
 from .plans import AverageSpectrumStrategy, BestSpectrumStrategy, BinningStrategy, MostSimilarStrategy
-from .plans.common import header
+from .plans.common import clusters_of, distinct_spectra, header
 from .plans.most_similar import average_similarity, pair_similarities
 from .session import new_path
 from .sources.sinks import write_blocks
@@ -139,13 +139,13 @@ def peak_bins(spark, sf_dir):
 
 @query(f"{_BINS} select * from bins")
 def bin_sums(spark, sf_dir):
-    return BinningStrategy().binned(_many(spark, sf_dir))
+    return BinningStrategy().binned(distinct_spectra(clusters_of(_many(spark, sf_dir))))
 
 
 @query(f"{_MERGED} select * from merged")
 def bin_merge(spark, sf_dir):
     s = BinningStrategy()
-    return s.merged(s.binned(_many(spark, sf_dir)))
+    return s.merged(s.binned(distinct_spectra(clusters_of(_many(spark, sf_dir)))))
 
 
 @query(f"""{_MERGED}, sizes as (select cluster_accession, ceil(count(distinct usi) * cast(0.25 as double)) as q from many group by 1)
@@ -160,8 +160,7 @@ def bin_consensus_peaks(spark, sf_dir):
 @query(f"""{_ROUTED} select cluster_accession, round(avg(pepmass), 6) as pepmass, min(charge) as charge, max(nreps) as "Nreps",
 min(posterior_error_probability) as posterior_error_probability, string_agg(usi, ';' order by rk) as usi from many group by 1""")
 def bin_header(spark, sf_dir):
-    rows = _many(spark, sf_dir)
-    return header(rows).join(BinningStrategy().precursors(rows), "cluster_accession").withColumn("pepmass", F.round("pepmass", 6))
+    return BinningStrategy().precursors(_many(spark, sf_dir)).withColumn("pepmass", F.round("pepmass", 6))
 
 
 @query(f"{_SEGMENTS} select cluster_accession, segment, count(*) as n, sum(intensity) as total from segments group by 1, 2")
@@ -194,7 +193,7 @@ def avg_naive(spark, sf_dir):
 
 @query(f"{_ROUTED} select cluster_accession, round(avg(pepmass), 6) as pepmass, min(charge) as charge from many group by 1")
 def pep_naive(spark, sf_dir):
-    return AverageSpectrumStrategy(pepmass="naive_average").precursors(_many(spark, sf_dir)).withColumn("pepmass", F.round("pepmass", 6))
+    return AverageSpectrumStrategy(pepmass="naive_average").precursors(_many(spark, sf_dir)).select("cluster_accession", F.round("pepmass", 6).alias("pepmass"), "charge")
 
 
 _MASS = "pepmass * charge_mixed - charge_mixed * cast(1.00727646677 as double)"
@@ -204,7 +203,7 @@ _MASS = "pepmass * charge_mixed - charge_mixed * cast(1.00727646677 as double)"
 select cluster_accession, round((m + charge * cast(1.00727646677 as double)) / charge, 6) as pepmass, charge from m""")
 def pep_neutral(spark, sf_dir):
     rows = _many(spark, sf_dir).withColumn("charge", F.col("charge_mixed"))
-    return AverageSpectrumStrategy(pepmass="neutral_average").precursors(rows).withColumn("pepmass", F.round("pepmass", 6))
+    return AverageSpectrumStrategy(pepmass="neutral_average").precursors(rows).select("cluster_accession", F.round("pepmass", 6).alias("pepmass"), "charge")
 
 
 @query(f"""{_ROUTED}, m as (select cluster_accession, {_MASS} as m, charge_mixed as charge, rk from many),
@@ -212,7 +211,7 @@ o as (select *, row_number() over (partition by cluster_accession order by m, rk
 select cluster_accession, round((m + charge * cast(1.00727646677 as double)) / charge, 6) as pepmass, charge from o where r = (k - 1) // 2 + 1""")
 def pep_lower_median(spark, sf_dir):
     rows = _many(spark, sf_dir).withColumn("charge", F.col("charge_mixed"))
-    return AverageSpectrumStrategy(pepmass="lower_median").precursors(rows).withColumn("pepmass", F.round("pepmass", 6))
+    return AverageSpectrumStrategy(pepmass="lower_median").precursors(rows).select("cluster_accession", F.round("pepmass", 6).alias("pepmass"), "charge")
 
 
 @query(f"{_PAIRS} select cluster_accession, usi_a, usi_b, round(similarity, 9) as similarity from dots")
