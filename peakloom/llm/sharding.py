@@ -6,9 +6,10 @@ moves whole slots and no record is hashed anew.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import new_path
 from .common import written
 
 #: Virtual slots; a property of the data set that never changes. The map has exactly so many rows.
@@ -74,23 +75,42 @@ def grow_map(slot_map: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", n_slots: int = SLOTS) -> DataFrame:
+def store_map(slot_map: DataFrame, folder: str) -> None:
+    """Add one version to the maps kept in folder; older versions stay readable. A version that is there already is an error."""
+    version = slot_map.select("version").first()[0]
+    slot_map.drop("version").write.mode("error").parquet(f"{folder}/version={version}")
+
+
+def load_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """A version of the map kept in folder, the newest by default."""
+    maps = spark.read.parquet(folder)
+    wanted = maps.agg(F.max("version")).first()[0] if version is None else version
+    return maps.filter(F.col("version") == wanted)
+
+
+def place(records: DataFrame, slot_map: DataFrame) -> DataFrame:
+    """Add shard and slot, the place in the shard, to slot_records(), by any version of a map."""
+    before = F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot")) - F.col("rows")
+    located = slot_map.withColumn("before", before).select("vslot", "shard", "before")
+    within = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
+    return records.withColumn("within", within).join(F.broadcast(located), "vslot").withColumn("slot", F.col("before") + F.col("within") - 1).drop("before", "within")
+
+
+def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", n_slots: int = SLOTS, folder: str | None = None) -> DataFrame:
     """Place every record: doc_id, size, text_crc32, vslot, shard, slot (its place in the shard, gapless from 0), next_map_shard.
 
     Bytes are near equal over shards as far as slots allow: no shard is above
-    the mean by more than the heaviest slot. An empty input gives an empty
+    the mean by more than the heaviest slot. Versions 1 (the shards) and 2 (one
+    shard more) of the map are stored in folder. An empty input gives an empty
     result. Wholly equal rows are kept, each with a place of its own. Places
     come from a count within the record's slot and the map's row counts, so no
     task sorts more than the records of single slots.
     """
+    spark = docs.sparkSession
     records = written(slot_records(docs, id_col, text_col, n_slots), "shard-records")
-    first = written(build_map(slot_loads(records, n_slots), shards), "shard-map")
-    grown = grow_map(first, shards).select("vslot", F.col("shard").alias("next_map_shard"))
-    before = F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot")) - F.col("rows")
-    slot_map = first.withColumn("before", before).join(F.broadcast(grown), "vslot")
-    place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
-    return (
-        records.withColumn("place", place)
-        .join(F.broadcast(slot_map.select("vslot", "shard", "before", "next_map_shard")), "vslot")
-        .select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("before") + F.col("place") - 1).alias("slot"), "next_map_shard")
-    )
+    folder = folder or new_path(spark, "shard-maps")
+    store_map(build_map(slot_loads(records, n_slots), shards), folder)
+    first = load_map(spark, folder, 1)
+    store_map(grow_map(first, shards), folder)
+    grown = load_map(spark, folder).select("vslot", F.col("shard").alias("next_map_shard"))
+    return place(records, first).join(F.broadcast(grown), "vslot").select("doc_id", "size", "text_crc32", "vslot", "shard", "slot", "next_map_shard")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakloom.llm.mixing import mix, source_targets
-from peakloom.llm.sharding import build_map, grow_map, shard
+from peakloom.llm.sharding import build_map, grow_map, load_map, shard, store_map
 
 from .conftest import ODD, prose
 
@@ -48,6 +48,15 @@ def test_map_against_a_plain_fold(spark):
     assert all(r.shard in (want[r.vslot], 4) for r in grown.collect())
 
 
+def test_maps_are_kept_by_version(spark, tmp_path):
+    first = build_map(spark.createDataFrame([(i, i, 1) for i in range(20)], "vslot int, bytes long, rows long"), 2)
+    store_map(first, f"{tmp_path}/maps")
+    store_map(grow_map(load_map(spark, f"{tmp_path}/maps"), 2), f"{tmp_path}/maps")
+    assert {v: load_map(spark, f"{tmp_path}/maps", v).select("shard").distinct().count() for v in (1, 2)} == {1: 2, 2: 3}
+    with pytest.raises(Exception, match="(?i)already exists"):
+        store_map(first, f"{tmp_path}/maps")
+
+
 def plain_targets(sizes):
     """Shared by weight, capped, and the excess shared again until nothing is above."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
