@@ -27,7 +27,7 @@ LENGTH, GRAM = 400, 48
 #: Bytes sorted at once; contexts of one hash with more bytes than that are split by string instead.
 BLOCK_BYTES = 2 << 20
 #: Cuts and spans (some 70 bytes each) that are broadcast together.
-BROADCAST_SPANS = 600_000
+BROADCAST_SPANS = 1_200_000
 
 _ODD = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(31).integers(1, 1 << 63, 256, np.uint64)
@@ -253,7 +253,15 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
         .select("text_a", "text_b", "at", F.explode("spans").alias("s"))
         .select("text_a", "text_b", where(F.col("at") + F.col("s.low"), F.col("at") + F.col("s.high")).alias("span"))
     )
-    return whole.unionByName(parts).groupBy("text_a", "text_b").agg(F.collect_set("span").alias("spans"))
+    found = whole.unionByName(parts).groupBy("text_a", "text_b").agg(F.collect_set("span").alias("spans"))
+    return found.mapInArrow(_merged, found.schema)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of starts that touch become one; a text that repeats as a whole keeps a single one."""
+    for b in batches:
+        spans = [[{"low": x, "high": y - 1} for x, y in _joined(found, 1)] for found in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, _SPANS)], ["text_a", "text_b", "spans"])
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
