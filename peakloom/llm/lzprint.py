@@ -27,7 +27,7 @@ class _Powers:
     @classmethod
     def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n + 1:
-            size = 1 << (n + 1).bit_length()
+            size = (n + 0x10000) & ~0xFFFF
             cls.up, cls.down = (np.cumprod(np.append(np.ones(1, np.uint64), np.full(size, x, np.uint64))) for x in (_ODD, _INVERSE))
         return cls.up, cls.down
 

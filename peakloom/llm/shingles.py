@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _ODD = 0x9E3779B97F4A7C15
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -26,7 +26,7 @@ class _Powers:
     @classmethod
     def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n + 1:
-            size = 1 << (n + 1).bit_length()
+            size = (n + 0x10000) & ~0xFFFF
             cls.up, cls.down = (np.cumprod(np.append(np.ones(1, np.uint64), np.full(size, x, np.uint64))) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
         return cls.up, cls.down
 
