@@ -7,6 +7,8 @@ repeated), and what is left is dealt to shards.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +16,14 @@ from peakloom.llm import decontaminate
 from peakloom.llm.common import if_small, table, written
 from peakloom.llm.langid import UNDETERMINED, identify
 from peakloom.llm.mixing import mix
-from peakloom.llm.ngramjoin import jaccard_components
+from peakloom.llm.ngramjoin import SIMILAR, WORDS, jaccard_components
 from peakloom.llm.sharding import shard
 from peakloom.session import shipping
 
 #: A prediction below this score counts as none; chance alone gives 1 / languages.
 LEAST_SCORE = 0.3
+#: Near copies in the pipeline: words in a shingle and the similarity in hundredths.
+NEAR_WORDS, NEAR_SIMILAR = 5, 80
 SHARDS = 16
 
 
@@ -32,12 +36,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 @shipping
-def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component of links.
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """Keep the document with the smallest id of each component of links; the defaults are the join's own, STAGES has the pipeline's.
 
     Of rows that share an id one stays; rows without an id stay, for none can be named as another's copy.
     """
-    found = written(jaccard_components(docs), "pipeline-components")
+    found = written(jaccard_components(docs, words=words, similar=similar), "pipeline-components")
     dropped = written(found.filter("component_id <> doc_id").select("doc_id").distinct(), "pipeline-dropped")
     repeated = written(found.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select("doc_id"), "pipeline-repeated")
     left = docs.join(if_small(dropped), "doc_id", "left_anti")
@@ -68,7 +72,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", language_id),
-    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("ngram_jaccard_join", partial(ngram_jaccard_join, words=NEAR_WORDS, similar=NEAR_SIMILAR)),
     ("benchmark_decontamination", benchmark_decontamination),
     ("source_mixing", source_mixing),
     ("sharding", sharding),

@@ -50,8 +50,8 @@ def shipping(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """A query whose tasks can import this package wherever they run."""
 
     @functools.wraps(query)
-    def run(spark: SparkSession, *args) -> DataFrame:
+    def run(spark: SparkSession, *args, **options) -> DataFrame:
         ship_package(spark)
-        return query(spark, *args)
+        return query(spark, *args, **options)
 
     return run

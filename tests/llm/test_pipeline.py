@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline as p
+import numpy as np
 import pytest
 
 from peakloom.llm.langid import UNDETERMINED
+from peakloom.llm.ngramjoin import block_keys
 
 from .conftest import CLASHING, ODD, SCHEMA, prose, rows_of
 from .test_decontaminate import ITEM_ROWS, ITEMS, planted
@@ -49,6 +51,38 @@ def test_stages_take_effect_and_keep_the_columns(spark, corpus):
     assert max(Counter((r.doc_id, r.text) for r in fourth.collect()).values()) <= 3
 
 
+def close(a, b, words, similar):
+    a, b = (frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) for w in (a.split(), b.split()))
+    return 100 * len(a & b) >= similar * len(a | b)
+
+
+def test_the_join_stage_takes_five_words_and_four_fifths(spark, docs_of):
+    base, apart = prose(100, 31).split(), prose(100, 32).split()
+    two, three = list(base), list(apart)
+    two[30], two[60] = "changed", "again"
+    three[25], three[50], three[75] = "changed", "again", "more"
+    texts = [" ".join(x) for x in (base, two, apart, three)]
+    assert close(texts[0], texts[1], 5, 80) and not close(texts[0], texts[1], 4, 85) and not close(texts[2], texts[3], 5, 80)
+    docs = docs_of(enumerate(texts, 1))
+    left = dict(p.STAGES)["ngram_jaccard_join"](spark, docs, "")
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3, 4] and left.columns == docs.columns
+
+
+def test_linked_sets_share_a_block_at_four_fifths():
+    rng = np.random.default_rng(12)
+    linked = 0
+    for n in [*range(1, 40), 57, 96, 100, 180, 400, 999]:
+        for _ in range(12):
+            base = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+            more = rng.integers(0, 1 << 63, rng.integers(0, max(1, n // 5) + 1), np.uint64)
+            other = np.unique(np.concatenate([rng.permutation(base)[rng.integers(0, max(1, n // 5) + 1) :], more]))
+            common = len(np.intersect1d(base, other))
+            if common and 100 * common >= p.NEAR_SIMILAR * (len(base) + len(other) - common) and not np.array_equal(base, other):
+                linked += 1
+                assert len(np.intersect1d(block_keys(base, p.NEAR_SIMILAR), block_keys(other, p.NEAR_SIMILAR))), n
+    assert linked > 100
+
+
 def test_run(spark, corpus):
     rows = p.run(spark, corpus[0]).collect()
     assert rows and {r.shard for r in rows} <= set(range(p.SHARDS))
