@@ -1,8 +1,9 @@
 """Benchmark decontamination: SimHash over item-sized windows, Hamming blocks, exact weighted-shingle similarity.
 
-DataFrame functions only. A window is worth a fingerprint only if it shares a
-shingle with an item, for without one its similarity is 0; so the windows are
-those that an item's shingle lines up with the item's own words.
+DataFrame functions only. A window is worth a fingerprint only if it holds as
+many of an item's shingles as the similarity needs; so the windows are all those
+around runs of shared shingles that hold enough of them, lined up with the item
+or not.
 """
 
 from __future__ import annotations
@@ -86,12 +87,34 @@ def _anchors(docs: DataFrame, text_col: str, width: int, item_shingles: DataFram
     return found.join(if_small(item_shingles.filter(F.col("width") == width)), "shingle")
 
 
+def _starts(positions: Column, total: Column, n_words: Column, width: Column, similar: float) -> Column:
+    """The starts of all windows that hold enough of the positions (in order) of shared shingles to be `similar`, in order.
+
+    With sizes a and b of the window's and the item's shingles, c in common give
+    c / (a + b - c). A window that holds the needed number holds some position
+    and the ones after it; each position gives the starts that the one before didn't.
+    """
+    size = F.least(n_words, total) - width + 1
+    need = F.greatest(F.lit(1), F.ceil((size + n_words - width + 1) * similar / (1 + similar) - 1e-9).cast("int"))
+    last = F.greatest(F.lit(0), total - n_words)
+
+    def after(i: Column) -> Column:
+        known = F.least(F.coalesce(F.get(positions, i - 1), F.lit(-1)), last) + 1
+        low, high = F.greatest(known, F.get(positions, i + need - 1) - size + 1), F.least(F.get(positions, i), last)
+        return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+
+    runs = F.size(positions) - need
+    return F.when(runs >= 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(runs, F.lit(0))), after))).otherwise(F.array().cast("array<int>"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
     """(text_a, text_b, item_id, start, n_words, similarity): each distinct text's best window for each item that it leaks.
 
     A window has as many words as the item, or all of a shorter text's. Its
     shingles are compared with the item's as multisets. Null texts and items
-    without words leak nothing. Of equally similar windows the first counts.
+    without words leak nothing. Every window that can reach `similar` is looked
+    at. Of equally similar windows those count first that line up a shingle with
+    the item, and of these the first.
     The items' shingles are broadcast only if few; else they are joined by shuffle.
     """
     known = written(benchmark_items(items, item_id_col, item_text_col), "leak-items")
@@ -105,18 +128,28 @@ def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col
     ))
     item_shingles = written(exploded.select("item_id", "n_words", "width", "item_pos", "shingle"), "leak-shingles")
     anchors = reduce(DataFrame.unionByName, (_anchors(docs, text_col, w, item_shingles) for w in widths))
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("item_pos"), F.col("total") - F.col("n_words")))
-    windows = written(anchors.select("text_a", "text_b", "item_id", start.alias("start")).distinct(), "leak-windows")
+    aligned = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("item_pos"), F.col("total") - F.col("n_words")))
+    shared = written(
+        anchors.groupBy("text_a", "text_b", "item_id", "total", "n_words", "width").agg(F.collect_set("pos").alias("positions"), F.collect_set(aligned).alias("aligned")),
+        "leak-anchors",
+    )
+    starts = _starts(F.col("positions"), F.col("total"), F.col("n_words"), F.col("width"), similar)
+    windows = shared.withColumn("positions", F.array_sort("positions")).withColumn("starts", starts)
+    windows = windows.select("text_a", "text_b", "item_id", F.array_intersect("starts", "aligned").alias("lined"), F.array_except("starts", "aligned").alias("other"))
+    windows = written(windows, "leak-windows").filter(F.size("lined") + F.size("other") > 0)
 
     texts = docs.select(*_key(F.col(text_col)), F.col(text_col).alias("text")).join(
         if_small(written(windows.select("text_a", "text_b").distinct(), "leak-texts")), ["text_a", "text_b"], "left_semi"
     )
-    texts = texts.groupBy("text_a", "text_b").agg(F.first("text").alias("text"))
+    texts = texts.groupBy("text_a", "text_b").agg(F.first("text").alias("text")).select("text_a", "text_b", words_of(F.col("text")).alias("words"))
+    marked = lambda starts, lined: F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(lined).alias("lined")))
+    both = F.concat(marked("lined", True), marked("other", False))
     cut = (
         windows.join(texts, ["text_a", "text_b"])
+        .select("text_a", "text_b", "item_id", "words", F.explode(both).alias("at"))
         .join(if_small(known), "item_id")
-        .withColumn("words", F.slice(words_of(F.col("text")), F.col("start") + 1, F.col("n_words")))
-        .select("text_a", "text_b", "item_id", "start", "n_words", "width", "item_shingles", "item_print", "words")
+        .withColumn("words", F.slice("words", F.col("at.start") + 1, F.col("n_words")))
+        .select("text_a", "text_b", "item_id", "at.start", "at.lined", "n_words", "width", "item_shingles", "item_print", "words")
     )
     by_width = reduce(lambda c, w: c.when(F.col("width") == w, shingles(F.col("words"), w)), widths, F)
     prints = written(cut.withColumn("shingles", by_width).drop("words").withColumn("print", simhash(F.col("shingles"))), "leak-prints")
@@ -129,7 +162,7 @@ def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col
         .withColumn("similarity", weighted_jaccard(F.col("shingles"), F.col("item_shingles")))
         .filter(F.col("similarity") >= similar)
     )
-    best = F.max_by(F.struct("start", "n_words", "similarity"), F.struct("similarity", -F.col("start")))
+    best = F.max_by(F.struct("start", "n_words", "similarity"), F.struct("similarity", "lined", -F.col("start")))
     return verified.groupBy("text_a", "text_b", "item_id").agg(best.alias("best")).select("text_a", "text_b", "item_id", "best.start", "best.n_words", "best.similarity")
 
 

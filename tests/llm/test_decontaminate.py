@@ -69,3 +69,19 @@ def test_empty_sides(docs_of, none, spark):
     assert contaminated(none, items).count() == 0
     assert contaminated(docs_of(planted()), items.limit(0)).count() == 0
     assert clean(docs_of(planted()), items.limit(0)).count() == len(planted())
+
+
+def test_windows_between_two_alignments(docs_of, spark):
+    item, shorter = prose(100, 2001).split(), prose(60, 2002).split()
+    rows = [(1, " ".join(item)), (2, " ".join(shorter))]
+    docs = [
+        (1, " ".join(item[3:50] + prose(6, 2003).split() + item[50:97])), (2, prose(30, 2004) + " " + " ".join(item[3:50] + prose(6, 2005).split() + item[50:97]) + " " + prose(30, 2006)),
+        (3, prose(8, 2007) + " " + " ".join(shorter[:-2]) + " " + prose(8, 2008)), (4, " ".join(item[:80] + prose(30, 2009).split())),
+    ]
+    items = spark.createDataFrame([(*i, "x", "y") for i in rows], ITEMS)
+    found = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in contaminated(docs_of(docs), items).collect()}
+    want = brute(docs, rows)
+    assert want.keys() == {(1, 1), (2, 1), (3, 2)} and want[1, 1][0] == pytest.approx(86 / 106)
+    assert {k: pytest.approx(v[0]) for k, v in want.items()} == {k: v[0] for k, v in found.items()}
+    assert found[1, 1][1] == 0 and found[2, 1][1] == 30 and found[3, 2][1] == 8
+    assert [r.doc_id for r in clean(docs_of(docs), items).collect()] == [4]
