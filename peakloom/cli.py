@@ -39,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
         m.add_argument(f"--{name}", type=float, default=value)
     m.add_argument("--pepmass", default="lower_median", choices=PRECURSORS)
     m.add_argument("--msms_avg", default="weighted", choices=AVERAGES)
-    m.add_argument("--files", type=int, default=1, help="deal the library to so many files")
+    m.add_argument("--files", type=int, default=jobs.FILES, help="deal the library to so many files; 1: the file output itself")
     for p in (c, m):
         p.add_argument("-c", "--spectra_capacity", type=int, default=CAPACITY, help="spectra in an MGF file; the same for both commands")
         p.add_argument("--mode", default="append", choices=("append", "overwrite"))

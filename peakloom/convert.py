@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators.layout import CAPACITY, attach_samples, join_clusters, place_in_files
 from .plans import strategy
-from .session import ship_package
+from .session import ship_package, written
 from .sources.sinks import write_blocks
 from .sources.spectra import find_sample_sheet, read_assignments, read_samples, read_spectra, with_usi
 
+#: Files that a library is dealt to.
+FILES = 8
+
 
 def mgf_blocks(placed: DataFrame) -> DataFrame:
     """(file_path, ordinal, block) of spectra with usi, mgf_path and mgf_order."""
@@ -43,14 +46,15 @@ def clustered(spark: SparkSession, path_parquet: str, path_sdrf: str, path_clust
     return joined.withColumn("usi", F.when(F.col("found").isNull(), missing).otherwise(F.col("usi"))).drop("found")
 
 
-def msp(spark: SparkSession, path_parquet: str, path_sdrf: str, path_cluster_tsv: str, output: str, strategy_type: str = "best", mode: str = "append", files: int = 1, spectra_capacity: int = CAPACITY, **options) -> None:
-    """Reduce clusters to a library of consensus spectra, then single ones, in the file output.
+def msp(spark: SparkSession, path_parquet: str, path_sdrf: str, path_cluster_tsv: str, output: str, strategy_type: str = "best", mode: str = "append", files: int = FILES, spectra_capacity: int = CAPACITY, **options) -> None:
+    """Reduce clusters to a library of consensus spectra, then single ones.
 
-    One file is one task's work; with files above 1 clusters are dealt to files <stem>_<k>.msp.
+    Clusters are dealt to files <stem>_<k>.msp; with files=1 the file output holds all, which is one task's work.
     """
     chosen = strategy(strategy_type, **options)
     ship_package(spark)
-    consensus, single = chosen.consensus_spectrum_aggregation(clustered(spark, path_parquet, path_sdrf, path_cluster_tsv, spectra_capacity))
+    clusters = written(clustered(spark, path_parquet, path_sdrf, path_cluster_tsv, spectra_capacity), "clustered")
+    consensus, single = chosen.consensus_spectrum_aggregation(clusters)
     folder, _, name = output.rpartition("/")
     part = (F.pmod(F.xxhash64("cluster_accession"), F.lit(files)) + 1).cast("string")
     path = F.lit(name) if files == 1 else F.concat(F.lit(f"{name.removesuffix('.msp')}_"), part, F.lit(".msp"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.similarity import PROTON, WATER
+from .functions.similarity import RESIDUES as MASSES
+
 PSM = """
 select o_orderkey as scan_number, o_custkey as cluster_accession,
   cast(2 + o_custkey % 2 as integer) as charge, cast(2 + o_orderkey % 2 as integer) as charge_mixed,
@@ -32,6 +35,32 @@ select l_orderkey as scan_number,
   cast(sum(l_quantity) as double) as intensity
 from lineitem group by 1,2
 """
+#: Peaks 1/128 and more apart, closer than the tolerance: who takes which peak matters.
+DENSE = """
+select l_orderkey as scan_number,
+  100 + ((l_suppkey % 4)*6 + (l_linenumber-1) + (l_orderkey % 3))/cast(128 as double) as mz,
+  cast(sum(l_quantity) as double) as intensity
+from lineitem group by 1,2
+"""
+#: The n-th residue of an order's peptide of seven, as a place in RESIDUES.
+_PLACE = "cast((o_orderkey * 7919 + n * n * 104729 + n * 31) % 20 as integer)"
+RESIDUES = "ARNDCEQGHILKMFPSTWYV"
+_MASSES = ", ".join(f"({i}, '{r}', cast({MASSES[r]} as double))" for i, r in enumerate(RESIDUES))
+#: residues: a row per order and place n of its peptide, with the residue's letter and mass and the mass up to it.
+PEPTIDES = f"""
+numbers as (select * from (values (1), (2), (3), (4), (5), (6), (7)) as t(n)), masses as (select * from (values {_MASSES}) as t(place, letter, mass)),
+residues as (select o_orderkey as scan_number, cast(2 + o_orderkey % 2 as integer) as charge, n, letter, sum(mass) over (partition by o_orderkey order by n) as upto,
+  sum(mass) over (partition by o_orderkey) + cast({WATER} as double) as whole
+  from orders cross join numbers join masses on place = {_PLACE})
+"""
+#: A line item's peak: a b ion of its order's peptide, a y ion (of charge 1), the precursor, or 0.25 beside a b ion.
+FRAGMENTS = f"""
+select scan_number, mz, cast(sum(l_quantity) as double) as intensity from (
+  select l_orderkey as scan_number, l_quantity, case l_suppkey % 4 when 0 then upto + cast({PROTON} as double) when 1 then whole - upto + cast({PROTON} as double)
+    when 2 then whole / charge + cast({PROTON} as double) else upto + cast({PROTON} as double) + cast(0.25 as double) end as mz
+  from lineitem join residues on scan_number = l_orderkey and n = least(l_linenumber, 6)
+) as f group by 1, 2
+"""
 #: A sample sheet; the second line for run0 counts.
 SAMPLES = """
 select * from (values

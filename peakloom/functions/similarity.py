@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,49 +18,102 @@ RESIDUES = {
     "L": 113.08406, "K": 128.09496, "M": 131.04049, "F": 147.06841, "P": 97.05276, "S": 87.03203, "T": 101.04768, "W": 186.07931, "Y": 163.06333, "V": 99.06841,
 }
 WATER, PROTON = 18.01056, 1.00727646677
+#: Left peaks matched at once.
+PEAKS_AT_ONCE = 1 << 20
+
+
+class Spectra:
+    """Peak lists of a batch, end to end: m/z in order within each spectrum, intensities at Euclidean length 1 (all zero if there are none)."""
+
+    def __init__(self, mz: pa.ListArray, intensity: pa.ListArray):
+        sizes = pc.fill_null(pc.list_value_length(mz), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not np.array_equal(sizes, pc.fill_null(pc.list_value_length(intensity), 0).to_numpy(zero_copy_only=False)):
+            raise ValueError("m/z and intensity arrays differ in length")
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        spectrum = np.repeat(np.arange(len(sizes)), sizes)
+        values = [a.flatten().to_numpy(zero_copy_only=False).astype(float) for a in (mz, intensity)]
+        order = np.lexsort((values[0], spectrum))
+        self.mz, weight = (v[order] for v in values)
+        norm = np.sqrt(np.bincount(spectrum, weight * weight, len(sizes)))
+        self.weight = weight / np.where(norm > 0, norm, 1)[spectrum]
+        # every m/z by its rank among all, so that (spectrum, m/z) is one exact integer
+        self.ranked, rank = np.unique(self.mz, return_inverse=True)
+        self.keys = spectrum * (len(self.ranked) + 1) + rank
+
+
+def _reach(spectra: Spectra, x: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks from and below which an m/z is within the tolerance of x."""
+    values, top = np.append(spectra.ranked, np.inf), len(spectra.ranked)
+    low, high = np.searchsorted(values, x - tolerance), np.searchsorted(values[:-1], x + tolerance, "right")
+    while (off := (low < top) & (x - values[low] > tolerance)).any():  # x - tolerance was rounded down
+        low += off
+    while (off := (low > 0) & (x - values[low - 1] <= tolerance)).any():  # or up
+        low -= off
+    while (off := (high > 0) & (values[high - 1] - x > tolerance)).any():
+        high -= off
+    while (off := (high < top) & (values[high] - x <= tolerance)).any():
+        high += off
+    return low, high
+
+
+def _matched_products(spectra: Spectra, left: np.ndarray, right: np.ndarray, tolerance: float) -> np.ndarray:
+    sizes = spectra.first[left + 1] - spectra.first[left]
+    pair = np.repeat(np.arange(len(left)), sizes)
+    peak = np.arange(len(pair)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + spectra.first[left][pair]
+    low, high = _reach(spectra, spectra.mz[peak], tolerance)
+    base = right[pair] * (len(spectra.ranked) + 1)
+    low, high = np.searchsorted(spectra.keys, base + low), np.searchsorted(spectra.keys, base + high)
+    live = np.flatnonzero(low < high)
+    span = 2 * len(spectra.keys) + 2
+    while True:
+        # were all live peaks matched, each would take the place after the last one's or its own lowest, whichever is higher
+        count = np.arange(len(live))
+        ahead = low[live] - count + pair[live] * span
+        best = np.maximum.accumulate(ahead) if len(live) else ahead
+        taken = best - pair[live] * span + count
+        late = taken >= high[live]
+        if not late.any():
+            break
+        # a run starts where nothing before interferes; the first late peak of a run is free of doubt and goes
+        run = np.cumsum(np.concatenate([[True], best[1:] > best[:-1]]))
+        at = np.flatnonzero(late)
+        live = np.delete(live, at[np.unique(run[at], return_index=True)[1]])
+    return np.bincount(pair[live], spectra.weight[peak[live]] * spectra.weight[taken], len(left))
+
+
+def dot_products(spectra: Spectra, left: np.ndarray, right: np.ndarray, tolerance: float) -> np.ndarray:
+    """Sums of products of matched peaks for pairs of spectra.
+
+    Peaks match one to one: by ascending m/z each peak of the left spectrum
+    takes the lowest one of the right that is free and within the tolerance.
+    """
+    ends = np.cumsum(spectra.first[left + 1] - spectra.first[left])
+    out, at = [np.zeros(0)], 0
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PEAKS_AT_ONCE, "right")))
+        out.append(_matched_products(spectra, left[at:to], right[at:to], tolerance))
+        at = to
+    return np.concatenate(out)
 
 
-def normalised(intensity) -> np.ndarray:
-    x = np.asarray(intensity, float)
-    norm = np.sqrt((x * x).sum())
-    return x / norm if norm else x
-
-
-def matched_product(mz, weight, other_mz, other_weight, tolerance: float) -> float:
-    """Sum of products of matched peaks; each peak of the left list takes the lowest free one within reach."""
-    a, b = np.asarray(mz, float), np.asarray(other_mz, float)
-    if not len(a) or not len(b):
-        return 0.0
-    if (np.diff(a) > 2 * tolerance).all() and (np.diff(b) > 2 * tolerance).all():
-        at = np.searchsorted(b, a - tolerance)
-        near = np.minimum(at, len(b) - 1)
-        hit = (at < len(b)) & (np.abs(a - b[near]) <= tolerance)
-        return float((np.asarray(weight)[hit] * np.asarray(other_weight)[near[hit]]).sum())
-    j, score = 0, 0.0
-    for x, w in zip(a, weight, strict=True):
-        while j < len(b) - 1 and b[j] < x - tolerance:
-            j += 1
-        if j < len(b) and abs(x - b[j]) <= tolerance:
-            score += w * other_weight[j]
-            j += 1
-    return float(score)
-
-
-def dot_product(mz, intensity, other_mz, other_intensity, tolerance: float) -> float:
-    return matched_product(mz, normalised(intensity), other_mz, normalised(other_intensity), tolerance)
-
-
-#: Similarities by name.
-SIMILARITIES: dict[str, Callable] = {"dot": dot_product}
+#: Similarities by name: (spectra, left numbers, right numbers, tolerance) -> a number for each pair.
+SIMILARITIES: dict[str, Callable] = {"dot": dot_products}
 
 
 def similarity(mz: Column, intensity: Column, other_mz: Column, other_intensity: Column, tolerance: float = 0.02, sim: str = "dot") -> Column:
     """Similarity of two spectra in a row; null if any array is."""
     measure = SIMILARITIES[sim]
 
-    @F.pandas_udf(T.DoubleType())
-    def measured(a: pd.Series, x: pd.Series, b: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if any(v is None for v in row) else measure(*row, tolerance) for row in zip(a, x, b, y, strict=True)], dtype=float)
+    @F.arrow_udf(T.DoubleType())
+    def measured(a: pa.Array, x: pa.Array, b: pa.Array, y: pa.Array) -> pa.Array:
+        known = pc.and_(pc.and_(a.is_valid(), x.is_valid()), pc.and_(b.is_valid(), y.is_valid()))
+        a, x, b, y = (v.filter(known) for v in (a, x, b, y))
+        n = len(a)
+        found = measure(Spectra(pa.concat_arrays([a, b]), pa.concat_arrays([x, y])), np.arange(n), np.arange(n, 2 * n), tolerance)
+        out = np.full(len(known), np.nan)
+        here = known.to_numpy(zero_copy_only=False)
+        out[here] = found
+        return pa.array(out, mask=~here)
 
     return measured(mz, intensity, other_mz, other_intensity)
 
@@ -66,29 +121,39 @@ def similarity(mz: Column, intensity: Column, other_mz: Column, other_intensity:
 def similarity_sums(spectra: Column, tolerance: float = 0.02, sim: str = "dot") -> Column:
     """For an array of struct<..., mz_array, intensity_array> each one's summed similarity to all, itself included.
 
-    The earlier spectrum of a pair is always the left one; sums are rounded to 9 digits.
+    The earlier spectrum of a pair is always the left one; sums are rounded to
+    9 digits. Null peak lists count as empty.
     """
     measure = SIMILARITIES[sim]
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def summed(mz: pd.Series, intensity: pd.Series) -> pd.Series:
-        def sums(m, x) -> np.ndarray:
-            n = len(m)
-            table = np.zeros((n, n))
-            for i in range(n):
-                for j in range(i, n):
-                    table[i, j] = table[j, i] = measure(m[i], x[i], m[j], x[j], tolerance)
-            return table.sum(0).round(9)
-
-        return pd.Series([sums(m, x) for m, x in zip(mz, intensity, strict=True)])
-
-    return summed(F.transform(spectra, lambda s: s["mz_array"]), F.transform(spectra, lambda s: s["intensity_array"]))
-
-
-def explained_share(sequence: str | None, charge: int, precursor_mz: float, mz, intensity, tolerance: float) -> float:
-    """Share of intensity on singly charged b and y ions (and more highly charged, below the precursor's charge) once the precursor's peaks are gone."""
-    if not sequence:
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def summed(mz: pa.Array, intensity: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(mz), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        flat = Spectra(mz.flatten(), intensity.flatten())
+        # every spectrum with itself and those after it in its cluster
+        number = np.arange(first[-1])
+        after = np.repeat(first[1:], sizes) - number
+        left = np.repeat(number, after)
+        right = left + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
+        found = measure(flat, left, right, tolerance)
+        apart = left != right
+        sums = np.bincount(left, found, len(number)) + np.bincount(right[apart], found[apart], len(number))
+        return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sums.round(9)))
+
+    lists = lambda name: F.transform(spectra, lambda s: F.coalesce(s[name].cast("array<double>"), F.array().cast("array<double>")))
+    return summed(lists("mz_array"), lists("intensity_array"))
+
+
+def explained_share(sequence: str | None, charge: int, precursor_mz: float, mz, intensity, tolerance: float) -> float | None:
+    """Share of intensity on singly charged b and y ions (and more highly charged, below the precursor's charge) once the precursor's peaks are gone.
+
+    0 without a sequence or peaks; null if a residue's mass isn't known.
+    """
+    if not sequence or mz is None or intensity is None:
         return 0.0
+    if any(r not in RESIDUES for r in sequence):
+        return None
     mz, intensity = np.asarray(mz, float), np.asarray(intensity, float)
     mass = (precursor_mz - PROTON) * charge
     keep = np.ones(len(mz), bool)

@@ -6,22 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import if_small
 
 #: Spectra in a file.
 CAPACITY = 1_000_000
 
 
 def attach_samples(spectra: DataFrame, samples: DataFrame) -> DataFrame:
-    """Add organism and instrument by reference_file_name. A file without a sample is an error; samples are one small sheet per project."""
+    """Add organism and instrument by reference_file_name. A file without a sample is an error.
+
+    Samples are a small sheet per project; sheets beyond if_small()'s bound are joined by shuffle.
+    """
     known = samples.select("reference_file_name", "organism", "instrument", F.lit(True).alias("_known"))
-    joined = spectra.join(F.broadcast(known), "reference_file_name", "left")
+    joined = spectra.join(if_small(known), "reference_file_name", "left")
     missing = F.raise_error(F.concat(F.lit("no sample for file "), F.coalesce("reference_file_name", F.lit("null")))).cast("string")
     return joined.withColumn("organism", F.when(F.col("_known").isNull(), missing).otherwise(F.col("organism"))).drop("_known")
 
 
 def place_in_files(spectra: DataFrame, capacity: int = CAPACITY, order: str = "row_index", file: str = "file_stem") -> DataFrame:
-    """Add group_path, file_index (from 1), mgf_path and mgf_order (from 0): running positions by `order` within a source file and group."""
-    running = F.row_number().over(Window.partitionBy(file, "group_path").orderBy(order)) - 1
+    """Add group_path, file_index (from 1), mgf_path and mgf_order (from 0): running positions by `order` within a source file and group.
+
+    Two source files (column file_path, if there is one) of the same name would claim the same places: an error.
+    """
+    group = Window.partitionBy(file, "group_path")
+    running = F.row_number().over(group.orderBy(order)) - 1
+    if "file_path" in spectra.columns:
+        same = F.min("file_path").over(group) == F.max("file_path").over(group)
+        running = F.when(same, running).otherwise(F.raise_error(F.concat(F.lit("two files are named "), F.col(file))).cast("int"))
     return (
         spectra.withColumn("group_path", text.group_path(F.col("organism"), F.col("instrument"), F.col("charge")))
         .withColumn("_at", running.cast("long"))

@@ -29,7 +29,7 @@ def with_nreps(kept: DataFrame, df: DataFrame) -> DataFrame:
 
 
 def routed(df: DataFrame, metric: str = "global_qvalue", n: int = KEPT) -> DataFrame:
-    """Rows that strategies look at: all of a cluster up to n rows, else its n best; with Nreps, the full size, and rk, the order.
+    """Rows that strategies look at, at most n a cluster: all of a cluster up to n rows, else its n best; with Nreps, the full size, and rk, the order.
 
     The order is that of a column `rank`, where there is one, else by metric and usi.
     """
@@ -38,6 +38,6 @@ def routed(df: DataFrame, metric: str = "global_qvalue", n: int = KEPT) -> DataF
     return kept.withColumn("rk", F.row_number().over(Window.partitionBy("cluster_accession").orderBy(*first, F.col(metric).asc_nulls_last(), "usi")))
 
 
-def singles(df: DataFrame, metric: str = "global_qvalue") -> DataFrame:
-    """Rows that are alone in their cluster, with Nreps 1."""
-    return routed(df, metric).filter("Nreps = 1").drop("rk")
+def singles(rows: DataFrame) -> DataFrame:
+    """Routed rows that are alone in their cluster."""
+    return rows.filter("Nreps = 1").drop("rk")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators.routing import top_rows, with_nreps
-from .common import Strategy, as_consensus
+from .common import Strategy
 
 
 class BestSpectrumStrategy(Strategy):
-    def consensus_spectrum_aggregation(self, clusters: DataFrame, filter_metrics: str = "global_qvalue") -> tuple[DataFrame, DataFrame]:
-        best = with_nreps(top_rows(clusters.filter("cluster_accession is not null"), filter_metrics, 1), clusters)
-        return as_consensus(best.filter("Nreps > 1"), False), as_consensus(best.filter("Nreps = 1"), True)
+    kept = 1
+
+    def consensus(self, rows: DataFrame) -> DataFrame:
+        return rows.filter(F.col("rk") == 1)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.routing import routed, singles
+from ..operators.routing import KEPT, routed, singles
 from ..schemas import CONSENSUS
+from ..session import written
 
 
 def as_consensus(df: DataFrame, single: bool) -> DataFrame:
@@ -20,14 +21,19 @@ class Strategy:
     intensity_array, posterior_error_probability and the metric's column.
     """
 
+    kept = KEPT
+
     def consensus(self, rows: DataFrame) -> DataFrame:
         """One row per cluster from routed rows."""
         raise NotImplementedError
 
     def consensus_spectrum_aggregation(self, clusters: DataFrame, filter_metrics: str = "global_qvalue") -> tuple[DataFrame, DataFrame]:
-        """(consensus spectra, spectra alone in their cluster), both in one schema."""
-        rows = routed(clusters, filter_metrics).filter("Nreps > 1")
-        return as_consensus(self.consensus(rows), False), as_consensus(singles(clusters, filter_metrics), True)
+        """(consensus spectra, spectra alone in their cluster), both in one schema.
+
+        Rows are routed once, into a table with at most `kept` rows a cluster, from which both are read.
+        """
+        rows = written(routed(clusters, filter_metrics, self.kept), "routed")
+        return as_consensus(self.consensus(rows.filter("Nreps > 1")), False), as_consensus(singles(rows), True)
 
 
 def clusters_of(rows: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cli
 from . import fixtures as fx
 from .convert import mgf_blocks, msp_blocks
 from .functions import text
 from .functions.peaks import bin_index, l2_normalised
-from .functions.similarity import fraction_by
+from .functions.similarity import PROTON, fraction_by
 from .operators.layout import attach_samples, join_clusters, place_in_files
 from .operators.routing import cluster_counts, routed, singles, top_rows, with_nreps
 from .plans import AverageSpectrumStrategy, BestSpectrumStrategy, BinningStrategy, MostSimilarStrategy
@@ -19,7 +20,7 @@ from .plans.common import clusters_of, distinct_spectra, header
 from .plans.most_similar import average_similarity, pair_similarities
 from .session import new_path
 from .sources.sinks import write_blocks
-from .sources.spectra import read_spectra, sample_table, with_usi
+from .sources.spectra import SAMPLE_COLUMNS, find_sample_sheet, read_samples, read_spectra, sample_table, with_usi
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,7 +52,9 @@ _PAIRS = f"""{_ROUTED}, peaks as ({fx.SPACED}),
 norms as (select scan_number, sqrt(sum(intensity * intensity)) as norm from peaks group by 1),
 unit as (select p.scan_number, mz, intensity / norm as w from peaks p join norms using (scan_number)),
 pair as (select a.cluster_accession, a.usi as usi_a, b.usi as usi_b, a.scan_number as sa, b.scan_number as sb, a.rk as ra, b.rk as rb from many a join many b on a.cluster_accession = b.cluster_accession and a.rk <= b.rk),
-product as (select sa, sb, sum(x.w * y.w) as d from pair join unit x on x.scan_number = sa join unit y on y.scan_number = sb and abs(x.mz - y.mz) <= cast(0.02 as double) group by 1, 2),
+lists as (select scan_number, list({{'mz': mz, 'w': w}} order by mz) as p from unit group by 1),
+product as (select sa, sb, list_sum(flatten(list_transform(x.p, lambda a: list_transform(list_filter(y.p, lambda b: abs(a.mz - b.mz) <= cast(0.02 as double)), lambda b: a.w * b.w)))) as d
+  from pair join lists x on x.scan_number = sa join lists y on y.scan_number = sb),
 dots as (select pair.*, coalesce(d, 0) as similarity from pair left join product using (sa, sb)),
 sums as (select cluster_accession, usi, rk, round(sum(similarity), 9) as total from (
   select cluster_accession, usi_a as usi, ra as rk, similarity from dots union all select cluster_accession, usi_b, rb, similarity from dots where ra < rb) group by 1, 2, 3),
@@ -94,7 +97,7 @@ def cluster_sizes(spark, sf_dir):
 
 @query(f'{_ROUTED} select cluster_accession, usi, nreps as "Nreps" from routed where nreps = 1')
 def route_single(spark, sf_dir):
-    return singles(_psm(spark, sf_dir)).select("cluster_accession", "usi", "Nreps")
+    return singles(routed(_psm(spark, sf_dir))).select("cluster_accession", "usi", "Nreps")
 
 
 @query(f'{_ROUTED} select cluster_accession, usi, nreps as "Nreps" from routed where nreps between 2 and 10')
@@ -219,6 +222,21 @@ def pair_dot(spark, sf_dir):
     return pair_similarities(_many(spark, sf_dir, fx.SPACED)).withColumn("similarity", F.round("similarity", 9))
 
 
+@query(f"""with recursive {_ROUTED.removeprefix("with ")}, peaks as ({fx.DENSE}),
+norms as (select scan_number, sqrt(sum(intensity * intensity)) as norm from peaks group by 1),
+lists as (select scan_number, list({{'mz': mz, 'w': intensity / norm}} order by mz) as p from peaks join norms using (scan_number) group by 1),
+pair as (select a.cluster_accession, a.usi as usi_a, b.usi as usi_b, x.p as p, y.p as q from many a join many b on a.cluster_accession = b.cluster_accession
+  join lists x on x.scan_number = a.scan_number join lists y on y.scan_number = b.scan_number where a.rk < b.rk),
+walk as (select cluster_accession, usi_a, usi_b, p, q, cast(0 as double) as similarity from pair
+  union all select cluster_accession, usi_a, usi_b, p[2:], case when k is null then q else list_concat(q[:k - 1], q[k + 1:]) end, similarity + case when k is null then 0 else p[1].w * q[k].w end
+  from (select *, list_position(list_transform(q, lambda b: abs(p[1].mz - b.mz) <= cast(0.02 as double)), true) as k from walk where len(p) > 0))
+select cluster_accession, usi_a, usi_b, round(similarity, 9) as similarity from walk where len(p) = 0""")
+def pair_dot_dense(spark, sf_dir):
+    """Peaks closer than the tolerance; the SQL takes the left peaks one by one and removes what they take."""
+    pairs = pair_similarities(_many(spark, sf_dir, fx.DENSE)).filter("usi_a <> usi_b")
+    return pairs.withColumn("similarity", F.round("similarity", 9))
+
+
 @query(f'{_PAIRS} select m.cluster_accession, m.usi, m.nreps as "Nreps" from many m join winners w on m.cluster_accession = w.cluster_accession and m.usi = w.usi')
 def most_consensus(spark, sf_dir):
     consensus, _ = MostSimilarStrategy().consensus_spectrum_aggregation(fx.spectra(spark, sf_dir, fx.SPACED))
@@ -233,13 +251,23 @@ def avg_dot(spark, sf_dir):
     return average_similarity(best, routed(clusters).filter("Nreps > 1")).withColumn("avg_dot", F.round("avg_dot", 9))
 
 
-@query()
+@query(f"""with {fx.PEPTIDES}, peaks as ({fx.FRAGMENTS}),
+ions as (select scan_number, upto / z + cast({PROTON} as double) as ion from residues cross join (values (1), (2)) as t(z) where n < 7 and z < charge
+  union all select scan_number, (whole - upto) / z + cast({PROTON} as double) from residues cross join (values (1), (2)) as t(z) where n < 7 and z < charge),
+kept as (select * from peaks p where not exists (select 1 from residues r cross join (values (1), (2), (3)) as t(z)
+  where r.scan_number = p.scan_number and n = 7 and z <= charge and abs(mz - (whole / z + cast({PROTON} as double))) <= cast(0.02 as double))),
+near as (select distinct k.scan_number, k.mz, intensity from kept k join ions i on i.scan_number = k.scan_number and abs(k.mz - ion) <= cast(0.02 as double)),
+totals as (select scan_number, sum(intensity) as total from kept group by 1), found as (select scan_number, sum(intensity) as part from near group by 1)
+select scan_number, round(case when total > 0 then coalesce(part, 0) / total else 0 end, 9) as fraction
+from (select distinct scan_number from peaks) left join totals using (scan_number) left join found using (scan_number)""")
 def explained_by_fragments(spark, sf_dir):
-    """Line items' peaks have no peptide's fragments, so this has no oracle; tests use worked spectra."""
-    rows = fx.spectra(spark, sf_dir)
-    peptide = F.concat(F.translate(F.regexp_replace(F.upper("sequence"), "[^A-Z]", ""), "BJOUXZ", "AAAAAA"), F.lit("K"))
-    share = fraction_by(peptide, F.col("charge"), F.col("pepmass"), F.col("mz_array"), F.col("intensity_array"))
-    return rows.select("scan_number", F.round(share, 9).alias("fraction"))
+    """Peptides derived from keys, whose line items are fragments, precursors or neither."""
+    peptides = fx.view(spark, sf_dir, f"with {fx.PEPTIDES} select * from residues")
+    letters = F.array_join(F.array_sort(F.collect_list(F.struct("n", "letter"))).getField("letter"), "")
+    named = peptides.groupBy("scan_number").agg(letters.alias("peptide"), F.first("charge").alias("charge"), F.first("whole").alias("whole"))
+    peaks = fx.view(spark, sf_dir, f"with {fx.PEPTIDES} {fx.FRAGMENTS}").groupBy("scan_number").agg(F.collect_list(F.struct("mz", "intensity")).alias("p"))
+    share = fraction_by(F.col("peptide"), F.col("charge"), F.col("whole") / F.col("charge") + PROTON, F.col("p.mz"), F.col("p.intensity"))
+    return named.join(peaks, "scan_number").select("scan_number", F.round(share, 9).alias("fraction"))
 
 
 @query("""select vec_id, cast(i as integer) as pos, round(v / norm, 6) as value from (
@@ -299,45 +327,82 @@ def mgf_file_index(spark, sf_dir):
     return _positions(spark, sf_dir).groupBy("mgf_path").agg(F.max("file_index").alias("file_index"), F.count(F.lit(1)).alias("spectra"))
 
 
-@query(f"""{_SAMPLES}, assigned as (select mgf_path, mgf_order, cluster_accession from positions where scan_number % 3 > 0)
-select cluster_accession, mgf_path, mgf_order, usi, pepmass from assigned a join positions using (mgf_path, mgf_order, cluster_accession)""")
+@query(f"""{_SAMPLES} select cluster_accession, mgf_path, mgf_order, usi, pepmass from positions""")
 def cluster_join(spark, sf_dir):
     placed = _positions(spark, sf_dir)
-    assigned = placed.filter("scan_number % 3 > 0").select("mgf_path", "mgf_order", "cluster_accession")
+    assigned = placed.select("mgf_path", "mgf_order", "cluster_accession")
     return join_clusters(assigned, placed).select("cluster_accession", "mgf_path", "mgf_order", "usi", "pepmass")
 
 
 _LINES = "string_agg(concat(cast(mz as varchar), ' ', cast(intensity as varchar)), chr(10) order by mz)"
 
 
-@query(f"""{_SAMPLES}, peaks as ({fx.PEAKS}), listed as (select scan_number, {_LINES} as peak_lines from peaks group by 1)
-select mgf_path as file_path, mgf_order as ordinal, concat_ws(chr(10), 'BEGIN IONS', concat('TITLE=id=', usi), concat('PEPMASS=', cast(pepmass as varchar)),
-  concat('CHARGE=', cast(charge as varchar), '+'), peak_lines, 'END IONS') as block from positions p join listed l on l.scan_number = p.scan_number""")
+_MGF_TEXT = f"""{_SAMPLES}, peaks as ({fx.PEAKS}), listed as (select scan_number, {_LINES} as peak_lines from peaks group by 1),
+blocks as (select mgf_path, mgf_order, concat_ws(chr(10), 'BEGIN IONS', concat('TITLE=id=', usi), concat('PEPMASS=', cast(pepmass as varchar)),
+  concat('CHARGE=', cast(charge as varchar), '+'), peak_lines, 'END IONS') as block from positions p join listed l on l.scan_number = p.scan_number)"""
+_MSP = f"""concat_ws(chr(10), concat('Name: ', name), concat('MW: ', cast(pepmass as varchar)),
+  concat('Comment: clusterID=', {_UUID}, ' Nreps=', cast(nreps as varchar), ' PEP=', cast(pep as varchar)), concat('Num peaks: ', cast(n as varchar)), peak_lines)"""
+
+
+def _msp_best(usi: str) -> str:
+    """Blocks of the best spectra under identifiers given as SQL."""
+    return f"""{_ROUTED}, peaks as ({fx.PEAKS}), listed as (select scan_number, count(*) as n, {_LINES} as peak_lines from peaks group by 1),
+hashed as (select *, sha1({_NAMESPACE} || encode({usi})) as h, split_part(usi, ':', -1) as name, posterior_error_probability as pep from routed where rk = 1),
+blocks as (select cluster_accession, {_MSP} as block from hashed r join listed l on l.scan_number = r.scan_number)"""
+
+
+def _msp_joined(peaks: str, pepmass: str) -> str:
+    """Blocks of consensus spectra from SQL for their peaks (cluster_accession, mz, intensity) and precursors."""
+    return f"""{peaks}, listed as (select cluster_accession, count(*) as n, {_LINES} as peak_lines from consensus group by 1),
+heads as (select cluster_accession, {pepmass} as pepmass, max(nreps) as nreps, min(posterior_error_probability) as pep, string_agg(usi, ';' order by rk) as usi,
+  string_agg(split_part(usi, ':', -1), ';' order by rk) as name from many group by 1),
+hashed as (select *, sha1({_NAMESPACE} || encode(usi)) as h from heads)
+select cluster_accession, {_MSP} as block from (select cluster_accession, name, pepmass, nreps, pep, h, coalesce(n, 0) as n, coalesce(peak_lines, '') as peak_lines from hashed left join listed using (cluster_accession))"""
+
+
+@query(f"{_MGF_TEXT} select mgf_path as file_path, mgf_order as ordinal, block from blocks")
 def mgf_block(spark, sf_dir):
     placed = _positions(spark, sf_dir).withColumnRenamed("pepmass", "exp_mass_to_charge")
     arrays = fx.spectra(spark, sf_dir).select("scan_number", "mz_array", "intensity_array")
     return mgf_blocks(placed.join(arrays, "scan_number"))
 
 
-@query(f"""{_ROUTED}, peaks as ({fx.PEAKS}), listed as (select scan_number, count(*) as n, {_LINES} as peak_lines from peaks group by 1),
-hashed as (select *, sha1({_NAMESPACE} || encode(usi)) as h from routed where rk = 1)
-select cluster_accession, concat_ws(chr(10), concat('Name: ', split_part(usi, ':', -1)), concat('MW: ', cast(pepmass as varchar)),
-  concat('Comment: clusterID=', {_UUID}, ' Nreps=', cast(nreps as varchar), ' PEP=', cast(posterior_error_probability as varchar)),
-  concat('Num peaks: ', cast(l.n as varchar)), peak_lines) as block from hashed r join listed l on l.scan_number = r.scan_number""")
+@query(f"{_msp_best('usi')} select * from blocks")
 def msp_block(spark, sf_dir):
     consensus, single = BestSpectrumStrategy().consensus_spectrum_aggregation(fx.spectra(spark, sf_dir))
     return msp_blocks(consensus.unionByName(single), "best").select("cluster_accession", "block")
 
 
-@query(f"""{_SAMPLES}, peaks as ({fx.PEAKS}), counted as (select scan_number, count(*) as n from peaks group by 1)
-select mgf_path, count(*) as spectra, cast(sum(n) as bigint) as peaks from positions join counted using (scan_number) group by 1""")
+@query(_msp_joined(f"""{_MERGED}, sizes as (select cluster_accession, ceil(count(distinct usi) * cast(0.25 as double)) as q from many group by 1),
+consensus as (select cluster_accession, mz / n as mz, intensity / n as intensity from merged join sizes using (cluster_accession) where n >= q)""",
+    "list_reduce(list(pepmass order by rk), lambda a, b: a + b) / count(*)"))
+def msp_block_bin(spark, sf_dir):
+    consensus, _ = BinningStrategy().consensus_spectrum_aggregation(fx.spectra(spark, sf_dir))
+    return msp_blocks(consensus, "bin").select("cluster_accession", "block")
+
+
+@query(_msp_joined(f"""{_SEGMENTS}, sums as (select cluster_accession, segment, count(*) as n, sum(intensity) as total, sum(mz * intensity) / sum(intensity) as mz from segments group by 1, 2),
+kept as (select cluster_accession, mz, total / k as intensity from sums join sizes using (cluster_accession) where n >= k * cast(0.5 as double)),
+consensus as (select cluster_accession, mz, intensity from (select *, max(intensity) over (partition by cluster_accession) as most from kept) where intensity >= most / 1000)""",
+    "list_reduce(list(pepmass order by rk), lambda a, b: a + b) / count(*)"))
+def msp_block_average(spark, sf_dir):
+    consensus, _ = AverageSpectrumStrategy(pepmass="naive_average").consensus_spectrum_aggregation(fx.spectra(spark, sf_dir))
+    return msp_blocks(consensus, "average").select("cluster_accession", "block")
+
+
+def _blocks_in(spark, folder: str, kind: str) -> DataFrame:
+    """(path, block) of all files of a kind below a folder; an empty line ends a block, the last line end its file."""
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}").option("lineSep", "\n\n").text(folder)
+    path = F.substring_index(F.url_decode(F.col("_metadata.file_path")), f"{folder.rsplit('/', 1)[1]}/", -1)
+    return found.select(path.alias("path"), F.regexp_replace("value", r"\n$", "").alias("block"))
+
+
+@query(f"{_MGF_TEXT} select mgf_path, block from blocks")
 def mgf_files(spark, sf_dir):
     """Spectra through the MGF sink and back from the files' text."""
     folder = new_path(spark, "mgf-files")
     write_blocks(mgf_block(spark, sf_dir), folder, "mgf")
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.mgf").text(folder)
-    path = F.substring_index(F.url_decode(F.col("_metadata.file_path")), f"{folder.rsplit('/', 1)[1]}/", -1)
-    return lines.groupBy(path.alias("mgf_path")).agg(F.count_if(F.col("value") == "BEGIN IONS").alias("spectra"), F.count_if(F.col("value").rlike("^[0-9]")).alias("peaks"))
+    return _blocks_in(spark, folder, "mgf").withColumnRenamed("path", "mgf_path")
 
 
 @query(f"""{_PSM}, peaks as ({fx.PEAKS}), counted as (select scan_number, count(*) as n from peaks group by 1)
@@ -349,3 +414,37 @@ def scanned_spectra(spark, sf_dir):
     named.write.parquet(f"{folder}/parquet_files")
     found = with_usi(read_spectra(spark, folder, scored=True, discover=True).withColumn("dataset", F.lit("PXD7")))
     return found.select("usi", "charge", F.col("exp_mass_to_charge").alias("pepmass"), "global_qvalue", F.size("mz_array").cast("long").alias("n"))
+
+
+def _project(spark, sf_dir) -> str:
+    """A folder with spectra in parquet_files, a sample sheet and, from `convert`, MGF files of 100 spectra at most."""
+    folder = new_path(spark, "project")
+    fx.spectra(spark, sf_dir).withColumnRenamed("pepmass", "exp_mass_to_charge").write.parquet(f"{folder}/parquet_files")
+    rows = spark.sql(fx.SAMPLES).orderBy("line")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.concat_ws("\t", "data_file", "organism", "instrument").alias("text")))), lambda r: r["text"]), "\n")
+    sheet = rows.agg(F.concat(F.lit("\t".join(SAMPLE_COLUMNS) + "\n"), lines).alias("block")).select(F.lit("samples.sdrf.tsv").alias("file_path"), F.lit(0).alias("ordinal"), "block")
+    write_blocks(sheet, folder, "mgf")
+    cli.main(["convert", "-p", folder, "-c", "100"])
+    return folder
+
+
+@query(f"{_MGF_TEXT} select replace(block, 'PXD000001', 'part') as block from blocks")
+def convert_command(spark, sf_dir):
+    """Spectra and sample sheet from files to MGF text by the command line; Spark's file names make the dataset `part`."""
+    return _blocks_in(spark, f"{_project(spark, sf_dir)}/mgf_output", "mgf").select("block")
+
+
+@query(f"""{_msp_best("replace(usi, 'PXD000001', 'part')")} select block from blocks""")
+def msp_command(spark, sf_dir):
+    """Spectra, sample sheet and assignments from files to a library by the command line, some lines of the assignments without a cluster."""
+    folder = _project(spark, sf_dir)
+    titles = F.regexp_extract("block", r":scan:(\d+):", 1).cast("long")
+    placed = read_spectra(spark, f"{folder}/parquet_files", scored=True)
+    placed = place_in_files(attach_samples(placed, read_samples(spark, find_sample_sheet(spark, folder))), 100).select(F.col("scan_number").cast("long").alias("scan_number"), "mgf_path", "mgf_order")
+    made = _blocks_in(spark, f"{folder}/mgf_output", "mgf").select(F.col("path").alias("made_path"), titles.alias("scan_number"))
+    assigned = placed.join(made, "scan_number").filter("made_path = mgf_path").join(_psm(spark, sf_dir).select("scan_number", "cluster_accession"), "scan_number")
+    lines = assigned.select("mgf_path", "mgf_order", F.col("cluster_accession").cast("string").alias("cluster"))
+    lines.unionByName(lines.withColumn("cluster", F.lit(None).cast("string"))).write.option("sep", "\t").csv(f"{folder}/clusters")
+    paths = ["--path_parquet", f"{folder}/parquet_files", "--path_sdrf", f"{folder}/samples.sdrf.tsv", "--path_cluster_tsv", f"{folder}/clusters"]
+    cli.main(["msp", *paths, "--output", f"{folder}/library/best.msp", "-c", "100"])
+    return _blocks_in(spark, f"{folder}/library", "msp").select("block")

@@ -1,4 +1,4 @@
-"""What sessions share: the folder that all executors see, and this package's sources."""
+"""What sessions share: the folder that all executors see, tables written there, and this package's sources."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where a local session (tests) names no folder.
 LOCAL_FOLDER = "file:///tmp/checkpoints"
@@ -32,6 +33,29 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows up to which a narrow table (at most some 50 bytes a row) is broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def if_small(df: DataFrame, most: int = BROADCAST_ROWS, items: str | None = None) -> DataFrame:
+    """A broadcast hint for a narrow table, cheap to count, of at most `most` rows, or of so many items in an array column.
+
+    Beyond that the table keeps out of broadcasts and the join is a shuffle.
+    """
+    if items:
+        size = df.agg(F.sum(F.size(items) + 1)).first()[0] or 0
+    else:
+        size = df.limit(most + 1).count()
+    return F.broadcast(df) if size <= most else df.hint("merge")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Add the package's sources to the session's Python files, once per application."""
     context = spark.sparkContext

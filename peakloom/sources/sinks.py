@@ -10,8 +10,9 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 
 @dataclass
@@ -25,19 +26,19 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-class BlockWriter(DataSourceWriter):
+class BlockWriter(DataSourceArrowWriter):
     def __init__(self, root: str, overwrite: bool):
         self.root, self.overwrite = root.rstrip("/"), overwrite
 
-    def write(self, iterator: Iterator) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = _store(self.root)
         out, at, files = None, None, []
-        for row in iterator:
-            if row.file_path != at:
+        for path, block in (row for b in iterator for row in zip(b.column(0).to_pylist(), b.column(1), strict=True)):
+            if path != at:
                 if out is not None:
                     out.write(b"\n")
                     out.close()
-                at = row.file_path
+                at = path
                 target = f"{root}/{at}"
                 folder, _, name = target.rpartition("/")
                 store.create_dir(folder, recursive=True)
@@ -45,7 +46,7 @@ class BlockWriter(DataSourceWriter):
                 out = store.open_output_stream(files[-1][0], compression=None)
             else:
                 out.write(b"\n\n")
-            out.write(row.block.encode())
+            out.write(block.as_buffer())
         if out is not None:
             out.write(b"\n")
             out.close()
@@ -60,13 +61,20 @@ class BlockWriter(DataSourceWriter):
         if there and not self.overwrite:
             self.abort(messages)
             raise FileExistsError(f"{there[0]} exists; use mode overwrite")
-        for temporary, target in files:
-            store.move(temporary, target)
+        try:
+            for temporary, target in files:
+                store.move(temporary, target)
+        except Exception:
+            self.abort(messages)
+            raise
 
     def abort(self, messages: list[Written | None]) -> None:
+        from pyarrow import fs
+
         store, _ = _store(self.root)
         for temporary, _ in (f for m in messages if m for f in m.files):
-            store.delete_file(temporary)
+            if store.get_file_info(temporary).type != fs.FileType.NotFound:
+                store.delete_file(temporary)
 
 
 class _Blocks(DataSource):

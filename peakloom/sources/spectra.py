@@ -6,7 +6,6 @@ import csv
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text
 from ..schemas import ASSIGNMENT, SCORED_SPECTRUM, SPECTRUM
@@ -18,7 +17,7 @@ SAMPLE_COLUMNS = ("comment[data file]", "characteristics[organism]", "comment[in
 
 
 def read_spectra(spark: SparkSession, path: str, scored: bool = False, discover: bool = False) -> DataFrame:
-    """Spectra of all Parquet files at path, with file_stem, dataset and row_index, their position in the file.
+    """Spectra of all Parquet files at path, with file_path, file_stem, dataset and row_index, their position in the file.
 
     With discover, files are sought in all directories below path and kept if
     they lie in one named parquet_files. Numbers of other widths are cast.
@@ -31,7 +30,7 @@ def read_spectra(spark: SparkSession, path: str, scored: bool = False, discover:
     name = F.col("_metadata.file_name")
     return rows.select(
         *(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema),
-        text.stem(name).alias("file_stem"), text.dataset_id(name).alias("dataset"), F.col("_metadata.row_index").alias("row_index"),
+        F.col("_metadata.file_path").alias("file_path"), text.stem(name).alias("file_stem"), text.dataset_id(name).alias("dataset"), F.col("_metadata.row_index").alias("row_index"),
     )
 
 
@@ -67,8 +66,9 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_assignments(spark: SparkSession, path: str) -> DataFrame:
-    """Cluster assignments from a headerless tab-separated file; lines with an empty field are dropped. rank is the line's byte order."""
-    lines = spark.sparkContext.textFile(path).zipWithIndex().toDF(T.StructType([T.StructField("value", T.StringType()), T.StructField("rank", T.LongType())]))
+    """Cluster assignments from headerless tab-separated files; lines with an empty field are dropped. rank orders lines by file and place."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", at.alias("rank"))
     fields = F.split("value", "\t")
     rows = lines.select(*(F.nullif(F.get(fields, F.lit(i)), F.lit("")).cast(f.dataType).alias(f.name) for i, f in enumerate(ASSIGNMENT)), "rank")
-    return rows.na.drop("any")
+    return rows.na.drop("any", subset=ASSIGNMENT.names)

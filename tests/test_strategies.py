@@ -1,14 +1,18 @@
-"""Hand-worked clusters for every strategy, and an independent version in NumPy."""
+"""Hand-worked clusters for every strategy, and plain versions of the rules."""
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from peakloom.functions.similarity import dot_product, explained_share, matched_product
+from peakloom.functions.similarity import Spectra, dot_products, explained_share, similarity, similarity_sums
 from peakloom.operators.routing import cluster_counts, routed, singles, top_rows
 from peakloom.plans import AverageSpectrumStrategy, BestSpectrumStrategy, BinningStrategy, MostSimilarStrategy, strategy
 from peakloom.schemas import CONSENSUS
@@ -37,7 +41,7 @@ def test_routing_by_size(spark):
     assert {r.cluster_accession: r.Nreps for r in cluster_counts(df).collect()} == sizes
     kept = routed(df).groupBy("cluster_accession").agg(F.count("*").alias("n"), F.max("Nreps").alias("r"), F.max("usi").alias("last"))
     assert {r.cluster_accession: (r.n, r.r, r["last"]) for r in kept.collect()} == {"a": (1, 1, "u00"), "b": (2, 2, "u01"), "c": (10, 10, "u09"), "d": (10, 11, "u09")}
-    assert [r.cluster_accession for r in singles(df).collect()] == ["a"]
+    assert [r.cluster_accession for r in singles(routed(df)).collect()] == ["a"]
 
 
 def test_ties_nulls_and_nan_rank_last(spark):
@@ -141,68 +145,95 @@ def test_most_similar_takes_the_first_of_equals(spark):
     assert by_cluster(MostSimilarStrategy().consensus_spectrum_aggregation(df)[0])["a"].usi == "u1"
 
 
-def greedy(a, x, b, y, tol):
-    j, s = 0, 0.0
-    for m, w in zip(a, x, strict=True):
-        while j < len(b) - 1 and b[j] < m - tol:
-            j += 1
-        if j < len(b) and abs(m - b[j]) <= tol:
-            s, j = s + w * y[j], j + 1
-    return s
+def product(a, x, b, y, tol=0.02):
+    """dot_products() of two lists with their lengths put back."""
+    spectra = Spectra(pa.array([a, b], pa.list_(pa.float64())), pa.array([x, y], pa.list_(pa.float64())))
+    return dot_products(spectra, np.array([0]), np.array([1]), tol)[0] * math.hypot(*x) * math.hypot(*y)
 
 
-def test_matching_against_the_plain_loop():
+def lowest_free(a, x, b, y, tol=0.02):
+    """The rule itself: a peak at a time, from the set of free ones."""
+    free, total = set(range(len(b))), 0.0
+    for m, w in sorted(zip(a, x, strict=True)):
+        near = [k for k in free if abs(m - b[k]) <= tol]
+        if near:
+            k = min(near, key=lambda k: b[k])
+            free.remove(k)
+            total += w * y[k]
+    return total
+
+
+@given(st.lists(st.integers(0, 60), max_size=12, unique=True), st.lists(st.integers(0, 60), max_size=12, unique=True), st.integers(0, 6))
+@settings(max_examples=300, deadline=None)
+def test_matching_against_the_rule(left, right, reach):
+    a, b = ([100 + k / 128 for k in v] for v in (left, right))
+    x, y = ([1.0 + k % 7 for k in v] for v in (left, right))
+    assert product(a, x, b, y, reach / 128) == pytest.approx(lowest_free(a, x, b, y, reach / 128))
+
+
+def test_matching_many_pairs_at_once():
     rng = np.random.default_rng(3)
-    for step in (0.01, 0.03, 1.0):
-        for _ in range(200):
-            a, b = (np.sort(100 + np.cumsum(rng.random(rng.integers(1, 12)) * step)) for _ in range(2))
-            x, y = rng.random(len(a)), rng.random(len(b))
-            assert matched_product(a, x, b, y, 0.02) == pytest.approx(greedy(a, x, b, y, 0.02))
+    lists = [100 + np.cumsum(rng.random(rng.integers(0, 40)) * step) for step in (0.005, 0.02, 0.5) for _ in range(15)]
+    weights = [rng.random(len(a)) for a in lists]
+    spectra = Spectra(pa.array(lists, pa.list_(pa.float64())), pa.array(weights, pa.list_(pa.float64())))
+    left, right = (v.ravel() for v in np.meshgrid(np.arange(45), np.arange(45)))
+    unit = [w / max(np.linalg.norm(w), 1e-300) for w in weights]
+    want = [lowest_free(lists[i], unit[i], lists[j], unit[j]) for i, j in zip(left, right, strict=True)]
+    assert dot_products(spectra, left, right, 0.02) == pytest.approx(want)
 
 
-def test_dot_limits():
-    assert matched_product([1.0, 2.0], [1.0, 1.0], [1.0], [1.0], 0.02) == 1.0  # the right side is used up
-    assert matched_product([1.0], [1.0], [], [], 0.02) == 0.0
-    assert dot_product([100.0, 200.0], [3.0, 4.0], [100.0, 200.0], [3.0, 4.0], 0.02) == pytest.approx(1.0)
+def test_matching_at_the_edge_of_the_tolerance():
+    for x in np.random.default_rng(1).random(500) * 1000:
+        for y in (x + 0.02, x - 0.02, np.nextafter(x + 0.02, 0), np.nextafter(x + 0.02, 2000)):
+            assert product([x], [1.0], [y], [1.0]) == pytest.approx(float(abs(x - y) <= 0.02))
+
+
+def test_similarity_columns_take_nulls_unsorted_and_empty_lists(spark):
+    df = spark.createDataFrame([(1, [200.0, 100.0], [4.0, 3.0], [100.0], [5.0]), (2, None, None, [100.0], [1.0]), (3, [], [], [], [])], "i int, a array<double>, x array<double>, b array<double>, y array<double>")
+    assert [r[0] for r in df.select("i", similarity(*(F.col(c) for c in "axby")).alias("s")).orderBy("i").select("s").collect()] == [0.6, None, 0.0]
+    spectra = F.array(*(F.struct(F.col(m).alias("mz_array"), F.col(i).alias("intensity_array")) for m, i in ("ax", "by")))
+    assert [r[0] for r in df.select("i", similarity_sums(spectra).alias("s")).orderBy("i").select("s").collect()] == [[1.6, 1.6], [0.0, 1.0], [0.0, 0.0]]
+    with pytest.raises(Exception, match="differ in length"):
+        df.select(similarity(F.col("a"), F.col("b"), F.col("a"), F.col("x"))).collect()
 
 
 def test_explained_share_of_a_dipeptide():
     b1, y1 = 57.02146 + 1.00727646677, 71.03711 + 18.01056 + 1.00727646677
     assert explained_share("GA", 1, 147.08, [b1, y1, 120.0], [1.0, 2.0, 1.0], 0.02) == pytest.approx(0.75)
     assert explained_share(None, 1, 147.08, [b1], [1.0], 0.02) == 0.0
-
-
-def reference_bins(spectra, min_mz=100.0, max_mz=2000.0, size=0.02, quorum=0.25, threshold=0.5):
-    """Dense arrays, in doubles, over distinct spectra given as (mz, intensity)."""
-    n_bins = math.ceil((max_mz - min_mz) / size)
-    n, i, m = np.zeros(n_bins, int), np.zeros(n_bins), np.zeros(n_bins)
-    for mz, inten in spectra:
-        mz, inten = np.asarray(mz), np.asarray(inten)
-        ok = (mz >= min_mz) & (mz < max_mz)
-        at = np.floor((mz[ok] - min_mz) / size).astype(int)
-        n[np.unique(at)] += 1
-        last = {k: j for j, k in enumerate(at)}
-        for k, j in last.items():
-            i[k] += inten[ok][j]
-            m[k] += mz[ok][j]
-    mean = np.where(n > 0, m / np.maximum(n, 1), 0)
-    d = np.diff(mean)
-    d[-1] = 0
-    small = np.flatnonzero((d > 0) & (d < size * threshold) & (n[:-1] > 0))
-    n2, i2, m2 = n.copy(), i.copy(), m.copy()
-    for a, s in ((n2, n), (i2, i), (m2, m)):
-        a[small] = s[small] + s[small + 1]
-        a[small + 1] = 0
-    keep = (n2 >= math.ceil(len(spectra) * quorum)) & (n2 > 0)
-    return m2[keep] / n2[keep], i2[keep] / n2[keep]
-
-
-def test_bin_against_dense_arrays(spark):
+    assert explained_share("GA", 1, 147.08, None, None, 0.02) == 0.0
+    assert explained_share("GXA", 1, 147.08, [b1], [1.0], 0.02) is None  # X has no mass
+
+
+def test_explained_share_of_higher_charges_and_without_the_precursor():
+    mass = 57.02146 + 71.03711 + 128.09496 + 18.01056  # GAK
+    b2, precursor = 57.02146 + 71.03711, (mass + 3 * 1.00727646677) / 3
+    mz = [b2 / 2 + 1.00727646677, b2 + 1.00727646677, mass / 2 + 1.00727646677, 500.0]
+    # at charge 3 doubly charged ions count, and the precursor's peak at charge 2 is gone
+    assert explained_share("GAK", 3, precursor, mz, [1.0, 2.0, 50.0, 3.0], 0.02) == pytest.approx(0.5)
+    assert explained_share("GAK", 2, (mass + 2 * 1.00727646677) / 2, mz, [1.0, 2.0, 50.0, 3.0], 0.02) == pytest.approx(2 / 6)
+
+
+def binned_by_rule(spectra, low=100.0, high=2000.0, width=0.02, quorum=0.25, threshold=0.5):
+    """The rules, a bin at a time, over distinct spectra given as (mz, intensity): {bin: [peaks]} with a spectrum's last peak in each bin."""
+    members = defaultdict(list)
+    for peaks in spectra:
+        last = {math.floor((m - low) / width): (m, i) for m, i in zip(*peaks, strict=True) if low <= m < high}
+        for k, peak in last.items():
+            members[k].append(peak)
+    mean = {k: sum(m for m, _ in v) / len(v) for k, v in members.items()}
+    split = {k for k in mean if k + 1 in mean and 0 < mean[k + 1] - mean[k] < width * threshold}
+    whole = {k: v + (members[k + 1] if k in split else []) for k, v in members.items() if k - 1 not in split}
+    kept = [whole[k] for k in sorted(whole) if len(whole[k]) >= len(spectra) * quorum]
+    return [sum(m for m, _ in v) / len(v) for v in kept], [sum(i for _, i in v) / len(v) for v in kept]
+
+
+def test_bin_against_the_rules(spark):
     rng = np.random.default_rng(5)
     data = {f"c{c}": [(np.sort(rng.choice(3000, 30, replace=False) / 1000 + 100), rng.integers(1, 50, 30).astype(float)) for _ in range(rng.integers(2, 9))] for c in range(6)}
     df = cluster(spark, *(row(c, f"{c}u{j}", mz=m.tolist(), intensity=i.tolist(), q=j / 10) for c, s in data.items() for j, (m, i) in enumerate(s)))
     found = by_cluster(BinningStrategy().consensus_spectrum_aggregation(df)[0])
     for c, spectra in data.items():
-        mz, intensity = reference_bins(spectra)
-        assert found[c].mz_array == pytest.approx(mz.tolist())
-        assert found[c].intensity_array == pytest.approx(intensity.tolist())
+        mz, intensity = binned_by_rule(spectra)
+        assert found[c].mz_array == pytest.approx(mz)
+        assert found[c].intensity_array == pytest.approx(intensity)

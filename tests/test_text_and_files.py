@@ -12,6 +12,7 @@ from peakloom import cli
 from peakloom.functions import text
 from peakloom.functions.peaks import l2_normalised, peaks
 from peakloom.operators.layout import attach_samples, place_in_files
+from peakloom.session import if_small
 from peakloom.sources.sinks import write_blocks
 from peakloom.sources.spectra import find_sample_sheet, read_assignments, read_samples, read_spectra, sample_table
 from peakloom.streaming import stream_blocks
@@ -73,9 +74,24 @@ def test_capacity_rolls_files(spark, n, files):
     assert all(r.mgf_order == r.row_index % 3 and r.mgf_path.endswith(f"charge2/mgf files/f_{r.row_index // 3 + 1}.mgf") for r in placed)
 
 
+def test_files_of_one_name_are_an_error(spark):
+    rows = spark.createDataFrame([(0, f"{d}/f.parquet", "f", "Homo sapiens", "QE", 2) for d in "ab"], "row_index long, file_path string, file_stem string, organism string, instrument string, charge int")
+    assert place_in_files(rows.filter("file_path like 'a%'")).count() == 1
+    with pytest.raises(Exception, match="two files are named f"):
+        place_in_files(rows).collect()
+
+
+def test_a_large_sheet_is_not_broadcast(spark):
+    samples = spark.range(5).select(F.concat(F.lit("f"), "id").alias("reference_file_name"), F.lit("o").alias("organism"), F.lit("i").alias("instrument"))
+    small, large = if_small(samples, 5), if_small(samples, 4)
+    other = spark.range(3).select(F.concat(F.lit("f"), "id").alias("reference_file_name"))
+    assert other.join(small, "reference_file_name").count() == other.join(large, "reference_file_name").count() == 3
+    assert "SortMergeJoin" in other.join(large, "reference_file_name")._jdf.queryExecution().simpleString()
+
+
 def test_assignments_drop_incomplete_lines(spark, tmp_path):
     (tmp_path / "c.tsv").write_text("a.mgf\t0\tc1\n\na.mgf\t1\t\na.mgf\t2\tc2\n")
-    assert [(r.mgf_path, r.mgf_order, r.cluster_accession, r["rank"]) for r in read_assignments(spark, str(tmp_path / "c.tsv")).orderBy("rank").collect()] == [("a.mgf", 0, "c1", 0), ("a.mgf", 2, "c2", 3)]
+    assert [(r.mgf_path, r.mgf_order, r.cluster_accession) for r in read_assignments(spark, str(tmp_path / "c.tsv")).orderBy("rank").collect()] == [("a.mgf", 0, "c1"), ("a.mgf", 2, "c2")]
 
 
 def test_sink_separates_blocks_and_guards_files(spark, tmp_path):
@@ -133,7 +149,7 @@ def test_commands_from_spectra_to_library(spark, project, name):
     args = ["msp", "--path_parquet", str(project / "parquet_files/PXD1-0.parquet"), "--path_sdrf", str(project / "s.sdrf.tsv"), "--path_cluster_tsv", str(project / "clusters.tsv")]
     with pytest.raises(Exception, match="no spectrum at"):
         cli.main([*args, "--output", str(project / "lib.msp"), "--strategy_type", name])
-    cli.main([*args, "--output", str(project / "lib.msp"), "--strategy_type", name, "-c", "2"])
+    cli.main([*args, "--output", str(project / "lib.msp"), "--strategy_type", name, "-c", "2", "--files", "1"])
     blocks = (project / "lib.msp").read_text().rstrip("\n").split("\n\n")
     assert len(blocks) == 2
     assert re.match(r"Name: PEPTIDE/2(;PEPTIDE/2)?\nMW: \d+\.\d+\nComment: clusterID=[0-9a-f-]{36} Nreps=2 PEP=0\.1\nNum peaks: \d", blocks[0])
