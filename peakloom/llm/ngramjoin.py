@@ -1,16 +1,17 @@
 """Exact join of documents whose word-shingle sets overlap: 100 * intersection >= 85 * union.
 
 Shingles hash into groups; a document's group counts are a point, and the sum
-of coordinate minima of two points bounds their overlap. Points alone cannot
-keep random documents of like size apart in any number of dimensions that an
-index could use, so the tree of points is not searched as one: documents first
-meet in blocks that no link can avoid (below), and inside a block a packed
-R-tree over the points discards pairs before their sets are compared.
-
-Blocks: sets that link differ in at most d = floor(15/185 * (size + size))
-shingles. With shingles hashed into d + 1 + z groups, at least 1 + z groups are
-equal in both; so one is that isn't empty, unless both have more than z empty
-groups, and such sets are hashed anew. Each equal, filled group is a block key.
+of coordinate minima of two points bounds their overlap. Points are indexed in
+packed R-trees, one for each part of the index, and a tree joined with itself
+gives the pairs that the bound leaves, which alone are compared exactly.
+
+Points of random documents of like size are near each other in any number of
+dimensions, so a single tree would open nearly all of its nodes. The index is
+therefore cut into parts by keys of which no two linked sets can differ in all:
+sets that link differ in at most d = floor(15/185 * (size + size)) shingles.
+With shingles hashed into d + 1 + z parts, at least 1 + z parts are equal in
+both; so one is that isn't empty, unless both have more than z empty parts, and
+such sets are hashed anew. Each equal, filled part is a key.
 """
 
 from __future__ import annotations
@@ -21,8 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import if_small, written
@@ -35,16 +35,23 @@ WORDS, SIMILAR = 4, 85
 GROUPS = 256
 #: Sizes are cut into classes, each reaching to GROWTH times the last one's end.
 GROWTH = 1.4
-#: Hashings tried until few groups are empty.
+#: Hashings tried until few parts are empty.
 SEEDS = 6
-#: Points in a leaf, and documents of a block compared by one task.
-LEAF, TILE = 32, 512
-#: Bits of the filter of shared block keys, whatever their number; a full one only lets more rows through.
-FILTER_BITS = 25
+#: Entries in a node of a tree, pairs bounded at once, and points in a tree; larger parts of the index are several trees.
+FANOUT, PAIRS, TILE = 16, 1 << 14, 512
+#: Keys of a set whose parts are searched first.
+HEADS = 4
+#: Bytes of a key, and keys that are counted together.
+KEY_BYTES, BUCKET_KEYS = 6, 1 << 21
+#: Bits of the filter of shared keys for each of them, and of the whole filter at most; a fuller one lets more rows through.
+FILTER_SHARE, FILTER_MOST = 12, 28
+#: Points (some 300 bytes each) that are broadcast together.
+POINT_ROWS = 100_000
 #: Comparisons with one document that a task makes.
 STAR_ROWS = 256
 
 _SEED = np.random.default_rng(11).integers(1, 1 << 63, SEEDS, np.uint64) | np.uint64(1)
+_SET = "struct<hi: long, lo: long>"
 
 
 def most_apart(sizes: int, similar: int = SIMILAR) -> int:
@@ -75,7 +82,7 @@ def _size_class(i: int, similar: int) -> tuple[int, int, int]:
 
 
 def block_keys(hashes: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
-    """The keys of all blocks that a set (sorted hashes) belongs to."""
+    """The keys of a set (sorted hashes)."""
     n, i = len(hashes), 0
     while _size_class(i, similar)[0] < n:
         i += 1
@@ -114,69 +121,219 @@ def unpacked(points: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(p, np.uint8 if len(p) == GROUPS else np.uint32).astype(np.int32) for p in points])
 
 
-def pairs_in_block(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, similar: int = SIMILAR) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs with unlike labels that the summed minima of their points don't rule out.
+class Tree:
+    """A packed R-tree: points in order of size and of their first coordinates, nodes of FANOUT entries, level upon level.
 
-    A packed R-tree of one level of leaves: points sorted by size fill leaves of
-    LEAF; two leaves are opened only if the summed minima of their upper corners
-    reach the overlap that their smallest sizes need.
+    A node has the greatest coordinates and the least and greatest size of what
+    is in it, and its label if all have the same, else -1.
     """
-    order = np.argsort(sizes, kind="stable")
-    leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
-    corners = np.stack([points[x].max(0) for x in leaves])
-    low, high = (np.array([f(sizes[x]) for x in leaves]) for f in (np.min, np.max))
-    for i, a in enumerate(leaves):
-        bound = np.minimum(corners[i], corners[i:]).sum(1)
-        near = (bound >= least_common(low[i] + low[i:], similar)) & (high[i] * 100 >= similar * low[i:])
-        for j in np.flatnonzero(near) + i:
-            b = leaves[j]
-            common = np.minimum(points[a][:, None], points[b][None]).sum(2)
-            keep = (common >= least_common(sizes[a][:, None] + sizes[b][None], similar)) & (labels[a][:, None] != labels[b][None])
-            if i == j:
-                keep = np.triu(keep, 1)
-            x, y = np.nonzero(keep)
-            if len(x):
-                yield a[x], b[y]
 
-
-def _signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
+        self.order = np.lexsort((*points[:, :3].T, sizes))
+        self.levels = [(points[self.order], sizes[self.order], sizes[self.order], labels[self.order])]
+        while len(self.levels[-1][0]) > 1:
+            corner, low, high, label = self.levels[-1]
+            at = np.arange(0, len(corner), FANOUT)
+            first, last = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
+            self.levels.append((np.maximum.reduceat(corner, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.where(first == last, first, -1)))
+
+    def joined(self, similar: int = SIMILAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, bound) of the pairs of unlike labels whose summed minima reach the overlap that they need."""
+        i = j = np.zeros(1, np.int64)
+        for depth in range(len(self.levels) - 1, -1, -1):
+            level = self.levels[depth]
+            if depth < len(self.levels) - 1:
+                i, j = self._children(i, j, len(level[0]))
+            parts = [self._near(level, i[k : k + PAIRS], j[k : k + PAIRS], depth == 0, similar) for k in range(0, len(i), PAIRS)]
+            i, j, bound = (np.concatenate([part[c] for part in parts]) if parts else np.empty(0, np.int64) for c in range(3))
+        return self.order[i], self.order[j], bound
+
+    @staticmethod
+    def _children(i: np.ndarray, j: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of entries of paired nodes, each once."""
+        a, b = (v.ravel() for v in np.meshgrid(np.arange(FANOUT), np.arange(FANOUT), indexing="ij"))
+        i, j = (i[:, None] * FANOUT + a).ravel(), (j[:, None] * FANOUT + b).ravel()
+        keep = (i <= j) & (j < count)
+        return i[keep], j[keep]
+
+    @staticmethod
+    def _near(level: tuple, i: np.ndarray, j: np.ndarray, points: bool, similar: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        corner, low, high, label = level
+        keep = ((label[i] == -1) | (label[i] != label[j])) & (low[j] * similar <= high[i] * 100) & (low[i] * similar <= high[j] * 100)
+        if points:
+            keep &= i < j
+        i, j = i[keep], j[keep]
+        bound = np.minimum(corner[i], corner[j]).sum(1)
+        keep = bound >= least_common(low[i] + low[j], similar)
+        return i[keep], j[keep], bound[keep]
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
-    """(doc_id, n_shingles, set_id, check, point, keys): what blocking needs of every document, without its shingles.
+    """(doc_id, text_a, n_shingles, set_id, point, keys): what the index needs of every document, without its shingles.
 
-    set_id and check are sums of two hashes over the set: equal sets agree in both.
+    set_id has the sums of two hashes over the set, so it stands for the set; text_a is a hash of the text; keys are KEY_BYTES each.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, ids, checks, points, keys = [], [], [], [], []
-            for h in shingle_sets(b.column(1), words):
+            sizes, high, low, points, keys = [], [], [], [], []
+            for h in shingle_sets(b.column(2), words):
                 sizes.append(len(h))
-                ids.append(mix(h * _SEED[1]).sum(dtype=np.uint64))
-                checks.append(mix(h * _SEED[2]).sum(dtype=np.uint64))
+                high.append(mix(h * _SEED[1]).sum(dtype=np.uint64))
+                low.append(mix(h * _SEED[2]).sum(dtype=np.uint64))
                 points.append(packed(point(h)))
-                keys.append(block_keys(h, similar))
-            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = _signed(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+                keys.append(block_keys(h, similar).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(_signed(np.array(ids, np.uint64))), pa.array(_signed(np.array(checks, np.uint64))),
-                 pa.array(points, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["doc_id", "n_shingles", "set_id", "check", "point", "keys"],
+                [b.column(0), b.column(1), pa.array(sizes, pa.int64()), _sets(_signed(np.array(high, np.uint64)), _signed(np.array(low, np.uint64))),
+                 pa.array(points, pa.binary()), pa.array(keys, pa.binary())],
+                ["doc_id", "text_a", "n_shingles", "set_id", "point", "keys"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(task, f"doc_id {kind}, n_shingles long, set_id long, check long, point binary, keys array<long>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_a"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(task, f"doc_id {kind}, text_a long, n_shingles long, set_id {_SET}, point binary, keys binary")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _signed(h: np.ndarray) -> np.ndarray:
+    return h.view(np.int64)
+
+
+def _sets(high: np.ndarray, low: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["hi", "lo"])
+
+
+def _halves(column: pa.StructArray) -> np.ndarray:
+    """Set ids as rows of two numbers."""
+    return np.stack([v.to_numpy(zero_copy_only=False) for v in column.flatten()], axis=1)
+
+
+def _block_keys(column: pa.BinaryArray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of packed keys: a key's bucket in the high half of a number, 32 of its other bits in the low one."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    wide = np.zeros((len(flat) // KEY_BYTES, 8), np.uint8)
+    wide[:, :KEY_BYTES] = flat.reshape(-1, KEY_BYTES)
+    whole = wide.view(np.uint64).ravel()
+    n = np.uint64(buckets)
+    return np.repeat(np.arange(len(column)), np.diff(offsets) // KEY_BYTES), (whole % n) << np.uint64(32) | (whole // n) & np.uint64(0xFFFFFFFF)
+
+
+def _shared_keys(sets: DataFrame, buckets: int) -> DataFrame:
+    """(word, bits): places, by _places(), of all keys that more than one set has, as words of a bit array.
+
+    Tasks send a bucket's keys as packed pairs of 32 bits of key and of set; of
+    a key with several sets in a task, once, marked as shared (set 0). So a
+    bucket holds about BUCKET_KEYS of them, whatever sets are alike.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            key, of = (np.concatenate(v) for v in zip(*held, strict=True))
+            key, of = _once(key, of)
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] >> np.uint64(32) != key[:-1] >> np.uint64(32)]))
+            pair = np.stack([(key & np.uint64(0xFFFFFFFF)).astype(np.uint32), of], axis=1)
+            return pa.RecordBatch.from_arrays(
+                [pa.array((key[starts] >> np.uint64(32)).astype(np.int64)), pa.array([x.tobytes() for x in np.split(pair, starts[1:])], pa.binary())], ["bucket", "pairs"]
+            )
+
+        held, count = [], 0
+        for b in batches:
+            row, key = _block_keys(b.column(1), buckets)
+            of = np.maximum(_halves(b.column(0))[:, 0].astype(np.uint64) >> np.uint64(32), np.uint64(1)).astype(np.uint32)
+            if len(key):
+                held.append((key, of[row]))
+                count += len(key)
+            if count >= BUCKET_KEYS:
+                yield flush()
+                held, count = [], 0
+        if held:
+            yield flush()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(bucket: int, packed_pairs: list[bytes]) -> pa.RecordBatch:
+            pair = np.frombuffer(b"".join(packed_pairs), np.uint32).reshape(-1, 2)
+            key, of = _once(pair[:, 0].astype(np.uint64), pair[:, 1])
+            return pa.RecordBatch.from_arrays([pa.array((key[of == 0] | np.uint64(bucket << 32)).view(np.int64))], ["key"])
+
+        at, held = None, []
+        for b in batches:
+            for bucket, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if held and bucket != at:
+                    yield found(at, held)
+                    held = []
+                at = bucket
+                held.append(data)
+        if held:
+            yield found(at, held)
+
+    sent = sets.filter("n_shingles > 0").select("set_id", "keys").mapInArrow(send, "bucket long, pairs binary")
+    parts = max(buckets, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "key long")
+
+
+def _once(key: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every key once, in order, with its set, or 0 if it has several."""
+    order = np.lexsort((of, key))
+    key, of = key[order], of[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    ends = np.append(starts[1:], len(key)) - 1
+    return key[starts], np.where(of[starts] == of[ends], of[starts], 0).astype(np.uint32) if len(key) else of
+
+
+def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of the filter that a key sets."""
+    h = mix(keys.astype(np.uint64))
+    return h & np.uint64((1 << bits) - 1), h >> np.uint64(64 - bits)
+
+
+def _key_filter(shared: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of the keys and its size in bits as a power of two; executors put it together word by word."""
+    bits = min(FILTER_MOST, max(16, math.ceil(math.log2(FILTER_SHARE * shared.count() + 1))))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(np.concatenate(_places(b.column(0).to_numpy(), bits)))
+            word, starts = np.unique(at >> np.uint64(6), return_index=True)
+            ones = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), starts) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(_signed(ones))], ["word", "ones"])
+
+    words = shared.mapInArrow(task, "word long, ones long").groupBy("word").agg(F.bit_or("ones").alias("ones")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["word"].to_numpy()] = words["ones"].to_numpy()
+    return out.view(np.uint8), bits
+
 
+def _members(sets: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
+    """(key, set_id, n_shingles, point): keys of sets, less most of those that only one set has.
 
-def set_classes(sets: DataFrame) -> DataFrame:
-    """(set_id, first): the smallest doc_id of every distinct non-empty set. Should two sets ever share a set_id, it fails."""
-    differ = (F.min("check") != F.max("check")) | (F.min("n_shingles") != F.max("n_shingles"))
-    return sets.filter("n_shingles > 0").groupBy("set_id").agg(
-        F.when(differ, F.raise_error(F.lit("two shingle sets share a 64-bit hash"))).otherwise(F.min("doc_id")).alias("first")
-    )
+    The point is there for the HEADS smallest keys of a set, which like sets
+    mostly have in common; their parts of the index are searched first.
+    """
+    found, bits = _key_filter(shared)
+    known = sets.sparkSession.sparkContext.broadcast(found)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ones = known.value
+        for b in batches:
+            row, key = _block_keys(b.column(3), buckets)
+            keep = np.ones(len(key), bool)
+            for place in _places(key, bits):
+                keep &= (ones[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            row, key = row[keep], key[keep]
+            order = np.lexsort((key, row))
+            row, key = row[order], key[order]
+            begin = np.searchsorted(row, row)
+            points = b.column(2).take(pa.array(row, mask=np.arange(len(row)) - begin >= HEADS))
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(key)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), points], ["key", "set_id", "n_shingles", "point"])
+
+    rows = sets.filter("n_shingles > 0").select("set_id", "n_shingles", "point", "keys")
+    return rows.mapInArrow(task, f"key long, set_id {_SET}, n_shingles long, point binary")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -194,162 +351,176 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str,
                      .select("set_id", F.struct(F.col("set_id").alias("a"), "salt", F.lit(0).alias("role")).alias("to")))
         .groupBy("set_id", F.pmod(F.hash("to.a"), F.lit(64)).alias("part")).agg(F.collect_list("to").alias("to"))
     )
-    wanted = written(roles.join(classes, "set_id").select("set_id", F.col("first").alias("wanted"), "to"), "join-wanted")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(if_small(wanted), F.col("doc_id").eqNullSafe(F.col("wanted")))
+    wanted = written(roles.join(classes, "set_id").select("set_id", "first", "to"), "join-wanted")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_a"), F.col(text_col).alias("text"))
+    rows = rows.join(if_small(wanted, items="to"), F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_a") == F.col("first.text_a")))
+    names, kinds = ["a", "salt", "role", "set_id", "hashes"], [None, pa.int32(), pa.int32(), None, pa.binary()]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([_sets(*np.array(c, np.int64).T) if k is None else pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
         for b in batches:
             out: list[tuple] = []
             size = 0
-            for h, set_id, to in zip(shingle_sets(b.column(0), words), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if len(h) == 0 or int(_signed(np.atleast_1d(mix(h * _SEED[1]).sum(dtype=np.uint64)))[0]) != set_id:
-                    continue  # another text under the same id
+            for h, set_id, to in zip(shingle_sets(b.column(0), words), _halves(b.column(1)).tolist(), b.column(2).to_pylist(), strict=True):
                 data = h.tobytes()
                 for t in to:
-                    out.append((t["a"], t["salt"], t["role"], set_id, data))
+                    out.append((tuple(t["a"].values()), t["salt"], t["role"], set_id, data))
                     size += len(data)
                     if size > 16 << 20:
-                        yield _rows(out, ["a", "salt", "role", "set_id", "hashes"])
+                        yield made(out)
                         out, size = [], 0
             if out:
-                yield _rows(out, ["a", "salt", "role", "set_id", "hashes"])
+                yield made(out)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         star, own = None, np.empty(0, np.uint64)
         for b in batches:
             out = []
-            for a, salt, role, set_id, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                h = np.frombuffer(data, np.uint64)
+            for i, (a, salt, role) in enumerate(zip(map(tuple, _halves(b.column(0)).tolist()), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                h = np.frombuffer(b.column(4)[i].as_buffer(), np.uint64)
                 if role == 0:
                     star, own = (a, salt), h
                 elif (a, salt) == star:
-                    common = len(own) + len(h) - len(np.unique(np.concatenate([own, h])))
+                    both = np.sort(np.concatenate([own, h]))
+                    common = int((both[1:] == both[:-1]).sum())
                     if common * 100 >= similar * (len(own) + len(h) - common):
-                        out.append((a, set_id))
+                        out.append(i)
             if out:
-                yield _rows(out, ["a", "b"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(out)), b.column(3).take(pa.array(out))], ["a", "b"])
 
-    sent = rows.select("text", "set_id", "to").mapInArrow(sets, "a long, salt int, role int, set_id long, hashes binary")
+    sent = rows.select("text", "set_id", "to").mapInArrow(sets, f"a {_SET}, salt int, role int, set_id {_SET}, hashes binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sent.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, "a long, b long").distinct()
+    return sent.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, f"a {_SET}, b {_SET}").distinct()
 
 
-def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = {"salt": pa.int32(), "role": pa.int32(), "hashes": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for c, n in zip(zip(*rows, strict=True), names, strict=True)], names)
-
-
-def _block_pairs(rows: DataFrame, similar: int) -> DataFrame:
-    """Candidate pairs (a, b) of unlike components from rows (key, set_id, comp, n_shingles, point, tiles)."""
-    tile = F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int")
-    both = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, tile).alias("low"), F.greatest(t, tile).alias("high")))
-    dealt = rows.select("key", F.explode(both).alias("t"), "set_id", "comp", "n_shingles", "point").select("key", "t.low", "t.high", "set_id", "comp", "n_shingles", "point")
+def _tree_pairs(rows: DataFrame, part: list[str], found, schema: str, similar: int) -> DataFrame:
+    """What `found` makes of the self-join of each part's tree. Rows are (*part, set_id, label, n_shingles, point)."""
+    width = len(part)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(block: list[tuple]) -> Iterator[pa.RecordBatch]:
-            ids, comps, sizes = (np.array(c, np.int64) for c in list(zip(*block, strict=True))[:3])
-            for i, j in pairs_in_block(unpacked([r[3] for r in block]), sizes, comps, similar):
-                yield pa.RecordBatch.from_pydict({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
+        def searched(block: list[tuple]) -> Iterator[pa.RecordBatch]:
+            ids = np.array([r[0] for r in block], np.int64).reshape(-1, 2)
+            labels = np.unique(np.array([r[1] for r in block], np.int64).reshape(-1, 2), axis=0, return_inverse=True)[1].ravel()
+            sizes = np.array([r[2] for r in block], np.int64)
+            i, j, bound = Tree(unpacked([r[3] for r in block]), sizes, labels).joined(similar)
+            if len(i):
+                yield from found(ids, sizes, i, j, bound, [r[4] for r in block])
 
         at, block = None, []
         for b in batches:
-            for *key, set_id, comp, n, p in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            keys = list(zip(*(b.column(k).to_pylist() for k in range(width)), strict=True))
+            ids, labels = (map(tuple, _halves(b.column(width + k)).tolist()) for k in (0, 1))
+            for key, *row in zip(keys, ids, labels, *(b.column(width + k).to_pylist() for k in (2, 3, 4)), strict=True):
                 if key != at:
                     if len(block) > 1:
-                        yield from found(block)
+                        yield from searched(block)
                     at, block = key, []
-                block.append((set_id, comp, n, p))
+                block.append(row)
         if len(block) > 1:
-            yield from found(block)
+            yield from searched(block)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(task, "a long, b long").distinct()
-
+    columns = [*part, "set_id", "label", "n_shingles", "point", "centre"]
+    return rows.select(*columns).repartition(parts, *part).sortWithinPartitions(*part).mapInArrow(task, schema)
 
-def _filter_places(keys) -> tuple:
-    """The two bits of the filter that a key sets, for columns and arrays alike."""
-    return keys & ((1 << FILTER_BITS) - 1), (keys >> FILTER_BITS) & ((1 << FILTER_BITS) - 1)
 
+def nearest_partners(inside: DataFrame, points: DataFrame, similar: int) -> DataFrame:
+    """(a, b): for every set, by the trees of its first keys' parts, the set with the greatest bound and the likeliest centre of its group.
 
-def _key_filter(shared: DataFrame) -> np.ndarray:
-    """A Bloom filter of the keys, 2**FILTER_BITS bits, put together by the executors word by word."""
-    low = F.lit((1 << FILTER_BITS) - 1).cast("long")
-    places = F.array(F.col("key").bitwiseAND(low), F.shiftright("key", FILTER_BITS).bitwiseAND(low))
-    place = shared.select(F.explode(places).alias("place"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    words = place.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out.view(np.uint8)
-
+    A part's centre is its member with the most neighbours over all its parts:
+    the text that a group of near copies was made from, if it is there. Parts
+    with more than TILE sets are several trees, each with the centre in it.
+    """
+    scores = inside.groupBy("set_id").agg(F.sum("n").alias("score"))
+    heads = written(inside.filter("head").join(scores, "set_id").select("key", "set_id", "score"), "join-heads")
+    centres = heads.groupBy("key").agg(F.max_by("set_id", F.struct("score", "set_id")).alias("middle"), F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("tiles"))
+    centres = written(centres, "join-centres")
+    members = heads.join(if_small(centres), "key").filter(F.col("set_id") != F.col("middle"))
+    members = members.select("key", F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int").alias("tile"), "set_id", F.lit(False).alias("centre"))
+    middles = centres.select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("middle").alias("set_id"), F.lit(True).alias("centre"))
+    rows = members.unionByName(middles).join(if_small(points, POINT_ROWS), "set_id").withColumn("label", F.col("set_id"))
+
+    def found(ids: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, bound: np.ndarray, centre: list[bool]) -> Iterator[pa.RecordBatch]:
+        of, to = np.concatenate([i, j]), np.concatenate([j, i])
+        like = np.tile(bound / (sizes[i] + sizes[j] - bound), 2)
+        middle = np.array(centre)[to]
+        order = np.lexsort((to, like, middle, of))
+        of, to, like, middle = of[order], to[order], like[order], middle[order]
+        last = np.concatenate([(of[1:] != of[:-1]) | (middle[1:] != middle[:-1]), [True]])
+        of, to = of[last], to[last]
+        yield pa.RecordBatch.from_arrays([_sets(*ids[of].T), _sets(*ids[to].T), pa.array(middle[last]), pa.array(like[last])], ["b", "a", "centre", "like"])
+
+    found_rows = _tree_pairs(rows, ["key", "tile"], found, f"b {_SET}, a {_SET}, centre boolean, like double", similar)
+    ties = found_rows.groupBy("b", "centre", "a").agg(F.count(F.lit(1)).alias("n"), F.max("like").alias("like"))
+    best = ties.groupBy("b", "centre").agg(F.max_by("a", F.struct(F.when(F.col("centre"), F.col("n")), "like", "a")).alias("a"))
+    return best.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "centre", "a", "b").groupBy("x", "y").agg(F.max_by(F.struct("a", "b"), "centre").alias("p")).select("p.a", "p.b")
+
+
+def unlike_pairs(rows: DataFrame, similar: int) -> DataFrame:
+    """Pairs (a, b) of unlike components that the trees leave, from rows (key, set_id, label, n_shingles, point, tiles)."""
+    tile = F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int")
+    both = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, tile).alias("low"), F.greatest(t, tile).alias("high")))
+    dealt = rows.select("key", F.explode(both).alias("t"), "set_id", "label", "n_shingles", "point", F.lit(False).alias("centre")).select("key", "t.low", "t.high", "*").drop("t")
 
-def _members(sets: DataFrame, shared: DataFrame) -> DataFrame:
-    """(key, set_id) of all blocks, less most of those whose key the filter doesn't know."""
-    known = sets.sparkSession.sparkContext.broadcast(_key_filter(shared))
+    def found(ids: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, bound: np.ndarray, centre: list[bool]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([_sets(*ids[i].T), _sets(*ids[j].T)], ["a", "b"])
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(known.value, bitorder="little").view(bool)
-        for b in batches:
-            keys = b.column(1).flatten().to_numpy()
-            ids = np.repeat(b.column(0).to_numpy(), pc.list_value_length(b.column(1)).to_numpy())
-            first, second = _filter_places(keys)
-            keep = bits[first] & bits[second]
-            yield pa.RecordBatch.from_pydict({"key": keys[keep], "set_id": ids[keep]})
+    pairs = _tree_pairs(dealt, ["key", "low", "high"], found, f"a {_SET}, b {_SET}", similar)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    return sets.filter("n_shingles > 0").select("set_id", "keys").mapInArrow(task, "key long, set_id long")
 
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """(doc_id, text_a, n_shingles, comp) of every row: a set id for its component of links, null for texts without words; text_a is a hash of the text.
 
-def central_partners(inside: DataFrame) -> DataFrame:
-    """(a, b): for each set b the set a that is the centre of most of its blocks.
+    Null and wordless texts have no shingles and link with nothing. Rows with
+    equal sets are in one component, whatever their number and ids, and stand as
+    one set from there on; rows that share an id but not their text may be in
+    two. No link is lost: no two linked sets differ in all keys, no part of the
+    index is capped, and every pair that may join two components is compared
+    exactly.
 
-    A block's centre is the member with the most neighbours, counted over all
-    its blocks: the text that a group of near copies was made from, if it is there.
-    """
-    sizes = inside.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    weighed = inside.join(sizes, "key")
-    scores = weighed.groupBy("set_id").agg(F.sum("n").alias("score"))
-    centres = inside.join(scores, "set_id").groupBy("key").agg(F.max_by("set_id", F.struct("score", "set_id")).alias("centre"))
-    ties = inside.join(centres, "key").filter("set_id <> centre").groupBy("set_id", "centre").agg(F.count(F.lit(1)).alias("n"))
-    return ties.groupBy(F.col("set_id").alias("b")).agg(F.max_by("centre", F.struct("n", "centre")).alias("a"))
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every document.
-
-    Null and wordless texts have no shingles and are components of their own.
-    Documents with equal sets are linked, whatever their number, and stand as
-    one set from there on. Rows that share an id are one document; a null id
-    takes part and gets the component of what it links to. No link is lost:
-    blocks miss none, no block is capped, and every pair that joins two
-    components is compared exactly.
-
-    Round one compares each set with the centre of most of its blocks; what then
-    lies in one component needs no more. Round two compares the pairs of unlike
-    components inside the blocks left, through the tree of points.
+    Round one takes each set's nearest partner and its centre by the trees of
+    its first keys; what then lies in one component needs no more. Round two
+    joins the trees of all other parts that hold unlike components.
     """
     sets = written(document_sets(docs, id_col, text_col, words, similar), "join-sets")
-    classes = written(set_classes(sets), "join-classes")
-    shared = sets.select(F.explode("keys").alias("key"), "set_id").groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"))
-    shared = written(shared.filter("low < high").select("key"), "join-blocks")
-    inside = written(_members(sets, shared).join(if_small(shared), "key").distinct(), "join-inside")
-    first = written(central_partners(inside), "join-pairs")
+    classes = written(sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_a")).alias("first")), "join-classes")
+    keys = sets.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    buckets = max(1, -(-keys // (KEY_BYTES * BUCKET_KEYS)))
+    shared = written(_shared_keys(sets, buckets), "join-shared")
+    members = written(_members(sets, shared, buckets), "join-members")
+    inside = members.groupBy("key", "set_id").agg(F.max(F.col("point").isNotNull()).alias("head"))
+    inside = written(inside, "join-inside")
+    several = inside.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    inside = written(inside.join(if_small(written(several, "join-parts")), "key"), "join-inside")
+    points = members.filter("point is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point"))
+    first = written(nearest_partners(inside, written(points, "join-points"), similar), "join-pairs")
     edges = written(verified(docs, first, classes, id_col, text_col, words, similar), "join-links")
     comps = components(edges)
 
-    placed = inside.select("key", "set_id").join(if_small(comps), F.col("set_id") == F.col("node"), "left").select("key", "set_id", F.coalesce("comp", "set_id").alias("comp"))
+    placed = inside.select("key", "set_id").join(if_small(comps), F.col("set_id") == F.col("node"), "left").select("key", "set_id", F.coalesce("comp", "set_id").alias("label"))
     placed = written(placed, "join-placed")
-    unlike = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"))
+    unlike = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
     unlike = written(unlike.filter("low < high").select("key", F.ceil(F.col("n") / F.lit(TILE)).cast("int").alias("tiles")), "join-unlike")
     mixed = written(placed.join(if_small(unlike), "key"), "join-mixed")
-    points = sets.join(if_small(written(mixed.select("set_id").distinct(), "join-mixed-sets")), "set_id", "left_semi")
-    points = points.groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point"))
-    pairs = written(_block_pairs(mixed.join(points, "set_id"), similar), "join-pairs")
+    wanted = if_small(written(mixed.select("set_id").distinct(), "join-mixed-sets"))
+    points = written(sets.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point")), "join-points")
+    pairs = written(unlike_pairs(mixed.join(if_small(points, POINT_ROWS), "set_id"), similar), "join-pairs")
     more = written(verified(docs, pairs, classes, id_col, text_col, words, similar), "join-links")
-    comps = components(edges.unionByName(more))
-
-    named = classes.join(comps, F.col("set_id") == F.col("node"), "left").select("set_id", "first", F.coalesce("comp", "set_id").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "comp").select("set_id", "component_id")
-    return sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id")).join(named, "set_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    comps = written(components(edges.unionByName(more)), "join-comps")
+    return sets.select("doc_id", "text_a", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id")).join(
+        if_small(comps), F.col("set_id") == F.col("node"), "left"
+    ).select("doc_id", "text_a", "n_shingles", F.coalesce("comp", "set_id").alias("comp"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row: the smallest doc_id in its component, by jaccard_groups().
+
+    Texts without words are components of their own. A null id takes part and
+    gets the component of what it links to. No rows: no rows.
+    """
+    found = written(jaccard_groups(docs, id_col, text_col, words, similar), "join-groups")
+    least = found.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
