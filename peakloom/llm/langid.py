@@ -16,10 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: n-gram lengths, hashed presence bits.
 ORDERS, BITS = (1, 2, 3, 4), 15
 #: Per language: rows to fit on, of which so many are landmarks. Bounds what reaches the driver (4 KB a row).
 SAMPLE_ROWS, LANDMARKS = 300, 64
+#: Languages that can be told apart; with more there is no fit but an error.
+MOST_LANGUAGES = 200
 #: Ridge, and the sharpness with which regression values become scores.
 RIDGE, SHARPNESS = 1e-3, 4.0
 #: Texts scored by one matrix product.
@@ -83,7 +87,9 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     pool = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("draw")
     )
-    share = pool.groupBy("lang").agg((2.0 * rows / F.count(F.lit(1))).alias("share"))
+    share = written(pool.groupBy("lang").agg((2.0 * rows / F.count(F.lit(1))).alias("share")), "lang-shares")
+    if share.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     thin = pool.join(F.broadcast(share), "lang").filter(F.pmod("draw", F.lit(1 << 20)) < F.col("share") * (1 << 20))
     ranked = thin.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).filter(F.col("rank") <= rows)
 

@@ -1,4 +1,9 @@
-"""Licence scan: sparse TF-IDF cosine of every line against licence templates, then inheritance from the nearest directory above."""
+"""Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory above.
+
+A template is compared with every run of as many words of a text, so it does
+not matter how a notice is wrapped, commented or set into other text, and a
+licence file is compared as a whole with the full text of a licence.
+"""
 
 from __future__ import annotations
 
@@ -7,36 +12,86 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .shingles import Powers, chunks, mix, utf8
 
-#: Cosine from which a line names a licence.
+#: Cosine from which a window names a licence.
 SIMILAR = 0.8
 #: Names of files that license their directory and all below it.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([.\-_].*)?$"
-#: Notices by which licences are usually declared, with their SPDX identifiers.
+#: Texts by which licences are usually declared, with their SPDX identifiers. Placeholders for names are left out.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_THREE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY "
+    "AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+    "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+     'http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, '
+     "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD-2-Clause", _BSD + _BSD_END),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", _BSD + _BSD_THREE + _BSD_END),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
+     "either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty "
+     "of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
+     "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+     "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+     "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+     "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+)
 #: Words are runs of ASCII letters and digits, in lower case; all else, letters of other scripts too, is between words.
 WORD = re.compile(r"[a-z0-9]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+_BYTES = np.arange(256)
+_IN_WORD = ((_BYTES >= 97) & (_BYTES <= 122)) | ((_BYTES >= 65) & (_BYTES <= 90)) | ((_BYTES >= 48) & (_BYTES <= 57))
+_VALUES = np.random.default_rng(77).integers(1, 1 << 63, 256, np.uint64)[np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES)]
+
+
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.translate(_LOWER))
 
 
-def words_of(line: str) -> list[str]:
-    return WORD.findall(line.translate(_LOWER))
+def _spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of some texts begin and end, their hashes, and for each text the number of its first word (one more at the end)."""
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    word = _IN_WORD[data]
+    out = np.concatenate([[True], ~word, [True]])
+    starts = np.flatnonzero(word & (out[:-2] | edge[:-1]))
+    ends = np.flatnonzero(word & (out[2:] | edge[1:])) + 1
+    up, down = Powers.upto(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[data] * up[: len(data)], out=sums[1:])
+    return starts, ends, mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, offsets)
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    data = "".join(words).encode()
+    return _spans(np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64), np.frombuffer(data, np.uint8))[2]
 
 
 class Templates:
@@ -49,30 +104,77 @@ class Templates:
         for name, text in templates:
             tf = Counter(words_of(text))
             norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in sorted(tf.items())))
-            self.vectors.append((name, {w: n * self.idf[w] ** 2 / norm for w, n in tf.items()}))
-
-    def best(self, line: str) -> tuple[float, str] | None:
-        """Greatest cosine with a template, and its licence; a word of no template weighs as one of no document."""
-        words = words_of(line)
-        if self.idf.keys().isdisjoint(words):
-            return None
+            self.vectors.append((name, sum(tf.values()), {w: n * self.idf[w] ** 2 / norm for w, n in tf.items()}))
+        known = sorted(self.idf)
+        hashes = _hashes(known)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        # by place in hashes, and last for any other word
+        self.squares = np.array([self.idf[known[i]] ** 2 for i in order] + [self.unseen**2])
+        self.weights = [np.array([v.get(known[i], 0.0) for i in order] + [0.0]) for _, _, v in self.vectors]
+
+    def cosine(self, template: int, words: list[str]) -> float:
         tf = Counter(words)
-        known = {w: n for w, n in tf.items() if w in self.idf}
         norm = math.sqrt(sum((n * self.idf.get(w, self.unseen)) ** 2 for w, n in tf.items()))
-        return max(((sum(n * v[w] for w, n in known.items() if w in v) / norm, name) for name, v in self.vectors), key=lambda x: (round(x[0], 9), [-ord(c) for c in x[1]]))
+        vector = self.vectors[template][2]
+        return sum(n * vector[w] for w, n in tf.items() if w in vector) / norm
+
+    def best(self, column: pa.Array, similar: float) -> list[tuple[str | None, float | None]]:
+        """For each text the licence of the window with the greatest cosine to a template, and the cosine; none below `similar`.
+
+        A window has as many words as the template, or all of a shorter text's.
+        Its vector is at least as long as if its words were all different, which
+        bounds the cosine; only windows that the bound leaves are looked at word
+        by word.
+        """
+        out: list[tuple[str | None, float | None]] = [(None, None)] * len(column)
+        offsets, data = utf8(column)
+        for lo, hi in chunks(offsets):
+            part = data[offsets[lo] : offsets[hi]]
+            starts, ends, hashes, first = _spans(offsets[lo : hi + 1] - offsets[lo], part)
+            place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            place = np.where(self.hashes[place] == hashes, place, len(self.hashes))
+            squares = np.concatenate([[0.0], np.cumsum(self.squares[place])])
+            sizes = np.diff(first)
+            text_of = np.repeat(np.arange(hi - lo), sizes)
+            found: dict[int, list[tuple[float, str]]] = {}
+            for t, (name, n, _) in enumerate(self.vectors):
+                weights = np.concatenate([[0.0], np.cumsum(self.weights[t][place])])
+                at = np.flatnonzero((np.arange(len(place)) + n <= first[text_of + 1]) | (np.arange(len(place)) == first[text_of])) if len(place) else text_of
+                to = np.minimum(at + n, first[text_of[at] + 1])
+                dots = weights[to] - weights[at]
+                near = dots >= (similar - 1e-6) * np.sqrt(squares[to] - squares[at])
+                for a, b in zip(at[near].tolist(), to[near].tolist(), strict=True):
+                    words = [bytes(part[s:e]).decode().translate(_LOWER) for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
+                    cosine = self.cosine(t, words)
+                    if cosine >= similar - 1e-9:
+                        found.setdefault(int(text_of[a]), []).append((cosine, name))
+            for i, each in found.items():
+                score, name = max(each, key=lambda x: (round(x[0], 9), [-ord(c) for c in x[1]]))
+                out[lo + i] = name, score
+        return out
 
 
 def document_counts(files: DataFrame, text_col: str, templates=TEMPLATES) -> tuple[int, dict[str, int]]:
     """How many texts there are, and how many hold each word of the templates: a table as small as the templates."""
-    vocabulary = frozenset(w for _, t in templates for w in words_of(t))
+    vocabulary = sorted({w for _, t in templates for w in words_of(t)})
+    hashes = _hashes(vocabulary)
+    order = np.argsort(hashes)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[str] = Counter()
+        found, texts = np.zeros(len(order), np.int64), 0
         for b in batches:
-            for text in b.column(0).to_pylist():
-                found.update(vocabulary.intersection(words_of(text or "")))
-                found[""] += 1
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+            texts += len(b.column(0))
+            offsets, data = utf8(b.column(0))
+            for lo, hi in chunks(offsets):
+                _, _, h, first = _spans(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]])
+                place = np.minimum(np.searchsorted(hashes[order], h), len(order) - 1)
+                here = np.flatnonzero(hashes[order][place] == h)
+                text_of = np.searchsorted(first, here, "right") - 1
+                pairs = np.unique(text_of * len(order) + place[here])
+                found += np.bincount(pairs % len(order), minlength=len(order))
+        counts = {vocabulary[i]: n for i, n in zip(order, found.tolist(), strict=True) if n} | {"": texts}
+        yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
     rows = files.select(text_col).mapInArrow(task, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = {r.word: r.n for r in rows}
@@ -80,21 +182,19 @@ def document_counts(files: DataFrame, text_col: str, templates=TEMPLATES) -> tup
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", carry: tuple[str, ...] = (), templates=TEMPLATES, similar: float = SIMILAR) -> DataFrame:
-    """path, the columns in carry, own_licence and similarity of every file: its line most like a template, null below `similar`.
+    """path, the columns in carry, own_licence and similarity of every file: its window most like a template, null below `similar`.
 
-    Whole texts are read, every line on its own. Null and empty texts have no
-    licence. Of equal cosines (to 9 digits) the licence first in order counts.
+    Whole texts are read. Null, empty and wordless texts have no licence. Of
+    equal cosines (to 9 digits) the licence first in order counts. Rows that
+    repeat and null paths are judged like others; no rows: no rows. Columns of
+    files other than these may have any names; carried ones must not be called
+    path, own_licence or similarity.
     """
     known = Templates(templates, *document_counts(files, text_col, templates))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores = [], []
-            for text in b.column(1).to_pylist():
-                found = [x for line in (text or "").split("\n") if (x := known.best(line)) and x[0] >= similar - 1e-9]
-                score, name = max(found, key=lambda x: (round(x[0], 9), [-ord(c) for c in x[1]]), default=(None, None))
-                names.append(name)
-                scores.append(score)
+            names, scores = zip(*known.best(b.column(1), similar), strict=True) if len(b.column(1)) else ((), ())
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], columns)
 
     rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
@@ -131,6 +231,10 @@ def inherit(scanned: DataFrame) -> DataFrame:
     )
 
 
-def licences(files: DataFrame, path_col: str = "path", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """scan() and inherit() in one."""
-    return inherit(written(scan(files, path_col, text_col, carry), "licence-scan"))
+def licences(files: DataFrame, path_col: str = "path", text_col: str = "text", carry: tuple[str, ...] = (), templates=TEMPLATES, similar: float = SIMILAR) -> DataFrame:
+    """path, the columns in carry, own_licence, similarity, licence and licence_dir of every file, by scan() and inherit().
+
+    A file without a path or a licensed directory above it, and without a
+    licence of its own, has null in all four.
+    """
+    return inherit(written(scan(files, path_col, text_col, carry, templates, similar), "licence-scan"))

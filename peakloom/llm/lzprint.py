@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,28 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shingles import Powers
+
 #: Hashes kept of each phrase set.
 KEPT = 64
 #: Key ranges per shuffle partition: several small ones even out what a partition gets.
 RANGES = 8
 
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
-
-
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, grown as texts need them."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n + 1:
-            size = (n + 0x10000) & ~0xFFFF
-            cls.up, cls.down = (np.cumprod(np.append(np.ones(1, np.uint64), np.full(size, x, np.uint64))) for x in (_ODD, _INVERSE))
-        return cls.up, cls.down
-
-
 def _parse(data: bytes, node: dict, root: dict, grown: list[dict], ends: list[int], at: int) -> dict:
     """Go on with the parse: node is where it stands in the phrase trie; new phrases end at the positions put into ends."""
     for at, byte in enumerate(data, at):
@@ -50,7 +36,7 @@ def _signature(data: bytes, ends: list[int]) -> np.ndarray:
     """The KEPT smallest 32-bit hashes of the phrases data[ends[i-1]:ends[i]], ascending."""
     if not ends:
         return np.empty(0, np.uint32)
-    up, down = _Powers.upto(len(data))
+    up, down = Powers.upto(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     to = np.array(ends)
@@ -101,15 +87,14 @@ def as_text(signature: np.ndarray) -> str:
 
 
 def _range_of(key: Column, splits: list) -> Column:
-    """The number of splits at or below key (null: 0), found in two steps of about the square root of their number."""
+    """The number of splits (in order) at or below key; null: 0. A binary search in one array, which the plan holds as a single constant."""
     if not splits:
         return F.lit(0)
-    step = max(1, int(len(splits) ** 0.5))
-    groups = [splits[i : i + step] for i in range(0, len(splits), step)]
-    below = lambda array: F.coalesce(F.size(F.filter(array, lambda s: s <= key)), F.lit(0))
-    group = below(F.array(*(F.lit(g[0]) for g in groups)))
-    inside = below(F.element_at(F.array(*(F.array(*map(F.lit, g)) for g in groups)), group))
-    return F.when(key.isNull() | (group == 0), 0).otherwise((group - 1) * step + inside)
+    kind = "array<long>" if isinstance(splits[0], int) else "array<double>" if isinstance(splits[0], float) else "array<string>"
+    known = F.from_json(F.lit(json.dumps(splits)), kind)
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(splits).bit_length()))))
+    further = lambda at, step: (at + step <= len(splits)) & F.coalesce(F.get(known, at + step - 1) <= key, F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(further(at, step), at + step).otherwise(at))
 
 
 def with_successor(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
@@ -122,7 +107,7 @@ def with_successor(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * RANGES
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    quantiles = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 100 * n)).first()[0]
+    quantiles = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n)).first()[0]
     bucket = _range_of(F.col("id"), sorted(set(quantiles or [])))
     heads = sorted(rows.groupBy(bucket.alias("bucket")).agg(F.max("id").alias("id")).collect())
     if not heads:

@@ -45,15 +45,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_ep
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
-    """How many words the mix takes of every document: doc_id, size, source_size, target, taken, copies.
+    """How many words the mix takes of every document: doc_id, text_a (a hash of the text), size, source_size, target, taken, copies.
 
     Each document gets a key md5(seed:id:size). Within its source documents
     stand in key order; whole epochs come first, then the order is cut exactly
     at what is left of the budget floor(target), the document on the cut giving
     a part of its words. copies counts the epochs that the document is in.
     Null text: size 0. Null source: a source of its own, last. Repeated rows
-    each count. Equal keys are ordered by id and size; rows equal in both are
-    interchangeable. An empty input gives an empty result.
+    each count. Equal keys are ordered by id, size and text_a; rows equal in all
+    are interchangeable. An empty input gives an empty result.
 
     The key's leading digits split a source into ranges, so a hot source is
     summed in 4096 pieces: partial sums a range, a running sum over ranges, and
@@ -62,18 +62,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("size").cast("string")).cast("binary"))
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_a"),
         F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col))).alias("src"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
     keyed = written(
-        sized.withColumn("key", key).withColumn("part", F.substring("key", 1, RANGE_DIGITS)).select("doc_id", "src", "size", "key", "part"),
+        sized.withColumn("key", key).withColumn("part", F.substring("key", 1, RANGE_DIGITS)).select("doc_id", "text_a", "src", "size", "key", "part"),
         "mix-keys",
     )
     parts = keyed.groupBy("src", "part").agg(F.sum("size").alias("part_size"))
     ahead = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("src", "part", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)).alias("before"))
     targets = source_targets(keyed.groupBy("src").agg(F.sum("size").alias("source_size")))
-    within = Window.partitionBy("src", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("src", "part").orderBy("key", "doc_id", "size", "text_a").rowsBetween(Window.unboundedPreceding, 0)
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("start")))
@@ -85,7 +86,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("epochs", epochs)
         .withColumn("left", budget - F.col("epochs") * F.col("source_size"))
         .select(
-            "doc_id", "size", "source_size", "target",
+            "doc_id", "text_a", "size", "source_size", "target",
             (F.col("epochs") * F.col("size") + rest).cast("long").alias("taken"),
             (F.col("epochs") + F.when(rest > 0, 1).otherwise(0)).cast("int").alias("copies"),
         )

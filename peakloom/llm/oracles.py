@@ -49,17 +49,24 @@ with tpl as (select * from (values {_TEMPLATES}) as v(t, name, text)),
 lower_of as (select t, name, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from tpl),
 tw as (select t, name, unnest(regexp_extract_all(text, '[a-z0-9]+')) as word from lower_of),
 ttf as (select t, name, word, count(*) as n from tw group by all),
-lines as (select doc_id, row_number() over () as line, translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as l
-  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as l from documents)),
-lw as (select doc_id, line, unnest(regexp_extract_all(l, '[a-z0-9]+')) as word from lines),
+size_of as (select t, count(*) as m from tw group by 1),
+listed as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') as ws from documents),
+pos as (select doc_id, len(ws) as len, unnest(ws) as word, unnest(range(0, len(ws))) as p from listed),
 total as (select count(*) as n from documents),
-df as (select word, count(distinct doc_id) as df from lw where word in (select word from ttf) group by 1),
+df as (select word, count(distinct doc_id) as df from pos where word in (select word from ttf) group by 1),
 idf as (select word, ln((1 + total.n) / cast(1 + coalesce(df, 0) as double)) + 1 as idf from (select distinct word from ttf) left join df using (word), total),
-ltf as (select doc_id, line, word, count(*) as n from lw group by all),
-lnorm as (select doc_id, line, sqrt(sum((ltf.n * coalesce(idf, ln(cast(1 + total.n as double)) + 1)) ** 2)) as norm from ltf left join idf using (word), total group by 1, 2),
 tnorm as (select t, sqrt(sum((n * idf) ** 2)) as norm from ttf join idf using (word) group by 1),
-dots as (select ltf.doc_id, ltf.line, ttf.t, ttf.name, sum(ltf.n * ttf.n * idf * idf) as d from ltf join ttf using (word) join idf using (word) group by all),
-cosines as (select doc_id, name, round(d / (lnorm.norm * tnorm.norm), 9) as c from dots join lnorm using (doc_id, line) join tnorm using (t)),
+weight as (select t, word, n * idf * idf / norm as w from ttf join idf using (word) join tnorm using (t)),
+valued as (select pos.*, size_of.t, m, coalesce(idf, ln(cast(1 + total.n as double)) + 1) as idf, coalesce(w, 0) as w
+  from pos cross join size_of cross join total left join idf using (word) left join weight on weight.t = size_of.t and weight.word = pos.word),
+running as (select *, sum(w) over r as upto_w, sum(idf * idf) over r as upto_i from valued window r as (partition by doc_id, t order by p rows unbounded preceding)),
+ended as (select a.doc_id, a.t, a.p, least(a.m, a.len) as m, b.upto_w - a.upto_w + a.w as dot, b.upto_i - a.upto_i + a.idf * a.idf as squares
+  from running a join running b on b.doc_id = a.doc_id and b.t = a.t and b.p = a.p + least(a.m, a.len) - 1),
+near as (select * from ended where dot >= (cast(0.8 as double) - cast(0.000001 as double)) * sqrt(greatest(squares, 0))),
+wtf as (select n.doc_id, n.t, n.p, v.word, any_value(idf) as idf, any_value(w) as w, count(*) as n
+  from near n join valued v on v.doc_id = n.doc_id and v.t = n.t and v.p between n.p and n.p + n.m - 1 group by all),
+windows as (select doc_id, t, p, sum(n * w) / sqrt(sum((n * idf) ** 2)) as c from wtf group by all),
+cosines as (select doc_id, name, round(c, 9) as c from windows join tpl using (t)),
 own as (select doc_id, name as own_licence, c from (select *, row_number() over (partition by doc_id order by c desc, name) as r from cosines where c >= 0.8 - 1e-9) where r = 1),
 files as (select doc_id, concat_ws('/', source, doc_id // 512, case when doc_id % 64 <> 0 then doc_id // 64 end, case when doc_id % 8 = 0 then 'LICENSE' else concat('doc', doc_id, '.txt') end) as path,
   concat_ws('/', source, doc_id // 512, case when doc_id % 64 <> 0 then doc_id // 64 end) as dir, concat_ws('/', source, doc_id // 512) as parent, doc_id % 8 = 0 as licence_file from documents),

@@ -18,7 +18,7 @@ _VALUES = np.random.default_rng(20240131).integers(1, 1 << 63, 256, np.uint64)[_
 _STEPS = np.random.default_rng(7).integers(1, 1 << 63, 16, np.uint64) | np.uint64(1)
 
 
-class _Powers:
+class Powers:
     """Powers of an odd number and of its inverse modulo 2**64."""
 
     up = down = np.ones(1, np.uint64)
@@ -67,7 +67,7 @@ def _word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.
     word = ~blank[1:-1]
     starts = np.flatnonzero(word & (blank[:-2] | edge[:-1]))
     ends = np.flatnonzero(word & (blank[2:] | edge[1:])) + 1
-    up, down = _Powers.upto(n)
+    up, down = Powers.upto(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUES[data] * up[:n], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, offsets)

@@ -5,6 +5,9 @@ substrings, so equal strings are filed together wherever they are. Neighbouring
 strings of a text mostly share that hash: a text is cut into contexts, runs of
 such starts with the bytes they span. Equal contexts are counted before
 anything moves; the different contexts of a hash are suffix-sorted together.
+If these are too many for one task, each is cut by the distance of its starts
+from that least substring, and filed anew under what all strings of a stretch of
+distances have in common.
 """
 
 from __future__ import annotations
@@ -19,44 +22,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import if_small, written
-from .shingles import chunks, mix, utf8
+from .shingles import Powers, chunks, mix, utf8
 from .suffixes import common_prefixes, sorted_suffixes
 
 #: Bytes of a repeated string, and of the substrings that file it.
 LENGTH, GRAM = 400, 48
-#: Bytes sorted at once; contexts of one hash with more bytes than that are split by string instead.
-BLOCK_BYTES = 2 << 20
+#: Bytes sorted at once; contexts of one hash with more bytes than that are filed anew by stretches of so many distances, in turn.
+BLOCK_BYTES, STRETCHES = 2 << 20, (32, 1)
+#: Bytes of text looked at at once, which leave 40 bits of a hash beside a place; a longer text is cut into overlapping parts.
+PART_BYTES = (1 << 24) - (1 << 16)
 #: Cuts and spans (some 70 bytes each) that are broadcast together.
 BROADCAST_SPANS = 1_200_000
 
-_ODD = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(31).integers(1, 1 << 63, 256, np.uint64)
 
 
-class _Powers:
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n + 1:
-            size = (n + 0x10000) & ~0xFFFF
-            cls.up, cls.down = (np.cumprod(np.append(np.ones(1, np.uint64), np.full(size, x, np.uint64))) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
-        return cls.up, cls.down
+def _grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all `gram`-byte substrings."""
+    n = len(data)
+    up, down = Powers.upto(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUES[data] * up[:n], out=sums[1:])
+    return mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
 
 
 def _least_grams(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all `gram`-byte substrings, and for each start where the least (the leftmost of equal ones) is in the `length` bytes from there.
+    """_grams(), and for each start where the least (the leftmost of equal ones) is in the `length` bytes from there.
 
-    Hashes compare by their high bits, so that the low ones can hold the place.
+    Hashes compare by their 40 high bits, so that the others can hold the place; equal strings agree in both.
     """
-    n = len(data)
-    up, down = _Powers.upto(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUES[data] * up[:n], out=sums[1:])
-    h = mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+    h = _grams(data, gram)
     width = length - gram + 1
     rows = -(-len(h) // width)
-    place = np.uint64((1 << max(24, len(h).bit_length())) - 1)
+    place = np.uint64((1 << 24) - 1)
     grid = np.full(rows * width, np.iinfo(np.uint64).max, np.uint64)
     grid[: len(h)] = (h & ~place) | np.arange(len(h), dtype=np.uint64)
     grid = grid.reshape(rows, width)
@@ -88,6 +86,18 @@ def contexts(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH, gram:
     return text, first, stop - first, hashes[place[first]]
 
 
+def _parts(offsets: np.ndarray, data: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, bytes of it left out before, offsets, bytes) of groups of texts, or of parts of a very long text that share length - 1 bytes."""
+    for lo, hi in chunks(offsets):
+        size = int(offsets[hi] - offsets[lo])
+        if size <= PART_BYTES:
+            yield lo, 0, offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
+            continue
+        for base in range(0, size - length + 1, PART_BYTES):
+            part = data[offsets[lo] + base : offsets[lo] + min(size, base + PART_BYTES + length - 1)]
+            yield lo, base, np.array([0, len(part)]), part
+
+
 def _key(text: Column) -> list[Column]:
     whole = F.coalesce(text, F.lit(""))
     return [F.xxhash64(whole).alias("text_a"), F.hash(whole).alias("text_b")]
@@ -99,16 +109,14 @@ def _context_rows(docs: DataFrame, id_col: str, text_col: str, length: int) -> D
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offsets, data = utf8(b.column(3))
-            for lo, hi in chunks(offsets):
-                own = offsets[lo : hi + 1] - offsets[lo]
-                part = data[offsets[lo] : offsets[hi]]
+            for lo, base, own, part in _parts(offsets, data, length):
                 text, first, starts, least = contexts(own, part, length, min(GRAM, length))
                 view = memoryview(part)
                 digests = b"".join([xxhash.xxh3_128_digest(view[s : s + n + length - 1]) for s, n in zip(first.tolist(), starts.tolist(), strict=True)])
                 pair = np.frombuffer(digests, "<i8").reshape(-1, 2)
                 rows = pa.array(text + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(i).take(rows) for i in range(3)), pa.array((first - own[text]).astype(np.int32)), pa.array(starts.astype(np.int32)),
+                    [*(b.column(i).take(rows) for i in range(3)), pa.array((first - own[text] + base).astype(np.int32)), pa.array(starts.astype(np.int32)),
                      pa.array(least.view(np.int64)), pa.array(pair[:, 0]), pa.array(pair[:, 1])],
                     ["doc_id", "text_a", "text_b", "at", "starts", "hash", "context_a", "context_b"],
                 )
@@ -120,8 +128,8 @@ def _context_rows(docs: DataFrame, id_col: str, text_col: str, length: int) -> D
 
 def _with_bytes(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     """Add the bytes of contexts, each cut from one text that has it."""
-    by_text = distinct.select("of.*", "hash", "context_a", "context_b", "times", "hot").groupBy("doc_id", "text_a", "text_b").agg(
-        F.collect_list(F.struct("at", "starts", "hash", "context_a", "context_b", "times", "hot")).alias("cuts")
+    by_text = distinct.select("of.*", "hash", "context_a", "context_b", "times").groupBy("doc_id", "text_a", "text_b").agg(
+        F.collect_list(F.struct("at", "starts", "hash", "context_a", "context_b", "times")).alias("cuts")
     )
     rows = docs.select(F.col(id_col).alias("own_id"), *(c.alias(f"own_{n}") for n, c in zip("ab", _key(F.col(text_col)), strict=True)), F.col(text_col).alias("text"))
     joined = rows.join(
@@ -130,8 +138,8 @@ def _with_bytes(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str
     )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["hash", "context_a", "context_b", "starts", "times", "hot", "data"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+        names = ["hash", "context_a", "context_b", "starts", "times", "data"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         for b in batches:
             offsets, data = utf8(b.column(0))
             out, size = [], 0
@@ -139,7 +147,7 @@ def _with_bytes(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str
                 for c in cuts:
                     at = offsets[i] + c["at"]
                     piece = data[at : at + c["starts"] + length - 1].tobytes()
-                    out.append((c["hash"], c["context_a"], c["context_b"], c["starts"], c["times"], c["hot"], piece))
+                    out.append((c["hash"], c["context_a"], c["context_b"], c["starts"], c["times"], piece))
                     size += len(piece)
                     if size > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
@@ -147,7 +155,7 @@ def _with_bytes(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    schema = "hash long, context_a long, context_b long, starts int, times long, hot boolean, data binary"
+    schema = "hash long, context_a long, context_b long, starts int, times long, data binary"
     return joined.select("text", "cuts").mapInArrow(task, schema)
 
 
@@ -209,25 +217,66 @@ def _sorted_spans(pieces: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(task, "context_a long, context_b long, spans array<struct<low: int, high: int>>")
 
 
-def _counted_spans(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for hashes with too many contexts to sort in one task: every string is counted on its own."""
+def _refiled(pieces: DataFrame, length: int, stretch: int) -> DataFrame:
+    """Contexts cut by distance from their least gram, in stretches: (hash, context_a, context_b, starts, times, data, place, of_a, of_b, low).
+
+    place is where the gram is, given for contexts that were cut before.
+    All strings of a stretch have length - stretch + 1 bytes in common, whose
+    hash, with the stretch, is the new one. In stretches of 1 that is the whole
+    string, so no bytes are needed any more.
+    """
+    gram = min(GRAM, length)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["hash", "context_a", "context_b", "starts", "times", "data", "place", "of_a", "of_b", "low"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
         for b in batches:
-            for a, c, starts, times, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            out = []
+            for least, of_a, of_b, starts, times, data, place in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                if place is None:
+                    place = int(np.flatnonzero(_grams(np.frombuffer(data, np.uint8), gram).view(np.int64) == least)[0])
                 view = memoryview(data)
-                pair = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[i : i + length]) for i in range(starts)]), "<i8").reshape(-1, 2)
-                fixed = lambda v: pa.array(np.full(starts, v, np.int64))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(pair[:, 0]), pa.array(pair[:, 1]), fixed(a), fixed(c), pa.array(np.arange(starts, dtype=np.int32)), fixed(times)],
-                    ["string_a", "string_b", "context_a", "context_b", "low", "times"],
-                )
+                for k in range((place - starts + 1) // stretch, place // stretch + 1):
+                    low, high = max(0, place - (k + 1) * stretch + 1), min(starts - 1, place - k * stretch)
+                    common = view[place - k * stretch : place - (k + 1) * stretch + 1 + length]
+                    part = view[low : high + length]
+                    digest = np.frombuffer(xxhash.xxh3_128_digest(part), "<i8").tolist()
+                    key = np.uint64(xxhash.xxh3_64_intdigest(common, seed=k)).view(np.int64)
+                    out.append((int(key), *digest, high - low + 1, times, bytes(part) if stretch > 1 else b"", place - low, of_a, of_b, low))
+                if len(out) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    schema = "string_a long, string_b long, context_a long, context_b long, low int, times long"
-    strings = pieces.select("context_a", "context_b", "starts", "times", "data").mapInArrow(task, schema)
-    often = strings.groupBy("string_a", "string_b").agg(F.sum("times").alias("n")).filter("n > 1").select("string_a", "string_b")
-    kept = strings.join(often, ["string_a", "string_b"], "left_semi")
-    return kept.groupBy("context_a", "context_b").agg(F.collect_list(F.struct("low", F.col("low").alias("high"))).alias("spans"))
+    schema = "hash long, context_a long, context_b long, starts int, times long, data binary, place int, of_a long, of_b long, low int"
+    return pieces.select("hash", "context_a", "context_b", "starts", "times", "data", "place").mapInArrow(task, schema)
+
+
+def _spans(pieces: DataFrame, length: int, stretches: tuple[int, ...] = STRETCHES) -> DataFrame:
+    """(context_a, context_b, spans): the repeated starts of each of the different contexts of hashes, (hash, context_a, context_b, starts, times, data, place)."""
+    hot = pieces.groupBy("hash").agg(F.sum(F.octet_length("data")).alias("n")).filter(F.col("n") > BLOCK_BYTES).select("hash")
+    hot = written(hot, "suffix-hot")
+    few = _sorted_spans(pieces.join(if_small(hot), "hash", "left_anti"), length)
+    if hot.isEmpty():
+        return few
+    stretch, *shorter = stretches
+    many = pieces.join(if_small(hot), "hash", "left_semi").dropDuplicates(["hash", "context_a", "context_b"])
+    parts = written(_refiled(many, length, stretch), "suffix-refiled")
+    # in stretches of 1 a context is a string, so those under one hash are told apart by themselves
+    group = ["hash", "context_a", "context_b"] if stretch == 1 else ["hash"]
+    differ = (F.min("context_a") < F.max("context_a")) | (F.min("context_b") < F.max("context_b"))
+    shared = written(parts.groupBy(*group).agg(F.sum("times").alias("n"), differ.alias("several")).filter("n > 1").drop("n"), "suffix-hashes")
+    again = written(parts.join(if_small(shared), group), "suffix-shared")
+    found = again.filter("not several").select("of_a", "of_b", F.struct("low", (F.col("low") + F.col("starts") - 1).alias("high")).alias("s"))
+    if shorter:
+        distinct = again.filter("several").groupBy("hash", "context_a", "context_b").agg(
+            F.first("starts").alias("starts"), F.sum("times").alias("times"), F.first("data").alias("data"), F.first("place").alias("place")
+        )
+        inner = written(_spans(written(distinct, "suffix-distinct"), length, tuple(shorter)), "suffix-inner")
+        within = again.filter("several").join(inner, ["context_a", "context_b"]).select("of_a", "of_b", "low", F.explode("spans").alias("t"))
+        found = found.unionByName(within.select("of_a", "of_b", F.struct((F.col("low") + F.col("t.low")).alias("low"), (F.col("low") + F.col("t.high")).alias("high")).alias("s")))
+    return few.unionByName(found.groupBy(F.col("of_a").alias("context_a"), F.col("of_b").alias("context_b")).agg(F.collect_list("s").alias("spans")))
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH) -> DataFrame:
@@ -239,11 +288,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     distinct = again.filter("several").groupBy("hash", "context_a", "context_b").agg(
         F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "text_a", "text_b", "at", "starts")).alias("of")
     )
-    distinct = written(distinct, "suffix-distinct")
-    hot = distinct.groupBy("hash").agg((F.sum(F.col("of.starts") + length) > BLOCK_BYTES).alias("hot")).filter("hot")
-    distinct = distinct.join(if_small(written(hot, "suffix-hot")), "hash", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    pieces = written(_with_bytes(docs, distinct, id_col, text_col, length), "suffix-pieces")
-    spans = written(_sorted_spans(pieces.filter("not hot"), length).unionByName(_counted_spans(pieces.filter("hot"), length)), "suffix-spans")
+    pieces = written(_with_bytes(docs, written(distinct, "suffix-distinct"), id_col, text_col, length), "suffix-pieces")
+    spans = written(_spans(pieces.withColumn("place", F.lit(None).cast("int")), length), "suffix-spans")
 
     where = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
     whole = again.filter("not several").select("text_a", "text_b", where(F.col("at"), F.col("at") + F.col("starts") - 1).alias("span"))

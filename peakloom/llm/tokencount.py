@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import if_small, written
 from .files import created, opened
 
 #: Where the public vocabularies lie, and the one to use: 50,256 ids, so that 50256 is free to end documents.
@@ -82,7 +82,8 @@ def count_tokens(files: DataFrame, separator: int = SEPARATOR, block_tokens: int
     """(path, ordinal, n_tokens) for every document of the flat files (path, n_tokens).
 
     A document is what lies between separators; one that the file's end cuts off
-    counts too, an empty one has 0 tokens, an empty file has none. Every block
+    counts too, an empty one has 0 tokens, an empty file has none, nor has one
+    of null size. A file that is listed twice is counted twice. Every block
     is read by range on its own, so one large file is spread over all tasks.
     """
 
@@ -102,13 +103,15 @@ def count_tokens(files: DataFrame, separator: int = SEPARATOR, block_tokens: int
         "path", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / F.lit(block_tokens)).cast("long"))).alias("block"), "n_tokens"
     )
     parts = 4 * files.sparkSession.sparkContext.defaultParallelism
-    found = blocks.repartition(parts).mapInArrow(task, "path string, block long, ends array<long>")
+    found = written(blocks.repartition(parts).mapInArrow(task, "path string, block long, ends array<long>"), "token-ends")
+    # the scan over blocks needs two numbers of each, so that a file of very many is no load for its task
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = found.select(
-        "path", "ends",
-        F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0)).alias("before"),
-        F.coalesce(F.max(F.array_max("ends")).over(earlier), F.lit(-1)).alias("last_end"),
+    scanned = found.select("path", "block", F.size("ends").alias("n"), F.array_max("ends").alias("last")).select(
+        "path", "block",
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+        F.coalesce(F.max("last").over(earlier), F.lit(-1)).alias("last_end"),
     )
+    stitched = found.join(if_small(written(scanned, "token-scan")), ["path", "block"])
     starts = F.concat(F.array("last_end"), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))))
     return (
         stitched.filter(F.size("ends") > 0)
@@ -118,6 +121,10 @@ def count_tokens(files: DataFrame, separator: int = SEPARATOR, block_tokens: int
 
 
 def document_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS) -> DataFrame:
-    """doc_id and n_tokens of every document, counted from token files that this writes under folder. Repeated ids give repeated rows."""
+    """doc_id and n_tokens of every document, counted from token files that this writes under folder.
+
+    Null and empty texts have 0 tokens. Repeated and null ids give a row each.
+    No documents: no rows. Columns other than the two named play no part.
+    """
     files, places = write_token_files(docs, folder, id_col, text_col, tokenizers)
     return places.hint("merge").join(count_tokens(files), ["path", "ordinal"]).select("doc_id", "n_tokens")

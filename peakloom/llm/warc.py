@@ -11,6 +11,7 @@ import hashlib
 import io
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import if_small, written
 from .files import created, opened
 
 #: Fixed values of the .warc.zst format: the skippable frame that holds a dictionary.
@@ -27,6 +28,8 @@ DICTIONARY_MAGIC = 0x184D2A5D
 REVISIT_BYTES = 100
 #: Records of so many bytes are held back to build an archive's dictionary, which takes DICTIONARY_BYTES at most.
 SAMPLE_BYTES, DICTIONARY_BYTES = 2 << 20, 64 << 10
+#: Digests of repeated payloads (some 100 bytes each) that are broadcast together.
+FIRST_ROWS = 500_000
 #: An archive is closed once it has so many bytes.
 ARCHIVE_BYTES = 64 << 20
 
@@ -44,7 +47,8 @@ def revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     page_id is the response. Null html is an empty payload. Rows that repeat the
     smallest id are all responses, and so are groups whose ids are all null; a
     null id beside others revisits. Only the first ids of repeated payloads are
-    gathered; a hot payload is split by the adaptive skew join.
+    gathered, and broadcast if few, so that pages need not move; beyond that a
+    hot payload is split by the adaptive skew join.
     """
     rows = pages.select(
         F.col(id_col).cast("string").alias("page_id"), F.col(id_col).alias("id"), F.col(url_col).alias("url"),
@@ -56,22 +60,31 @@ def revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
         .filter("n > 1").select("digest", "first")
     )
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    return rows.join(firsts, "digest", "left").select(
+    return rows.join(if_small(written(firsts, "warc-firsts"), FIRST_ROWS), "digest", "left").select(
         "page_id", "url", "html", "digest", F.when(revisit, F.col("first")).cast("string").alias("refers_to")
     )
 
 
+def _name(page_id: str | None) -> str:
+    """A page's identifier in a record's head; a null id has none."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(page_id, safe='')}>"
+
+
+def _id_in(name: str) -> str | None:
+    return None if name == "<urn:page>" else unquote(name.removeprefix("<urn:page:")[:-1])
+
+
 def _record(page_id, url, html, digest, refers_to) -> bytes:
     payload = html.encode("utf-8", "surrogatepass")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_name(page_id)}",
         "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response",
     ]
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url))
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {_name(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
         payload = b""
     head.append(f"Content-Length: {len(http) + len(payload)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + http + payload + b"\r\n\r\n"
@@ -145,13 +158,13 @@ def _read(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
 def _parsed(head: dict[str, str], block: bytes) -> tuple:
     """One row of RECORD and the payload (None for revisits); the digest of a response is computed from what was read."""
     http, _, payload = block.partition(b"\r\n\r\n")
-    page_id = head["WARC-Record-ID"][10:-1]
+    page_id = _id_in(head["WARC-Record-ID"])
     n = int(http.rpartition(b"Content-Length: ")[2])
     digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
-    refers_to = head["WARC-Refers-To"][10:-1] if "WARC-Refers-To" in head else None
+    refers_to = _id_in(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None
     if refers_to is None and (len(payload) != n or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"page {page_id}: the payload read back differs from the one written")
-    row = (None if page_id == "None" else page_id, head.get("WARC-Target-URI"), head["WARC-Type"], refers_to, digest, n)
+    row = (page_id, head.get("WARC-Target-URI"), head["WARC-Type"], refers_to, digest, n)
     return row, payload if refers_to is None else None
 
 

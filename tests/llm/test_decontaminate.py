@@ -64,6 +64,25 @@ def test_against_all_windows(docs_of, spark):
     assert left.columns == docs_of(docs).columns
 
 
+def test_recall_of_the_hamming_blocks(docs_of, spark):
+    """Windows at a similarity of 0.8 to 0.85, the hardest to find: of 200 at least nine in ten; above that all."""
+    rows = [(i, prose(60 + i % 50, 3000 + i)) for i in range(200)]
+    docs = []
+    for i, text in rows:
+        w = text.split()
+        for k in range(1 + i % 2):  # one or two changes spoil up to five shingles each
+            w[20 + 25 * k] = "changed"
+        docs.append((i, f"{prose(7, 4000 + i)} {' '.join(w)} {prose(7, 5000 + i)}"))
+    items = spark.createDataFrame([(*i, "x", "y") for i in rows], ITEMS)
+    found = {(r.doc_id, r.item_id) for r in contaminated(docs_of(docs), items).collect()}
+    want = {}
+    for (i, item), (_, text) in zip(rows, docs, strict=True):
+        want |= brute([(i, text)], [(i, item)])
+    close = {k for k, v in want.items() if v[0] < 0.85}
+    assert found <= want.keys() and want.keys() - close <= found
+    assert len(close) > 30 and len(close & found) >= 0.9 * len(close)
+
+
 def test_empty_sides(docs_of, none, spark):
     items = spark.createDataFrame([(*i, "x", "y") for i in ITEM_ROWS], ITEMS)
     assert contaminated(none, items).count() == 0
@@ -82,6 +101,5 @@ def test_windows_between_two_alignments(docs_of, spark):
     found = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in contaminated(docs_of(docs), items).collect()}
     want = brute(docs, rows)
     assert want.keys() == {(1, 1), (2, 1), (3, 2)} and want[1, 1][0] == pytest.approx(86 / 106)
-    assert {k: pytest.approx(v[0]) for k, v in want.items()} == {k: v[0] for k, v in found.items()}
-    assert found[1, 1][1] == 0 and found[2, 1][1] == 30 and found[3, 2][1] == 8
+    assert {k: (pytest.approx(v[0]), v[1]) for k, v in want.items()} == found
     assert [r.doc_id for r in clean(docs_of(docs), items).collect()] == [4]

@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import re
 import zlib
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from peakloom.llm.langid import UNDETERMINED, identify, training_sample
+from peakloom.llm import langid
+from peakloom.llm.langid import ORDERS, RIDGE, SHARPNESS, UNDETERMINED, identify, training_sample
 
 from .conftest import ODD, prose
 
@@ -45,6 +49,39 @@ def test_sample_is_bounded(docs_of):
     assert sample.groupBy("lang").count().agg(F.max("count")).first()[0] <= 5
 
 
+def grams(text):
+    """The spectrum as strings: letters in lower case, a space for each run of others and at both ends."""
+    plain = " " + re.sub(r"[^\W\d_]+|.", lambda m: m[0].lower() if m[0][0].isalpha() else " ", text, flags=re.S) + " "
+    plain = re.sub(" +", " ", plain)
+    return {plain[i : i + n] for n in ORDERS for i in range(len(plain) - n + 1)}
+
+
+def test_against_plain_kernel_ridge(docs_of):
+    """Kernel values from sets of n-grams, a plain solve, no folding; 40 texts, so that few hashes fall together."""
+    docs = [(i, prose(6 + i % 9, i, ALPHABETS[lang]), lang, "s") for i in range(40) for lang in [list(ALPHABETS)[i % 3]]]
+    df = docs_of(docs)
+    rows = identify(df).collect()
+    learnt = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 4 != 2]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    x = [grams(d[1]) for d in learnt]
+    langs = sorted(ALPHABETS)
+    y = np.array([[1.0 if d[2] == c else -1.0 for c in langs] for d in learnt])
+    k = np.array([[kernel(a, b) for b in x] for a in x])  # every row is a landmark
+    weights = np.linalg.solve(k.T @ k + RIDGE * len(x) * (k + 1e-6 * np.eye(len(x))), k.T @ y)
+    for r in rows:
+        own = grams(docs[r.doc_id][1])
+        values = np.array([kernel(own, b) for b in x]) @ weights
+        odds = np.exp(SHARPNESS * (values - values.max()))
+        assert r.lang_pred == langs[int(values.argmax())]
+        assert abs(r.score - odds.max() / odds.sum()) < 0.02
+
+
+def test_too_many_languages(docs_of, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        identify(docs_of(corpus()))
+
+
 def test_nothing_to_learn_from(none, docs_of):
     assert identify(none).count() == 0
     assert [r.lang_pred for r in identify(docs_of([(1, "text", None, "s")])).collect()] == [UNDETERMINED]

@@ -1,6 +1,13 @@
 from __future__ import annotations
 
+import math
+import random
+import re
+from collections import Counter
+
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from peakloom.llm.licences import TEMPLATES, Templates, document_counts, inherit, licences, scan
 
@@ -11,12 +18,65 @@ def files(spark, rows):
     return spark.createDataFrame([(*r, "x", "y", "z") for r in rows], FILES).select("path", "text", "dir", "licence").repartition(2)
 
 
-def test_every_template_finds_itself(spark):
-    rows = [(f"d/{i}", f"first line\n  {t.upper()}  \nlast") for i, (_, t) in enumerate(TEMPLATES)]
+def wrapped(text, mark, width=9):
+    """A text as a comment of so many words a line."""
+    w = text.split()
+    return "\n".join(f"{mark} {' '.join(w[i : i + width])}" for i in range(0, len(w), width))
+
+
+def test_every_template_finds_itself_however_it_stands(spark):
+    rows = [(f"{k}/{i}", f"first line\n{t}\nlast, but not least") for i, (_, x) in enumerate(TEMPLATES) for k, t in enumerate((x.upper(), f"  {x}  ", wrapped(x, "#"), wrapped(x, " *", 5), x.replace(" ", "\n")))]
     found = {r.path: r for r in scan(files(spark, rows)).collect()}
-    for i, (name, _) in enumerate(TEMPLATES):
-        assert found[f"d/{i}"].own_licence == name
-        assert found[f"d/{i}"].similarity == pytest.approx(1.0)
+    for path, r in found.items():
+        assert r.own_licence == TEMPLATES[int(path.split("/")[1])][0]
+        assert r.similarity == pytest.approx(1.0)
+
+
+def test_whole_licence_files(spark):
+    full = {name: max((t for n, t in TEMPLATES if n == name), key=len) for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC")}
+    rows = [(f"{name}/LICENSE", f"The {name} Licence\n\nCopyright (c) 2020 Some Body\n\n{wrapped(t, '')}\n") for name, t in full.items()]
+    rows += [(f"{name}/sub/x.c", f"/*\n{wrapped(' '.join(t.split()[:9] + ['somebody'] + t.split()[10:]), ' *')}\n */\nint main") for name, t in full.items()]
+    found = {r.path: (r.own_licence, r.licence, r.licence_dir) for r in licences(files(spark, rows)).collect()}
+    assert found == {p: (p.split("/")[0], p.split("/")[0], None) for p, _ in rows}
+
+
+def brute(rows, templates, similar):
+    """The cosine of every window, from the definition."""
+    texts = [re.findall("[a-z0-9]+", (t or "").lower()) for _, t in rows]
+    vocabulary = {w for _, t in templates for w in re.findall("[a-z0-9]+", t.lower())}
+    idf = lambda w: math.log((1 + len(rows)) / (1 + (sum(w in t for t in texts) if w in vocabulary else 0))) + 1
+    idf = {w: idf(w) for t in [*texts, vocabulary] for w in set(t)}
+    out = []
+    for (path, _), words in zip(rows, texts, strict=True):
+        found = []
+        for name, t in templates:
+            b = Counter(re.findall("[a-z0-9]+", t.lower()))
+            n = min(sum(b.values()), len(words))
+            for i in range(len(words) - n + 1) if words else ():
+                a = Counter(words[i : i + n])
+                dot = sum(a[w] * b[w] * idf[w] ** 2 for w in a)
+                found.append((round(dot / math.sqrt(sum((k * idf[w]) ** 2 for w, k in a.items())) / math.sqrt(sum((k * idf[w]) ** 2 for w, k in b.items())), 9), name))
+        found = sorted((-c, name) for c, name in found if c >= similar - 1e-9)
+        out.append((path, *((found[0][1], round(-found[0][0], 6)) if found else (None, None))))
+    return out
+
+
+def test_against_every_window(spark):
+    templates = (("A", "red green blue red"), ("B", "green blue yellow"), ("C", "yellow blue green"), ("D", "one two three four five six seven"))
+    rng = random.Random(5)
+    words = "red green blue yellow one two three four five six seven other more".split()
+    rows = [(f"p{i}", " ".join(rng.choices(words[: rng.choice([4, 8, 13])], k=rng.choice([1, 2, 3, 5, 9, 40])))) for i in range(60)]
+    rows += [("ties", "yellow green blue"), ("ties", "yellow green blue"), (None, "green blue yellow"), ("n", None), ("e", ""), ("w", "\u6771\u4eac ..."), ("long", "filler words " * 20_000 + "Red GREEN-blue\nred")]
+    for similar in (0.8, 0.5):
+        got = [(r.path, r.own_licence, r.similarity and round(r.similarity, 6)) for r in scan(files(spark, rows), templates=templates, similar=similar).collect()]
+        assert Counter(got) == Counter(brute(rows, templates, similar))
+
+
+def test_odd_rows_and_clashing_names(spark, odd):
+    clashing = odd.withColumns({c: F.lit("x") for c in ("similarity", "depth", "word", "n", "dir", "own", "from", "files", "carry_0", "dir_licence")})
+    got = licences(clashing.withColumn("path", F.concat(F.lit("a/"), F.col("doc_id"))), carry=("doc_id", "lang"))
+    assert got.columns == ["path", "doc_id", "lang", "own_licence", "similarity", "licence", "licence_dir"]
+    assert got.count() == odd.count() and got.filter("licence is not null").count() == 0
 
 
 def test_other_text_names_no_licence(spark):
@@ -27,11 +87,11 @@ def test_other_text_names_no_licence(spark):
 def test_counts_cover_all_texts(spark):
     n, counts = document_counts(files(spark, [("a", "MIT mit"), ("b", "the license"), ("c", None)]), "text")
     assert (n, counts["mit"], counts["license"], counts.get("apache")) == (3, 1, 1, None)
-    assert Templates(TEMPLATES, n, counts).best("nothing known") is None
+    assert Templates(TEMPLATES, n, counts).best(pa.array(["nothing known", None]), 0.8) == [(None, None)] * 2
 
 
 def test_nearest_directory_wins(spark):
-    mit, gpl = TEMPLATES[7][1], TEMPLATES[5][1]
+    mit, gpl = (next(t for n, t in TEMPLATES if n == name) for name in ("MIT", "GPL-3.0"))
     rows = [("LICENSE", gpl), ("a/LICENSE.txt", mit), ("a/b/c/x.py", "code"), ("a/b/own.py", gpl), ("z/y.py", "code"), ("a/copying", gpl), ("a/b/NOTICED", mit), (None, "code"), ("a/b/c/x.py", "code")]
     got = sorted(((r.path, r.licence, r.licence_dir) for r in licences(files(spark, rows)).collect()), key=repr)
     assert got == sorted([

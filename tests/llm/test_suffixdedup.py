@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from peakloom.llm import suffixdedup
+from peakloom.llm.shingles import chunks
 from peakloom.llm.suffixdedup import without_repeats
 from peakloom.llm.suffixes import ascends, common_prefixes, sorted_suffixes
 
@@ -46,9 +47,19 @@ def test_against_all_strings(docs_of, length):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in rows)
 
 
-def test_groups_too_large_to_sort_are_counted(docs_of, monkeypatch):
-    monkeypatch.setattr(suffixdedup, "BLOCK_BYTES", 3000)
+@pytest.mark.parametrize("most", [3000, 600, 1])
+def test_large_groups_are_filed_anew(docs_of, monkeypatch, most):
+    monkeypatch.setattr(suffixdedup, "BLOCK_BYTES", most)
     docs = [(i, prose(60, i) + prose(100, 99) + prose(60, 50 + i)) for i in range(12)]
+    docs += [(20 + i, prose(9, i % 3) + prose(70, 98)[: 380 + 9 * i] + prose(9, i % 2)) for i in range(12)] + docs[:2]
+    rows = without_repeats(docs_of(docs)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == brute(docs, 400)
+
+
+def test_very_long_texts_are_cut_into_parts(docs_of, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "PART_BYTES", 1000)
+    monkeypatch.setattr(suffixdedup, "chunks", lambda offsets: chunks(offsets, 900))
+    docs = [*passages(), (40, prose(500, 7)), (41, "x" + prose(500, 7)), (42, prose(30, 8) + prose(500, 7)[700:3000])]
     rows = without_repeats(docs_of(docs)).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == brute(docs, 400)
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from peakloom.llm.common import new_path
 from peakloom.llm.tokencount import SEPARATOR, WIDTH, count_tokens, document_tokens, tokens_of
@@ -39,5 +40,11 @@ def test_documents_across_blocks(spark, tmp_path, tokens, block):
     assert [r.n_tokens for r in count_tokens(files, block_tokens=block).orderBy("ordinal").collect()] == want
 
 
+def test_files_of_no_size_and_clashing_names(spark, odd):
+    assert count_tokens(spark.createDataFrame([("nowhere", 0), ("nowhere", None)], "path string, n_tokens long")).count() == 0
+    clashing = odd.withColumn("path", F.lit(1)).withColumn("ordinal", F.lit(2)).withColumn("n_tokens", F.lit(3)).withColumn("block", F.lit(4))
+    assert document_tokens(clashing, new_path(spark, "tokens-test")).count() == len(ODD)
+
+
 def test_empty(none, spark):
     assert document_tokens(none, new_path(spark, "tokens-test")).count() == 0

@@ -45,6 +45,14 @@ def test_round_trip(spark, pages):
     assert sum(m.records for m in manifest.collect()) == len(pages)
 
 
+def test_any_text_is_an_id(spark):
+    ids = ["None", "", "a>b", "x\r\nWARC-Type: revisit", "ü%41", "page", None]
+    df = spark.createDataFrame([(i, "u", "same text " * 20, "", "", "") for i in ids], PAGES.replace("page_id long", "page_id string"))
+    rows = read_archives(write_archives(revisits(df), new_path(spark, "warc-test"))).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in rows if r.page_id is not None) == sorted((i, "revisit" if i else "response", "" if i else None) for i in ids if i is not None)
+    assert [(r.record_type, r.refers_to) for r in rows if r.page_id is None] == [("revisit", "")]
+
+
 def test_archives_start_with_a_dictionary_frame(spark):
     df = spark.createDataFrame([(i, "u", "some page text " * 30 + str(i), "", "", "") for i in range(300)], PAGES)
     for m in write_archives(revisits(df), new_path(spark, "warc-test")).collect():
