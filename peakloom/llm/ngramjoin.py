@@ -39,6 +39,8 @@ GROWTH = 1.4
 SEEDS = 6
 #: Entries in a node of a tree, pairs bounded at once, and points in a tree; larger parts of the index are several trees.
 FANOUT, PAIRS, TILE = 16, 1 << 14, 512
+#: Points of small trees that are joined side by side.
+FOREST = 1 << 13
 #: Keys of a set whose parts are searched first.
 HEADS = 4
 #: Bytes of a key, and keys that are counted together.
@@ -117,43 +119,61 @@ def packed(counts: np.ndarray) -> bytes:
     return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
 
 
-def unpacked(points: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(p, np.uint8 if len(p) == GROUPS else np.uint32).astype(np.int32) for p in points])
+def unpacked(column: pa.Array) -> np.ndarray:
+    """Points as rows of numbers."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8)
+    wide = np.diff(offsets) > GROUPS
+    if not wide.any():
+        return data[offsets[0] : offsets[-1]].reshape(-1, GROUPS).astype(np.int16)
+    out = np.zeros((len(column), GROUPS), np.int32)
+    for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+        out[i] = data[a:b].view(np.uint32) if wide[i] else data[a:b]
+    return out
 
 
-class Tree:
-    """A packed R-tree: points in order of size and of their first coordinates, nodes of FANOUT entries, level upon level.
+class Forest:
+    """Packed R-trees, side by side: points of each tree in order of size and of their first coordinates, nodes of FANOUT entries, level upon level.
 
     A node has the greatest coordinates and the least and greatest size of what
     is in it, and its label if all have the same, else -1.
     """
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
-        self.order = np.lexsort((*points[:, :3].T, sizes))
+    def __init__(self, trees: np.ndarray, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
+        self.order = np.lexsort((*points[:, :3].T, sizes, trees))
+        tree = trees[self.order]
         self.levels = [(points[self.order], sizes[self.order], sizes[self.order], labels[self.order])]
-        while len(self.levels[-1][0]) > 1:
+        #: of each level but the lowest where each node's entries begin in the level below, and one more
+        self.entries: list[np.ndarray] = []
+        while len(tree) > 1 and (tree[1:] == tree[:-1]).any():
             corner, low, high, label = self.levels[-1]
-            at = np.arange(0, len(corner), FANOUT)
-            first, last = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
-            self.levels.append((np.maximum.reduceat(corner, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.where(first == last, first, -1)))
+            first = np.searchsorted(tree, tree)
+            at = np.flatnonzero((np.arange(len(tree)) - first) % FANOUT == 0)
+            least, most = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
+            self.levels.append((np.maximum.reduceat(corner, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.where(least == most, least, -1)))
+            self.entries.append(np.append(at, len(tree)))
+            tree = tree[at]
 
     def joined(self, similar: int = SIMILAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(i, j, bound) of the pairs of unlike labels whose summed minima reach the overlap that they need."""
-        i = j = np.zeros(1, np.int64)
+        """(i, j, bound) of the pairs within trees and of unlike labels whose summed minima reach the overlap that they need."""
+        i = j = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
-            level = self.levels[depth]
             if depth < len(self.levels) - 1:
-                i, j = self._children(i, j, len(level[0]))
-            parts = [self._near(level, i[k : k + PAIRS], j[k : k + PAIRS], depth == 0, similar) for k in range(0, len(i), PAIRS)]
+                i, j = self._children(self.entries[depth], i, j)
+            parts = [self._near(self.levels[depth], i[k : k + PAIRS], j[k : k + PAIRS], depth == 0, similar) for k in range(0, len(i), PAIRS)]
             i, j, bound = (np.concatenate([part[c] for part in parts]) if parts else np.empty(0, np.int64) for c in range(3))
         return self.order[i], self.order[j], bound
 
     @staticmethod
-    def _children(i: np.ndarray, j: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    def _children(entries: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of entries of paired nodes, each once."""
-        a, b = (v.ravel() for v in np.meshgrid(np.arange(FANOUT), np.arange(FANOUT), indexing="ij"))
-        i, j = (i[:, None] * FANOUT + a).ravel(), (j[:, None] * FANOUT + b).ravel()
-        keep = (i <= j) & (j < count)
+        a, b = entries[i + 1] - entries[i], entries[j + 1] - entries[j]
+        pair = np.repeat(np.arange(len(i)), a * b)
+        at = np.arange(len(pair)) - np.repeat(np.cumsum(a * b) - a * b, a * b)
+        i, j = entries[i][pair] + at // b[pair], entries[j][pair] + at % b[pair]
+        keep = i <= j
         return i[keep], j[keep]
 
     @staticmethod
@@ -163,7 +183,7 @@ class Tree:
         if points:
             keep &= i < j
         i, j = i[keep], j[keep]
-        bound = np.minimum(corner[i], corner[j]).sum(1)
+        bound = np.minimum(corner[i], corner[j]).sum(1, dtype=np.int64)
         keep = bound >= least_common(low[i] + low[j], similar)
         return i[keep], j[keep], bound[keep]
 
@@ -396,30 +416,43 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str,
 
 
 def _tree_pairs(rows: DataFrame, part: list[str], found, schema: str, similar: int) -> DataFrame:
-    """What `found` makes of the self-join of each part's tree. Rows are (*part, set_id, label, n_shingles, point)."""
+    """What `found` makes of the self-join of each part's tree. Rows are (*part, set_id, label, n_shingles, point, centre)."""
     width = len(part)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def searched(block: list[tuple]) -> Iterator[pa.RecordBatch]:
-            ids = np.array([r[0] for r in block], np.int64).reshape(-1, 2)
-            labels = np.unique(np.array([r[1] for r in block], np.int64).reshape(-1, 2), axis=0, return_inverse=True)[1].ravel()
-            sizes = np.array([r[2] for r in block], np.int64)
-            i, j, bound = Tree(unpacked([r[3] for r in block]), sizes, labels).joined(similar)
+        def searched(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            number = np.cumsum(_changes(t))
+            several = np.flatnonzero(np.bincount(number)[number] > 1)
+            if not len(several):
+                return
+            number = number[several]
+            ids, labels, sizes, points, centre = (t.column(width + k).combine_chunks().take(pa.array(several)) for k in range(5))
+            ids = _halves(ids)
+            labels = np.unique(np.ascontiguousarray(_halves(labels)).view("V16").ravel(), return_inverse=True)[1]
+            sizes, centre = sizes.to_numpy(zero_copy_only=False), centre.to_numpy(zero_copy_only=False)
+            i, j, bound = Forest(number, unpacked(points), sizes, labels).joined(similar)
             if len(i):
-                yield from found(ids, sizes, i, j, bound, [r[4] for r in block])
+                yield found(ids, sizes, i, j, bound, centre)
+
+        def _changes(t: pa.Table) -> np.ndarray:
+            """Where a part begins."""
+            change = np.zeros(t.num_rows, bool)
+            for k in range(width):
+                v = t.column(k).to_numpy()
+                change[1:] |= v[1:] != v[:-1]
+            return change
 
-        at, block = None, []
+        held = None
         for b in batches:
-            keys = list(zip(*(b.column(k).to_pylist() for k in range(width)), strict=True))
-            ids, labels = (map(tuple, _halves(b.column(width + k)).tolist()) for k in (0, 1))
-            for key, *row in zip(keys, ids, labels, *(b.column(width + k).to_pylist() for k in (2, 3, 4)), strict=True):
-                if key != at:
-                    if len(block) > 1:
-                        yield from searched(block)
-                    at, block = key, []
-                block.append(row)
-        if len(block) > 1:
-            yield from searched(block)
+            new = pa.Table.from_batches([b])
+            held = new if held is None else pa.concat_tables([held, new])
+            if held.num_rows >= FOREST:
+                begins = np.flatnonzero(_changes(held))
+                if len(begins):
+                    yield from searched(held.slice(0, begins[-1]))
+                    held = held.slice(begins[-1])
+        if held is not None and held.num_rows:
+            yield from searched(held)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = [*part, "set_id", "label", "n_shingles", "point", "centre"]
@@ -442,15 +475,15 @@ def nearest_partners(inside: DataFrame, points: DataFrame, similar: int) -> Data
     middles = centres.select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("middle").alias("set_id"), F.lit(True).alias("centre"))
     rows = members.unionByName(middles).join(if_small(points, POINT_ROWS), "set_id").withColumn("label", F.col("set_id"))
 
-    def found(ids: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, bound: np.ndarray, centre: list[bool]) -> Iterator[pa.RecordBatch]:
+    def found(ids: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, bound: np.ndarray, centre: np.ndarray) -> pa.RecordBatch:
         of, to = np.concatenate([i, j]), np.concatenate([j, i])
         like = np.tile(bound / (sizes[i] + sizes[j] - bound), 2)
-        middle = np.array(centre)[to]
+        middle = centre[to]
         order = np.lexsort((to, like, middle, of))
         of, to, like, middle = of[order], to[order], like[order], middle[order]
         last = np.concatenate([(of[1:] != of[:-1]) | (middle[1:] != middle[:-1]), [True]])
         of, to = of[last], to[last]
-        yield pa.RecordBatch.from_arrays([_sets(*ids[of].T), _sets(*ids[to].T), pa.array(middle[last]), pa.array(like[last])], ["b", "a", "centre", "like"])
+        return pa.RecordBatch.from_arrays([_sets(*ids[of].T), _sets(*ids[to].T), pa.array(middle[last]), pa.array(like[last])], ["b", "a", "centre", "like"])
 
     found_rows = _tree_pairs(rows, ["key", "tile"], found, f"b {_SET}, a {_SET}, centre boolean, like double", similar)
     ties = found_rows.groupBy("b", "centre", "a").agg(F.count(F.lit(1)).alias("n"), F.max("like").alias("like"))
@@ -464,8 +497,11 @@ def unlike_pairs(rows: DataFrame, similar: int) -> DataFrame:
     both = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, tile).alias("low"), F.greatest(t, tile).alias("high")))
     dealt = rows.select("key", F.explode(both).alias("t"), "set_id", "label", "n_shingles", "point", F.lit(False).alias("centre")).select("key", "t.low", "t.high", "*").drop("t")
 
-    def found(ids: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, bound: np.ndarray, centre: list[bool]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([_sets(*ids[i].T), _sets(*ids[j].T)], ["a", "b"])
+    def found(ids: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, bound: np.ndarray, centre: np.ndarray) -> pa.RecordBatch:
+        number = np.unique(np.ascontiguousarray(ids).view("V16").ravel(), return_inverse=True)[1]
+        once = np.unique(np.minimum(number[i], number[j]) * len(ids) + np.maximum(number[i], number[j]), return_index=True)[1]
+        i, j = i[once], j[once]
+        return pa.RecordBatch.from_arrays([_sets(*ids[i].T), _sets(*ids[j].T)], ["a", "b"])
 
     pairs = _tree_pairs(dealt, ["key", "low", "high"], found, f"a {_SET}, b {_SET}", similar)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -522,5 +558,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gets the component of what it links to. No rows: no rows.
     """
     found = written(jaccard_groups(docs, id_col, text_col, words, similar), "join-groups")
-    least = found.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = found.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return found.join(if_small(written(least, "join-least")), "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from peakloom.llm.components import components
-from peakloom.llm.ngramjoin import GROUPS, Tree, block_keys, jaccard_components, least_common, point
+from peakloom.llm.ngramjoin import GROUPS, Forest, block_keys, jaccard_components, least_common, point
 
 from .conftest import ODD, prose
 
@@ -84,17 +84,20 @@ def test_linked_sets_always_share_a_block():
                 assert len(np.intersect1d(block_keys(base), block_keys(other))), n
 
 
-def test_the_tree_loses_no_pair():
+@pytest.mark.parametrize("trees", [1, 5, 70])
+def test_the_trees_lose_no_pair(trees):
     rng = np.random.default_rng(9)
     sets = [np.unique(rng.integers(0, 1 << 63, rng.integers(20, 200), np.uint64)) for _ in range(60)]
     sets += [np.unique(np.concatenate([s[: len(s) - 2], rng.integers(0, 1 << 63, 2, np.uint64)])) for s in sets]
     points, sizes = np.stack([point(s) for s in sets]).astype(np.int64), np.array([len(s) for s in sets])
+    tree = rng.integers(0, trees, len(sets)) if trees > 1 else np.zeros(len(sets), int)
     for labels in (np.arange(len(sets)), np.arange(len(sets)) % 60 // 2):
-        i, j, bound = Tree(points, sizes, labels).joined()
-        found = {(*sorted((int(x), int(y))), int(n)) for x, y, n in zip(i, j, bound, strict=True)}
-        overlap = {(x, y): int(np.minimum(points[x], points[y]).sum()) for y in range(len(sets)) for x in range(y) if labels[x] != labels[y]}
-        assert found == {(x, y, n) for (x, y), n in overlap.items() if n >= least_common(sizes[x] + sizes[y])}
-    assert points.shape[1] == GROUPS and len(Tree(points, sizes, labels).levels) == 3
+        forest = Forest(tree, points, sizes, labels)
+        found = [(*sorted((int(x), int(y))), int(n)) for x, y, n in zip(*forest.joined(), strict=True)]
+        overlap = {(x, y): int(np.minimum(points[x], points[y]).sum()) for y in range(len(sets)) for x in range(y) if labels[x] != labels[y] and tree[x] == tree[y]}
+        assert sorted(found) == sorted((x, y, n) for (x, y), n in overlap.items() if n >= least_common(sizes[x] + sizes[y]))
+        assert len(forest.levels) == (2 if trees == 70 else 3)
+    assert points.shape[1] == GROUPS
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(40)], [(9, i) for i in range(30)] + [(100, 101), (101, 102)]])
