@@ -75,6 +75,34 @@ def grow_map(slot_map: DataFrame, shards: int) -> DataFrame:
     )
 
 
+def rebalance_map(slot_map: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
+    """The next version for the same shards under new loads: shards above their share hand slots over, heaviest first, to the shard with the fewest bytes.
+
+    Within a shard the lowest slots stay up to the share. Slots of shards at or
+    below it don't move; without drift none does, but for what the share cuts.
+    """
+    loaded = slot_map.select("version", "vslot", "shard").join(F.broadcast(loads), "vslot")
+    share = F.sum("bytes").over(Window.partitionBy()) / F.lit(shards)
+    kept = F.sum("bytes").over(Window.partitionBy("shard").orderBy("vslot"))
+    over = F.sum("bytes").over(Window.partitionBy("shard")) > share
+    marked = loaded.withColumn("moves", over & (kept > share))
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), shards).alias("loads"), F.array().cast("array<int>").alias("picks"))
+
+    def place(acc, slot):
+        least = F.array_position(acc["loads"], F.array_min(acc["loads"])).cast("int") - 1
+        at = F.when(slot["moves"], least).otherwise(slot["shard"])
+        return F.struct(
+            F.transform(acc["loads"], lambda v, i: F.when(i == at, v + slot["bytes"]).otherwise(v)).alias("loads"), F.concat(acc["picks"], F.array(at)).alias("picks")
+        )
+
+    key = F.struct("moves", (-F.col("bytes")).alias("lighter"), "vslot", "shard", "bytes", "rows", "version")
+    ordered = marked.agg(F.array_sort(F.collect_list(key)).alias("slots"))
+    placed = ordered.select("slots", F.aggregate("slots", start, place)["picks"].alias("picks"))
+    return placed.select(F.inline(F.arrays_zip("slots", "picks"))).select(
+        (F.col("slots.version") + 1).alias("version"), "slots.vslot", "slots.bytes", "slots.rows", F.col("picks").alias("shard")
+    )
+
+
 def store_map(slot_map: DataFrame, folder: str) -> None:
     """Add one version to the maps kept in folder; older versions stay readable. A version that is there already is an error."""
     version = slot_map.select("version").first()[0]

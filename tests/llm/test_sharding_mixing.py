@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakloom.llm.mixing import mix, source_targets
-from peakloom.llm.sharding import build_map, grow_map, load_map, shard, store_map
+from peakloom.llm.sharding import build_map, grow_map, load_map, rebalance_map, shard, store_map
 
 from .conftest import ODD, prose
 
@@ -57,6 +57,24 @@ def test_maps_are_kept_by_version(spark, tmp_path):
         store_map(first, f"{tmp_path}/maps")
 
 
+def test_drift_moves_few_slots(spark, tmp_path):
+    slots, shards = 512, 8
+    loads = lambda f: spark.createDataFrame([(i, f(i), 1) for i in range(slots)], "vslot int, bytes long, rows long")
+    store_map(build_map(loads(lambda i: 100 + i % 7), shards), str(tmp_path))
+    first = load_map(spark, str(tmp_path))
+    hot = {r.vslot for r in first.collect() if r.shard == 3}
+    store_map(rebalance_map(first, loads(lambda i: (300 if i in hot else 100) + i % 7), shards), str(tmp_path))
+    was, now = ({r.vslot: r.shard for r in load_map(spark, str(tmp_path), v).collect()} for v in (1, 2))
+    moved = {v for v in was if was[v] != now[v]}
+    assert was.keys() == now.keys() and 0 < len(moved) < len(hot) and moved <= hot
+    bytes_of = Counter()
+    for v, s in now.items():
+        bytes_of[s] += (300 if v in hot else 100) + v % 7
+    assert max(bytes_of.values()) <= sum(bytes_of.values()) / shards + 306
+    again = rebalance_map(load_map(spark, str(tmp_path)), loads(lambda i: 0), shards)
+    assert {r.vslot: r.shard for r in again.collect()} == now and again.first().version == 3
+
+
 def plain_targets(sizes):
     """Shared by weight, capped, and the excess shared again until nothing is above."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
