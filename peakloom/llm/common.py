@@ -1,33 +1,10 @@
-"""What the operators share: written tables and size-checked joins."""
+"""What the operators share: the given tables, and written tables and size-checked joins from the session module."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..session import new_path
-
-#: Rows up to which a narrow table (at most some 50 bytes a row) is broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def if_small(df: DataFrame, most: int = BROADCAST_ROWS, items: str | None = None) -> DataFrame:
-    """A broadcast hint for a written, narrow table of at most `most` rows, or of so many items in an array column.
-
-    Beyond that the table keeps out of broadcasts and the join is a shuffle.
-    """
-    if items:
-        size = df.agg(F.sum(F.size(items) + 1)).first()[0] or 0
-    else:
-        size = df.limit(most + 1).count()
-    return F.broadcast(df) if size <= most else df.hint("merge")
+from ..session import BROADCAST_ROWS, if_small, new_path, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

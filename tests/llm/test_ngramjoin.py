@@ -15,12 +15,12 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
-def shingles(text):
+def shingles(text, words=4):
     w = WORD.findall((text or "").translate(LOWER))
-    return frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) or (frozenset([tuple(w)]) if w else frozenset())
+    return frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) or (frozenset([tuple(w)]) if w else frozenset())
 
 
-def brute(docs):
+def brute(docs, words=4, similar=85):
     """Component of every id, from all pairs."""
     ids = sorted({d[0] for d in docs if d[0] is not None})
     parent = {i: i for i in ids}
@@ -30,10 +30,10 @@ def brute(docs):
             i = parent[i]
         return i
 
-    sets = [(d[0], shingles(d[1])) for d in docs if d[0] is not None]
+    sets = [(d[0], shingles(d[1], words)) for d in docs if d[0] is not None]
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= similar * len(a | b):
                 x, y = sorted((top(i), top(j)))
                 parent[y] = x
     return {i: top(i) for i in ids}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections import Counter
 
 import corpus_pipeline as p
@@ -16,6 +18,7 @@ from .test_decontaminate import ITEM_ROWS, ITEMS, planted
 from .test_decontaminate import brute as leaks
 from .test_ngramjoin import brute as groups
 from .test_ngramjoin import near_copies
+from .test_sharding_mixing import WORDS, plain_targets
 
 
 @pytest.fixture(scope="module")
@@ -83,14 +86,58 @@ def test_linked_sets_share_a_block_at_four_fifths():
     assert linked > 100
 
 
-def test_run(spark, corpus):
-    rows = p.run(spark, corpus[0]).collect()
-    assert rows and {r.shard for r in rows} <= set(range(p.SHARDS))
+def plain_copies(rows):
+    """How often the mix takes each (id, text), from sorted lists."""
+    size = lambda r: len(WORDS.findall(r[1] or ""))
+    sources = {s: [r for r in rows if r[3] == s] for s in {r[3] for r in rows}}
+    targets = plain_targets({s: sum(map(size, v)) for s, v in sources.items()})
+    out = {}
+    for s, own in sources.items():
+        whole = sum(map(size, own))
+        epochs, left = divmod(int(targets[s] + 1e-9), whole)
+        for r in sorted(own, key=lambda r: (hashlib.md5(f"42:{r[0]}:{size(r)}".encode()).hexdigest(), r[0])):
+            out[r[0], r[1]] = epochs + (min(size(r), left) > 0)
+            left = max(0, left - size(r))
+    return out
+
+
+def test_run_against_plain_stages(spark, corpus):
+    folder, rows = corpus
+    left = list({(r[0], r[1]): r for r in rows if any(c.isalpha() for c in r[1] or "")}.values())
+    comp = groups(left, p.NEAR_WORDS, p.NEAR_SIMILAR)
+    left = [r for r in left if r[0] is not None and comp[r[0]] == r[0]]
+    leaky = leaks(left, ITEM_ROWS)
+    want = plain_copies([r for r in left if not any(k[0] == r[0] for k in leaky)])
+    found = p.run(spark, folder).collect()
+    text = {r[0]: r[1] for r in left}
+    assert Counter(r.doc_id for r in found) == Counter({k[0]: n for k, n in want.items() if n})
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in found} == {r.doc_id: (len(text[r.doc_id].encode()) + 1, zlib.crc32(text[r.doc_id].encode())) for r in found}
+    loads = Counter()
+    for r in found:
+        loads[r.shard] += r["size"]
+    assert set(loads) <= set(range(p.SHARDS))
     for s in range(p.SHARDS):
-        own = sorted(r.slot for r in rows if r.shard == s)
+        own = sorted(r.slot for r in found if r.shard == s)
         assert own == list(range(len(own)))
 
 
+def test_join_stage_loses_no_text(spark, docs_of):
+    """Rows of one id: equal texts are one document, other texts others; a copy goes whatever its id, and null ids are told apart by text."""
+    a, b, c = prose(50, 61), prose(50, 62), prose(50, 63)
+    docs = docs_of([(1, a), (2, a), (2, b), (2, b), (3, None), (3, ""), (None, c), (None, c), (None, b), (None, prose(50, 64)), (None, None)])
+    left = dict(p.STAGES)["ngram_jaccard_join"](spark, docs, "")
+    got = Counter((r.doc_id, r.text) for r in left.collect())
+    assert got == Counter([(1, a), (2, b), (3, None), (3, ""), (None, c), (None, prose(50, 64)), (None, None)])
+    assert left.columns == docs.columns
+
+
+def test_mixing_stage_deals_copies_of_equal_rows(spark, docs_of):
+    docs = docs_of([(None, prose(20, i), "en", "a") for i in range(6)] + [(1, prose(30, 9), "en", "a")] * 3 + [(2, prose(900, 10), "en", "b")])
+    got = Counter((r.doc_id, r.text) for r in p.source_mixing(spark, docs, "").collect())
+    assert set(got) == {(r.doc_id, r.text) for r in docs.collect()} and got[2, prose(900, 10)] == 1
+    assert all(n <= 3 for k, n in got.items() if k[0] is None) and 3 <= got[1, prose(30, 9)] <= 9
+
+
 def test_nothing_left(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
