@@ -48,7 +48,7 @@ def simhash(items: Column) -> Column:
 
 def blocks(fingerprint: Column, reach: int) -> Column:
     """(at, bits): every number that differs from a block of the fingerprint in `reach` bits at most, for each of its blocks."""
-    masks = F.filter(F.sequence(F.lit(0), F.lit((1 << BLOCK) - 1)), lambda m: F.bit_count(m) <= reach)
+    masks = F.array(*(F.lit(m) for m in range(1 << BLOCK) if m.bit_count() <= reach))
     block = lambda at: F.shiftrightunsigned(fingerprint, at * BLOCK).bitwiseAND(F.lit((1 << BLOCK) - 1).cast("long"))
     near = lambda at: F.transform(masks, lambda m: F.struct(F.lit(at).alias("at"), block(at).cast("int").bitwiseXOR(m).alias("bits")))
     return F.concat(*(near(at) for at in range(BITS // BLOCK)))

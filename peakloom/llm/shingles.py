@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text hashed at once.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text hashed at once; of a longer text, which stands alone, so many and the rest of the last word.
+CHUNK_BYTES, PART_BYTES = 1 << 20, 1 << 23
 
 _ODD = 0x9E3779B97F4A7C15
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -73,15 +73,33 @@ def _word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.
     return mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, offsets)
 
 
+def _long_text_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of all words of one very long text, part by part, which end where words do."""
+    found, at = [], 0
+    while at < len(data):
+        to = min(len(data), at + PART_BYTES)
+        while to < len(data) and not _SPACE[data[to - 1]]:
+            blank = np.flatnonzero(_SPACE[data[to : to + PART_BYTES]])
+            to = to + int(blank[0]) + 1 if len(blank) else min(len(data), to + PART_BYTES)
+        found.append(_word_hashes(np.array([0, to - at]), data[at:to])[0])
+        at = to
+    return np.concatenate(found)
+
+
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     """For each text its distinct shingles of so many words as sorted 64-bit hashes.
 
     Words are runs of other bytes than space and \\t to \\r, A to Z in lower
-    case. A text of fewer words is one shingle, one without words has none.
+    case. A text of fewer words is one shingle, one without words has none. A
+    text takes some 50 bytes of memory a word besides itself, however long.
     """
     offsets, data = utf8(column)
-    for a, b in chunks(offsets):
-        hashes, first = _word_hashes(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
+    for a, b in chunks(offsets, CHUNK_BYTES):
+        if b - a == 1 and offsets[b] - offsets[a] > PART_BYTES:
+            hashes = _long_text_hashes(data[offsets[a] : offsets[b]])
+            first = np.array([0, len(hashes)])
+        else:
+            hashes, first = _word_hashes(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
         long = np.full(max(0, len(hashes) - words + 1), words, np.uint64)
         for j in range(words):
             long += hashes[j : len(hashes) - words + 1 + j] * _STEPS[j]

@@ -4,8 +4,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from peakloom.llm import shingles as shingles_of
 from peakloom.llm.components import components
 from peakloom.llm.ngramjoin import GROUPS, Forest, block_keys, jaccard_components, least_common, point
 
@@ -67,6 +69,15 @@ def test_against_all_pairs(docs_of):
     assert {r.component_id for r in rows if r.doc_id is None and r.n_shingles} == {5007}
 
 
+def test_very_long_texts_are_hashed_in_parts(monkeypatch):
+    texts = pa.array([prose(3000, 5), "x" * 5000 + " y  \n" + "z" * 700, "", None, " " * 999 + "a b c d e"])
+    whole = [s.tolist() for s in shingles_of.shingle_sets(texts, 4)]
+    for most in (1, 7, 100, 4096):
+        monkeypatch.setattr(shingles_of, "CHUNK_BYTES", 1)
+        monkeypatch.setattr(shingles_of, "PART_BYTES", most)
+        assert [s.tolist() for s in shingles_of.shingle_sets(texts, 4)] == whole
+
+
 def test_empty(none):
     assert jaccard_components(none).count() == 0
 
