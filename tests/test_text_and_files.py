@@ -12,6 +12,7 @@ from peakloom import cli
 from peakloom.functions import text
 from peakloom.functions.peaks import l2_normalised, peaks
 from peakloom.operators.layout import attach_samples, place_in_files
+from peakloom.plans import strategy
 from peakloom.session import if_small
 from peakloom.sources.sinks import write_blocks
 from peakloom.sources.spectra import find_sample_sheet, read_assignments, read_samples, read_spectra, sample_table
@@ -156,6 +157,28 @@ def test_commands_from_spectra_to_library(spark, project, name):
     assert "Nreps=1 " in blocks[1] and "MW: 504.0" in blocks[1]
 
 
+@pytest.mark.parametrize(
+    ("name", "given", "options"),
+    [
+        ("best", [], {}),
+        ("most", ["--sim", "dot", "--fragment_mz_tolerance", "0.5"], {"sim": "dot", "fragment_mz_tolerance": 0.5}),
+        ("bin", ["--min_mz", "50", "--max_mz", "900", "--bin_size", "0.1", "--peak_quorum", "0.5", "--edge_case_threshold", "0.9"],
+         {"min_mz": 50.0, "max_mz": 900.0, "bin_size": 0.1, "peak_quorum": 0.5, "edge_case_threshold": 0.9}),
+        ("average", ["--diff_thresh", "0.2", "--dyn_range", "10", "--min_fraction", "0.1", "--pepmass", "naive_average", "--msms_avg", "naive"],
+         {"diff_thresh": 0.2, "dyn_range": 10.0, "min_fraction": 0.1, "pepmass": "naive_average", "msms_avg": "naive"}),
+    ],
+)
+def test_options_reach_the_strategy(spark, monkeypatch, name, given, options):
+    seen = {}
+    monkeypatch.setattr(cli.jobs, "msp", lambda *a, **k: seen.update(args=a, options=k))
+    paths = [x for p in ("path_parquet", "path_sdrf", "path_cluster_tsv", "output") for x in (f"--{p}", p)]
+    cli.main(["msp", *paths, "--strategy_type", name, "-c", "7", "--files", "3", "--mode", "overwrite", *given])
+    assert seen["args"][1:] == ("path_parquet", "path_sdrf", "path_cluster_tsv", "output", name, "overwrite", 3, 7)
+    assert seen["options"] == options
+    held = set(vars(strategy(name, **options)).values())
+    assert held >= set(options.values())
+
+
 def test_stream_reads_arriving_files(spark, project, tmp_path):
     query = stream_blocks(spark, str(project / "parquet_files"), "PXD1").writeStream.format("memory").queryName("arrived").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     query.awaitTermination(120)
