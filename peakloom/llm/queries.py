@@ -16,7 +16,7 @@ from .mixing import mix
 from .ngramjoin import jaccard_components
 from .oracles import oracle_sql  # noqa: F401
 from .sharding import shard
-from .suffixdedup import without_repeats
+from .suffixdedup import PASSAGE, without_repeats
 from .tokencount import document_tokens
 from .warc import read_archives, revisits, write_archives
 
@@ -64,7 +64,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(table(spark, sf_dir, "documents"))
+    """n_shared, the bytes in repeats of 256 bytes and more, finds passages of some 50 words, which mostly are shorter than the 400 bytes that are removed."""
+    return without_repeats(table(spark, sf_dir, "documents"), passage=PASSAGE)
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

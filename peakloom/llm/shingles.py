@@ -42,8 +42,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and bytes of a string column; nulls are empty."""
-    column = column.fill_null("").cast(pa.large_string())
+    """Offsets and bytes of a string or binary column; nulls are empty."""
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = column.fill_null(b"" if binary else "").cast(pa.large_binary() if binary else pa.large_string())
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     return offsets, np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)

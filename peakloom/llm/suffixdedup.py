@@ -25,8 +25,8 @@ from .common import if_small, written
 from .shingles import Powers, chunks, mix, utf8
 from .suffixes import common_prefixes, sorted_suffixes
 
-#: Bytes of a repeated string, and of the substrings that file it.
-LENGTH, GRAM = 400, 48
+#: Bytes of a repeated string, and of the substrings that file it; bytes from which a repeat counts as a shared passage (some 42 words).
+LENGTH, GRAM, PASSAGE = 400, 48, 256
 #: Bytes sorted at once; contexts of one hash with more bytes than that are filed anew by stretches of so many distances, in turn.
 BLOCK_BYTES, STRETCHES = 2 << 20, (32, 1)
 #: Bytes of text looked at at once, which leave 40 bits of a hash beside a place; a longer text is cut into overlapping parts.
@@ -99,7 +99,7 @@ def _parts(offsets: np.ndarray, data: np.ndarray, length: int) -> Iterator[tuple
 
 
 def _key(text: Column) -> list[Column]:
-    whole = F.coalesce(text, F.lit(""))
+    whole = F.coalesce(text.cast("binary"), F.lit(b""))
     return [F.xxhash64(whole).alias("text_a"), F.hash(whole).alias("text_b")]
 
 
@@ -310,23 +310,66 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, _SPANS)], ["text_a", "text_b", "spans"])
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left, on request) of every document.
+def _inside(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, shorter: int, length: int) -> DataFrame:
+    """repeated_spans() for a length, from those for a shorter one.
+
+    A repeated string lies in one run of bytes that shorter repeated strings
+    cover, so only such runs, where they are long enough, are looked at again.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, size = [], 0
+            for row, (data, spans) in enumerate(zip(b.column(3), b.column(4).to_pylist(), strict=True)):
+                view = memoryview(data.as_buffer())
+                for low, high in _joined(spans, shorter):
+                    if high - low >= length:
+                        out.append((row, low, bytes(view[low:high])))
+                        size += high - low
+                if size > 8 << 20:
+                    yield made(b, out)
+                    out, size = [], 0
+            if out:
+                yield made(b, out)
+
+    def made(b: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+        row, low, text = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(row)) for i in range(3)), pa.array(low, pa.int32()), pa.array(text, pa.binary())], ["doc_id", "of_a", "of_b", "low", "text"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), *_key(F.col(text_col)), F.col(text_col).cast("binary").alias("text"))
+    rows = rows.join(if_small(found, BROADCAST_SPANS, "spans"), ["text_a", "text_b"]).select("doc_id", "text_a", "text_b", "text", "spans")
+    runs = written(rows.mapInArrow(task, f"doc_id {kind}, of_a long, of_b int, low int, text binary"), "suffix-runs")
+    again = written(repeated_spans(runs, "doc_id", "text", length), "suffix-texts")
+    places = runs.select("of_a", "of_b", "low", *_key(F.col("text"))).distinct()
+    moved = F.transform("spans", lambda s: F.struct((s["low"] + F.col("low")).alias("low"), (s["high"] + F.col("low")).alias("high")))
+    placed = places.join(if_small(again, BROADCAST_SPANS, "spans"), ["text_a", "text_b"]).select("of_a", "of_b", moved.alias("spans"))
+    return placed.groupBy(F.col("of_a").alias("text_a"), F.col("of_b").alias("text_b")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int | None = None, with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left, and n_shared, on request) of every document.
 
     Removed is every byte covered by a string of `length` bytes that starts
     anywhere else too, in another document or the same one. Null text counts as
     empty; texts shorter than `length` lose nothing. Copies of a whole text
     remove each other. Kept bytes need not be valid UTF-8 where a span cuts a
-    character, hence binary.
+    character, hence binary. With a passage, shorter than length, n_shared has
+    the bytes that repeated strings of so many bytes cover, which stay.
     """
-    spans = written(repeated_spans(docs, id_col, text_col, length), "suffix-texts")
+    spans = written(repeated_spans(docs, id_col, text_col, passage or length), "suffix-texts")
+    shared = spans.withColumnRenamed("spans", "shared")
+    if passage:
+        spans = written(_inside(docs, spans, id_col, text_col, passage, length), "suffix-texts")
     rows = docs.select(F.col(id_col).alias("doc_id"), *_key(F.col(text_col)), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
-    joined = rows.join(if_small(spans, BROADCAST_SPANS, "spans"), ["text_a", "text_b"], "left").select("doc_id", "data", "spans")
+    joined = rows.join(if_small(spans, BROADCAST_SPANS, "spans"), ["text_a", "text_b"], "left")
+    joined = joined.join(if_small(shared, BROADCAST_SPANS, "shared"), ["text_a", "text_b"], "left") if passage else joined.withColumn("shared", F.col("spans"))
+    joined = joined.select("doc_id", "data", "spans", "shared")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for data, found in zip(b.column(1), b.column(2), strict=True):
+            for data, found, more in zip(b.column(1), b.column(2), b.column(3), strict=True):
                 text = data.as_buffer()
                 n, removed, runs, at, kept = text.size, 0, 0, 0, []
                 view = memoryview(text)
@@ -334,14 +377,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     kept.append(view[at:low])
                     removed, runs, at = removed + high - low, runs + 1, high
                 kept = b"".join([*kept, view[at:]]) if runs else view
-                out.append((n, removed, runs, hashlib.sha256(kept).hexdigest(), *([bytes(kept)] if with_text else [])))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            columns = zip(*out, strict=True) if out else [()] * (4 + with_text)
+                extra = [sum(high - low for low, high in _joined(more.as_py() or [], passage))] if passage else []
+                out.append((n, removed, runs, hashlib.sha256(kept).hexdigest(), *extra, *([bytes(kept)] if with_text else [])))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.int64()] if passage else []), pa.binary()]
+            columns = zip(*out, strict=True) if out else [()] * (len(names) - 1)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], names)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_shared"] if passage else []), *(["kept"] if with_text else [])]
     kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(task, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return joined.mapInArrow(task, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_shared long" * bool(passage) + ", kept binary" * with_text)
 
 
 def _joined(spans: list[dict], length: int) -> Iterator[tuple[int, int]]:

@@ -64,8 +64,16 @@ def test_very_long_texts_are_cut_into_parts(docs_of, monkeypatch):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == brute(docs, 400)
 
 
+@pytest.mark.parametrize(("length", "passage"), [(400, 256), (60, 50), (400, 60)])
+def test_shared_passages_stay_but_are_told(docs_of, length, passage):
+    docs = [*passages(), *ODD, (40, prose(60, 1) + prose(45, 72)), (41, prose(45, 72) + prose(60, 2))]
+    rows = without_repeats(docs_of(docs), length=length, passage=passage, with_text=True).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == brute(docs, length)
+    assert Counter((r.doc_id, r.n_bytes, r.n_shared) for r in rows) == sum((Counter({k[:3]: n}) for k, n in brute(docs, passage).items()), Counter())
+
+
 def test_empty(none):
-    assert without_repeats(none).count() == 0
+    assert without_repeats(none).count() == without_repeats(none, passage=256).count() == 0
 
 
 def test_suffix_order_and_prefixes():
