@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 import zipfile
@@ -44,6 +45,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Delete a table of written() that nothing will read again: all that came from it has been written."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if not re.search("/[a-z-]+-[0-9a-f]{32}$", path):  # as new_path() names them
+            raise ValueError(f"{path} is no written table")
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def if_small(df: DataFrame, most: int = BROADCAST_ROWS, items: str | None = None) -> DataFrame:
     """A broadcast hint for a narrow table, cheap to count, of at most `most` rows, or of so many items in an array column.
 
