@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, written
+from .common import if_small, removed, written
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -40,7 +40,9 @@ SEEDS = 6
 #: Entries in a node of a tree, pairs bounded at once, and points in a tree; larger parts of the index are several trees.
 FANOUT, PAIRS, TILE = 16, 1 << 14, 512
 #: Points of small trees that are joined side by side.
-FOREST = 1 << 13
+FOREST = 1 << 12
+#: Documents whose keys are looked at together.
+SLICE = 1 << 10
 #: Keys of a set whose parts are searched first.
 HEADS = 4
 #: Bytes of a key, and keys that are counted together.
@@ -244,11 +246,19 @@ def _block_keys(column: pa.BinaryArray, buckets: int) -> tuple[np.ndarray, np.nd
     return np.repeat(np.arange(len(column)), np.diff(offsets) // KEY_BYTES), (whole % n) << np.uint64(32) | (whole // n) & np.uint64(0xFFFFFFFF)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of SLICE rows at most, for a row has hundreds of keys."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def _shared_keys(sets: DataFrame, buckets: int) -> DataFrame:
-    """(word, bits): places, by _places(), of all keys that more than one set has, as words of a bit array.
+    """(key): all keys that more than one set has.
 
-    Tasks send a bucket's keys as packed pairs of 32 bits of key and of set; of
-    a key with several sets in a task, once, marked as shared (set 0). So a
+    Tasks send a bucket's keys as packed pairs of 32 bits of the key and of a
+    hash of set and key, so that two sets do not look like one in all of their
+    keys; of a key with several sets in a task, once, marked as shared (0). So a
     bucket holds about BUCKET_KEYS of them, whatever sets are alike.
     """
 
@@ -263,11 +273,11 @@ def _shared_keys(sets: DataFrame, buckets: int) -> DataFrame:
             )
 
         held, count = [], 0
-        for b in batches:
+        for b in _slices(batches):
             row, key = _block_keys(b.column(1), buckets)
-            of = np.maximum(_halves(b.column(0))[:, 0].astype(np.uint64) >> np.uint64(32), np.uint64(1)).astype(np.uint32)
             if len(key):
-                held.append((key, of[row]))
+                tag = mix(_halves(b.column(0))[:, 0].view(np.uint64)[row] ^ key) >> np.uint64(32)
+                held.append((key, np.maximum(tag, np.uint64(1)).astype(np.uint32)))
                 count += len(key)
             if count >= BUCKET_KEYS:
                 yield flush()
@@ -340,7 +350,7 @@ def _members(sets: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ones = known.value
-        for b in batches:
+        for b in _slices(batches):
             row, key = _block_keys(b.column(3), buckets)
             keep = np.ones(len(key), bool)
             for place in _places(key, bits):
@@ -527,17 +537,23 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(1, -(-keys // (KEY_BYTES * BUCKET_KEYS)))
     shared = written(_shared_keys(sets, buckets), "join-shared")
     members = written(_members(sets, shared, buckets), "join-members")
+    keyed, sets = sets, written(sets.drop("keys"), "join-sets")
+    removed(keyed)
     inside = members.groupBy("key", "set_id").agg(F.max(F.col("point").isNotNull()).alias("head"))
     inside = written(inside, "join-inside")
     several = inside.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    inside = written(inside.join(if_small(written(several, "join-parts")), "key"), "join-inside")
+    every, inside = inside, written(inside.join(if_small(written(several, "join-parts")), "key"), "join-inside")
+    removed(every)
     points = members.filter("point is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point"))
-    first = written(nearest_partners(inside, written(points, "join-points"), similar), "join-pairs")
+    points = written(points, "join-points")
+    removed(members)
+    first = written(nearest_partners(inside, points, similar), "join-pairs")
     edges = written(verified(docs, first, classes, id_col, text_col, words, similar), "join-links")
     comps = components(edges)
 
     placed = inside.select("key", "set_id").join(if_small(comps), F.col("set_id") == F.col("node"), "left").select("key", "set_id", F.coalesce("comp", "set_id").alias("label"))
     placed = written(placed, "join-placed")
+    removed(inside)
     unlike = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
     unlike = written(unlike.filter("low < high").select("key", F.ceil(F.col("n") / F.lit(TILE)).cast("int").alias("tiles")), "join-unlike")
     mixed = written(placed.join(if_small(unlike), "key"), "join-mixed")
