@@ -54,6 +54,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str, words:
     again = found.filter("comp is not null").groupBy("doc_id", "text_a").count().filter("count > 1").select("doc_id", "text_a")
     left = _matching(docs, written(lost, "pipeline-lost"), "left_anti")
     again = written(again, "pipeline-again")
+    if again.isEmpty():
+        return left
     first = F.row_number().over(Window.partitionBy("doc_id", text_hash(F.col("text"))).orderBy(F.xxhash64(*docs.columns)))
     one = _matching(left, again, "left_semi").withColumn("_place", first).filter("_place = 1")
     return _matching(left, again, "left_anti").unionByName(one.select(*docs.columns)).select(*docs.columns)
@@ -88,11 +90,14 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     copies = mix(docs).groupBy("doc_id", "text_a").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     copies = written(copies.filter("_copies > 0"), "pipeline-copies")
     one, several = (_matching(docs, copies.filter(c), "inner") for c in ("_rows = 1", "_rows > 1"))
+    repeats = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
+    if copies.filter("_rows > 1").isEmpty():
+        return one.withColumn("_copy", repeats).select(*docs.columns)
     place = F.row_number().over(Window.partitionBy("_of_id", "_of_text").orderBy(F.xxhash64(*docs.columns)))
     share = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_place") <= F.col("_copies") % F.col("_rows")).cast("long")
     several = several.withColumn("_place", place).withColumn("_copies", share).filter("_copies > 0")
     both = one.select(*docs.columns, "_copies").unionByName(several.select(*docs.columns, "_copies"))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    return both.withColumn("_copy", repeats).select(*docs.columns)
 
 
 @shipping
