@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licences, mixing
+from . import decontaminate, licences, mixing, ranked, secrets, spelling
 
 WARC = """
 with p as (select page_id, coalesce(html, '') as html from pages),
@@ -81,4 +81,5 @@ from known k left join dirs l on l.dir = k.dir left join dirs u on u.dir = k.par
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_dictionary": WARC, "op2_decontaminate": decontaminate.ORACLE_SQL, "op4_licences": LICENCES, "op9_ngram_jaccard": NGRAM_JOIN, "op10_mix_sources": MIXING,
+        "op11_spelling_variants": spelling.ORACLE_SQL, "op12_ranked_search": ranked.ORACLE_SQL, "op13_secret_scan": secrets.ORACLE_SQL,
     }

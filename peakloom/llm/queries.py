@@ -15,7 +15,10 @@ from .lzprint import fingerprint
 from .mixing import mix
 from .ngramjoin import jaccard_components
 from .oracles import oracle_sql  # noqa: F401
+from .ranked import search
+from .secrets import secrets
 from .sharding import shard
+from .spelling import variants
 from .suffixdedup import PASSAGE, without_repeats
 from .tokencount import document_tokens
 from .warc import read_archives, revisits, write_archives
@@ -76,6 +79,21 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc_dictionary, op2_decontaminate, op3_lz_fingerprint, op4_licences, op5_token_counts, op6_virtual_slots, op7_language_id, op8_suffix_dedup, op9_ngram_jaccard, op10_mix_sources)
+    found = (
+        op1_warc_dictionary, op2_decontaminate, op3_lz_fingerprint, op4_licences, op5_token_counts, op6_virtual_slots, op7_language_id, op8_suffix_dedup, op9_ngram_jaccard, op10_mix_sources,
+        op11_spelling_variants, op12_ranked_search, op13_secret_scan,
+    )
     return {f.__name__: f for f in found}
