@@ -27,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-o", "--output")
     c.add_argument("-b", "--batch_size", type=int, default=100_000, help="taken for compatibility; Spark sizes its own batches")
     c.add_argument("-t", "--task_parallel", type=int, default=1, help="taken for compatibility; Spark's master decides")
+    c.add_argument("-k", "--keep", help="keep the placed spectra at this path, for --kept of msp")
     m = commands.add_parser("msp", help="clusters to an MSP library")
     for name in ("path_parquet", "path_sdrf", "path_cluster_tsv", "output"):
         m.add_argument(f"--{name}", required=True)
@@ -40,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--pepmass", default="lower_median", choices=PRECURSORS)
     m.add_argument("--msms_avg", default="weighted", choices=AVERAGES)
     m.add_argument("--files", type=int, default=jobs.FILES, help="deal the library to so many files; 1: the file output itself")
+    m.add_argument("--kept", help="where convert kept the placed spectra; they are read from there, not laid out again")
     for p in (c, m):
         p.add_argument("-c", "--spectra_capacity", type=int, default=CAPACITY, help="spectra in an MGF file; the same for both commands")
         p.add_argument("--mode", default="append", choices=("append", "overwrite"))
@@ -50,10 +52,10 @@ def main(args: list[str] | None = None) -> None:
     given = parser().parse_args(args)
     spark = SparkSession.builder.appName("peakloom").getOrCreate()
     if given.command == "convert":
-        jobs.convert(spark, given.parquet_dir, given.output, given.spectra_capacity, given.mode)
+        jobs.convert(spark, given.parquet_dir, given.output, given.spectra_capacity, given.mode, given.keep)
     else:
         options = {k: getattr(given, v) for k, v in OPTIONS[given.strategy_type].items()}
-        jobs.msp(spark, given.path_parquet, given.path_sdrf, given.path_cluster_tsv, given.output, given.strategy_type, given.mode, given.files, given.spectra_capacity, **options)
+        jobs.msp(spark, given.path_parquet, given.path_sdrf, given.path_cluster_tsv, given.output, given.strategy_type, given.mode, given.files, given.spectra_capacity, given.kept, **options)
 
 
 if __name__ == "__main__":

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -56,6 +55,29 @@ def _reach(spectra: Spectra, x: np.ndarray, tolerance: float) -> tuple[np.ndarra
     return low, high
 
 
+def _lowest_free(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """What each of some takers gets, in order: the lowest free place from its low to below its high, else -1; both never fall.
+
+    With v the next place that the first n takers leave, less n, a taker turns v
+    into max(v, low - n), or, if v is not below high - n, into v - 1, which is
+    high - n - 1 as v is never above. So every taker clamps v to a range, and
+    clamps in a row are one clamp: doubling steps give those of all beginnings.
+    """
+    n = np.arange(len(low))
+    least, most = low - n, high - n - 1
+    before = np.maximum.accumulate(least) if len(low) else least
+    if (before <= most).all():  # nobody goes without
+        return before + n
+    floor, ceiling, step = least.copy(), most.copy(), 1
+    while step < len(low):
+        # clamps that others come before are those others' first, then their own
+        below, above = floor[:-step], ceiling[:-step]
+        floor[step:], ceiling[step:] = np.clip(below, floor[step:], ceiling[step:]), np.clip(above, floor[step:], ceiling[step:])
+        step *= 2
+    v = np.concatenate([least[:1], floor[:-1]])
+    return np.where(v <= most, np.maximum(v, least) + n, -1)
+
+
 def _matched_products(spectra: Spectra, left: np.ndarray, right: np.ndarray, tolerance: float) -> np.ndarray:
     sizes = spectra.first[left + 1] - spectra.first[left]
     pair = np.repeat(np.arange(len(left)), sizes)
@@ -64,20 +86,9 @@ def _matched_products(spectra: Spectra, left: np.ndarray, right: np.ndarray, tol
     base = right[pair] * (len(spectra.ranked) + 1)
     low, high = np.searchsorted(spectra.keys, base + low), np.searchsorted(spectra.keys, base + high)
     live = np.flatnonzero(low < high)
-    span = 2 * len(spectra.keys) + 2
-    while True:
-        # were all live peaks matched, each would take the place after the last one's or its own lowest, whichever is higher
-        count = np.arange(len(live))
-        ahead = low[live] - count + pair[live] * span
-        best = np.maximum.accumulate(ahead) if len(live) else ahead
-        taken = best - pair[live] * span + count
-        late = taken >= high[live]
-        if not late.any():
-            break
-        # a run starts where nothing before interferes; the first late peak of a run is free of doubt and goes
-        run = np.cumsum(np.concatenate([[True], best[1:] > best[:-1]]))
-        at = np.flatnonzero(late)
-        live = np.delete(live, at[np.unique(run[at], return_index=True)[1]])
+    taken = _lowest_free(low[live] + pair[live] * (span := len(spectra.keys) + 1), high[live] + pair[live] * span)
+    live, taken = live[taken >= 0], taken[taken >= 0]
+    taken = taken - pair[live] * span
     return np.bincount(pair[live], spectra.weight[peak[live]] * spectra.weight[taken], len(left))
 
 
@@ -145,34 +156,82 @@ def similarity_sums(spectra: Column, tolerance: float = 0.02, sim: str = "dot")
     return summed(lists("mz_array"), lists("intensity_array"))
 
 
-def explained_share(sequence: str | None, charge: int, precursor_mz: float, mz, intensity, tolerance: float) -> float | None:
-    """Share of intensity on singly charged b and y ions (and more highly charged, below the precursor's charge) once the precursor's peaks are gone.
+#: Mass of the residue that each byte stands for; NaN if none.
+_MASS = np.full(256, np.nan)
+_MASS[[ord(r) for r in RESIDUES]] = list(RESIDUES.values())
+
 
-    0 without a sequence or peaks; null if a residue's mass isn't known.
+def _within(spectrum: np.ndarray, mz: np.ndarray, of: np.ndarray, value: np.ndarray, tolerance: float) -> np.ndarray:
+    """Whether any of some values (of spectra `of`) of a peak's own spectrum is within the tolerance of it."""
+    order = np.lexsort((value, of))
+    of, value = of[order], value[order]
+    ranked = np.unique(value)
+    keys = of * (len(ranked) + 1) + np.searchsorted(ranked, value)
+    at = np.searchsorted(keys, spectrum * (len(ranked) + 1) + np.searchsorted(ranked, mz))
+    near = np.zeros(len(mz), bool)
+    for side in (at - 1, at):  # the last value below the peak, and the first one not below
+        there = np.flatnonzero((side >= 0) & (side < len(of)))
+        here = side[there]
+        near[there] |= (of[here] == spectrum[there]) & (np.abs(mz[there] - value[here]) <= tolerance)
+    return near
+
+
+def explained_shares(sequence: pa.Array, charge: np.ndarray, precursor_mz: np.ndarray, mz: pa.ListArray, intensity: pa.ListArray, tolerance: float) -> np.ndarray:
+    """For each spectrum the share of intensity on singly charged b and y ions (and more highly charged, below the precursor's charge) once the precursor's peaks are gone.
+
+    0 without a sequence, peaks or intensity; NaN if a residue's mass isn't
+    known. Ladders and peaks of all spectra are worked on together.
     """
-    if not sequence or mz is None or intensity is None:
-        return 0.0
-    if any(r not in RESIDUES for r in sequence):
-        return None
-    mz, intensity = np.asarray(mz, float), np.asarray(intensity, float)
-    mass = (precursor_mz - PROTON) * charge
-    keep = np.ones(len(mz), bool)
-    for z in range(1, charge + 1):
-        keep &= np.abs(mz - (mass / z + PROTON)) > tolerance
-    mz, intensity = mz[keep], intensity[keep]
-    sums = np.cumsum([RESIDUES[r] for r in sequence])
-    fragments = np.concatenate([sums[:-1], sums[-1] - sums[:-1] + WATER])
-    ions = np.concatenate([fragments / z + PROTON for z in range(1, max(2, charge))])
-    total = intensity.sum()
-    if not total:
-        return 0.0
-    near = (np.abs(mz[:, None] - ions[None]) <= tolerance).any(1) if len(ions) else np.zeros(len(mz), bool)
-    return float(intensity[near].sum() / total)
+    n = len(sequence)
+    known = pc.and_(mz.is_valid(), intensity.is_valid()).to_numpy(zero_copy_only=False)
+    letters = sequence.fill_null("").cast(pa.large_binary())
+    offsets = np.frombuffer(letters.buffers()[1], np.int64)[letters.offset : letters.offset + n + 1]
+    mass = _MASS[np.frombuffer(letters.buffers()[2] or b"", np.uint8)]
+    length = np.where(known, np.diff(offsets), 0)
+    spectrum = np.repeat(np.arange(n), length)
+    place = np.arange(len(spectrum)) - np.repeat(np.cumsum(length) - length, length)
+    sums = mass[np.repeat(offsets[:-1], length) + place] if len(mass) else np.zeros(0)
+    first = np.cumsum(length) - length
+    for k in range(1, int(length.max(initial=0))):  # residue by residue, as a sum from the left is rounded
+        at = first[length > k] + k
+        sums[at] += sums[at - 1]
+    whole = np.zeros(n)
+    whole[length > 0] = sums[(first + length - 1)[length > 0]]
+    inner = place < length[spectrum] - 1
+    fragments = np.concatenate([sums[inner], whole[spectrum[inner]] - sums[inner] + WATER])
+    of = np.tile(spectrum[inner], 2)
+
+    def charged(of: np.ndarray, mass: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each mass at charges 1 to `most` of its spectrum."""
+        each = np.repeat(np.arange(len(of)), np.maximum(most[of], 0))
+        z = np.arange(len(each)) - np.repeat(np.cumsum(np.maximum(most[of], 0)) - np.maximum(most[of], 0), np.maximum(most[of], 0)) + 1
+        return of[each], mass[each] / z + PROTON
+
+    ions = charged(of, fragments, np.maximum(charge - 1, 1))
+    precursors = charged(np.arange(n), (precursor_mz - PROTON) * charge, charge)
+    sizes = np.where(known & (length > 0), pc.fill_null(pc.list_value_length(mz), 0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+    other = np.where(known & (length > 0), pc.fill_null(pc.list_value_length(intensity), 0).to_numpy(zero_copy_only=False), 0)
+    if not np.array_equal(sizes, other):
+        raise ValueError("m/z and intensity arrays differ in length")
+    use = pa.array(sizes > 0)
+    values = [a.filter(use).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) for a in (mz, intensity)]
+    peak_of = np.repeat(np.arange(n), sizes)
+    keep = ~_within(peak_of, values[0], *precursors, tolerance)
+    peak_of, values = peak_of[keep], [v[keep] for v in values]
+    total = np.bincount(peak_of, values[1], n)
+    near = _within(peak_of, values[0], *ions, tolerance)
+    share = np.bincount(peak_of[near], values[1][near], n) / np.where(total != 0, total, 1)
+    return np.where(np.isnan(whole), np.nan, np.where(total != 0, share, 0.0))
 
 
 def fraction_by(sequence: Column, charge: Column, precursor_mz: Column, mz: Column, intensity: Column, tolerance: float = 0.02) -> Column:
-    @F.pandas_udf(T.DoubleType())
-    def share(s: pd.Series, z: pd.Series, p: pd.Series, m: pd.Series, i: pd.Series) -> pd.Series:
-        return pd.Series([explained_share(*row, tolerance) for row in zip(s, z, p, m, i, strict=True)], dtype=float)
+    """explained_shares() of a row's spectrum; null for unknown residues, charges and precursors."""
+
+    @F.arrow_udf(T.DoubleType())
+    def share(s: pa.Array, z: pa.Array, p: pa.Array, m: pa.Array, i: pa.Array) -> pa.Array:
+        known = pc.and_(z.is_valid(), p.is_valid()).to_numpy(zero_copy_only=False)
+        charges, precursors = (v.fill_null(1).to_numpy(zero_copy_only=False) for v in (z, p))
+        found = explained_shares(s, charges.astype(np.int64), precursors.astype(float), m, i, tolerance)
+        return pa.array(found, mask=np.isnan(found) | ~known)
 
-    return share(sequence, charge, precursor_mz, mz, intensity)
+    return share(sequence, charge.cast("int"), precursor_mz.cast("double"), mz.cast("array<double>"), intensity.cast("array<double>"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,24 +13,73 @@ from pyspark.sql import types as T
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
-@F.pandas_udf(T.StringType())
-def float_text(values: pd.Series) -> pd.Series:
+def decimals(values: pa.Array) -> pa.Array:
+    """Doubles as Python prints them: the shortest decimal that reads back the same, as Arrow finds it, brought into Python's form.
+
+    Python writes .0 behind whole numbers, exponents of two digits, and numbers
+    from 0.0001 to below 10**16 without an exponent.
+    """
+    known = values.to_numpy(zero_copy_only=False)
+    size = np.abs(known)
+    text = values.cast(pa.string())
+    odd = pc.match_substring(text, "e").to_numpy(zero_copy_only=False) | (size < 1e-4) & (size > 0) | (size >= 1e14) & np.isfinite(size)
+    whole = np.isfinite(size) & ~odd & (known == np.rint(known))
+    text = pc.binary_join_element_wise(text, pa.array(["", ".0"]).take(pa.array(whole.astype(np.int8))), "")
+    if not odd.any():
+        return text
+    few = text.filter(pa.array(odd))
+    # digits and the exponent of the first, from "0.000012", "1.2e+15" or "12000000000000000"
+    sign = pc.replace_substring_regex(few, r"^(-?).*$", r"\1")
+    bare = pc.replace_substring_regex(few, "^-", "")
+    power = pc.replace_substring_regex(few, r"^[^e]*(e\+?)?", "")
+    mantissa = pc.replace_substring_regex(bare, r"e.*$", "")
+    leading = pc.binary_length(pc.replace_substring_regex(mantissa, r"^(0\.0*|).*$", r"\1")).to_numpy(zero_copy_only=False)
+    digits = pc.replace_substring_regex(pc.replace_substring(mantissa, ".", ""), "^0+", "")
+    before = pc.binary_length(pc.replace_substring_regex(mantissa, r"\..*$", "")).to_numpy(zero_copy_only=False)
+    given = pc.if_else(pc.equal(power, ""), "0", power).cast(pa.int64()).to_numpy(zero_copy_only=False)
+    exponent = np.where(leading > 0, 1 - leading, before - 1) + given
+    digits = pc.replace_substring_regex(digits, r"0+$", "")
+    # with an exponent
+    tail = pc.utf8_slice_codeunits(digits, 1)
+    short = pc.binary_join_element_wise(pc.utf8_slice_codeunits(digits, 0, 1), pc.if_else(pc.equal(tail, ""), "", "."), tail, "")
+    raised = pa.array(np.abs(exponent)).cast(pa.string())
+    raised = pc.utf8_lpad(raised, 2, "0")
+    scientific = pc.binary_join_element_wise(short, "e", pa.array(["+", "-"]).take(pa.array((exponent < 0).astype(np.int8))), raised, "")
+    told = scientific
+    for e in np.unique(exponent[(exponent >= -4) & (exponent <= 15)]).tolist():  # without
+        here = pa.array(exponent == e)
+        some = digits.filter(here)
+        if e < 0:
+            plain = pc.binary_join_element_wise("0." + "0" * (-e - 1), some, "")
+        else:
+            wide = pc.utf8_rpad(some, e + 2, "0")
+            plain = pc.binary_join_element_wise(pc.utf8_slice_codeunits(wide, 0, e + 1), pc.utf8_slice_codeunits(wide, e + 1), ".")
+        told = pc.replace_with_mask(told, here, plain)
+    return pc.replace_with_mask(text, pa.array(odd), pc.binary_join_element_wise(sign, told, ""))
+
+
+@F.arrow_udf(T.StringType())
+def float_text(values: pa.Array) -> pa.Array:
     """The shortest decimal text of doubles as Python prints it, which Spark's cast does not give. Null and NaN give null."""
-    return pd.Series([None if pd.isna(v) else repr(float(v)) for v in values], dtype=object)
+    known = pc.and_(values.is_valid(), pc.invert(pc.is_nan(values.fill_null(0.0))))
+    return pc.if_else(known, decimals(values.fill_null(0.0)), pa.scalar(None, pa.string()))
 
 
-@F.pandas_udf(T.StringType())
-def peak_text(mz: pd.Series, intensity: pd.Series) -> pd.Series:
-    """A line "m/z intensity" per peak; empty if either array is null. Arrays of unlike length are an error."""
+@F.arrow_udf(T.StringType())
+def _peak_text(mz: pa.Array, intensity: pa.Array) -> pa.Array:
+    known = pc.and_(mz.is_valid(), intensity.is_valid())
+    sizes = [pc.if_else(known, pc.list_value_length(a), 0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for a in (mz, intensity)]
+    if not np.array_equal(*sizes):
+        raise ValueError("m/z and intensity arrays differ in length")
+    values = [decimals(a.filter(known).flatten().fill_null(np.nan)) for a in (mz, intensity)]
+    lines = pc.binary_join_element_wise(*values, " ")
+    first = pa.array(np.concatenate([[0], np.cumsum(sizes[0])]), pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(first, lines), "\n")
 
-    def lines(a, b) -> str:
-        if a is None or b is None:
-            return ""
-        if len(a) != len(b):
-            raise ValueError("m/z and intensity arrays differ in length")
-        return "\n".join(f"{x!r} {y!r}" for x, y in zip(map(float, a), map(float, b), strict=True))
 
-    return pd.Series([lines(a, b) for a, b in zip(mz, intensity, strict=True)])
+def peak_text(mz: Column, intensity: Column) -> Column:
+    """A line "m/z intensity" per peak; empty if either array is null. Arrays of unlike length are an error."""
+    return _peak_text(mz.cast("array<double>"), intensity.cast("array<double>"))
 
 
 def usi(dataset: Column, file: Column, scan: Column, sequence: Column, charge: Column) -> Column:

@@ -7,20 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cli
+from . import cli, sql
 from . import fixtures as fx
 from .convert import mgf_blocks, msp_blocks
 from .functions import text
 from .functions.peaks import bin_index, l2_normalised
 from .functions.similarity import PROTON, fraction_by
-from .operators.layout import attach_samples, join_clusters, place_in_files
-from .operators.routing import cluster_counts, routed, singles, top_rows, with_nreps
+from .operators.layout import attach_samples, join_clusters, keep_placed, kept_spectra, place_in_files
+from .operators.routing import cluster_counts, routed, singles, sized_top
 from .plans import AverageSpectrumStrategy, BestSpectrumStrategy, BinningStrategy, MostSimilarStrategy
 from .plans.common import clusters_of, distinct_spectra, header
 from .plans.most_similar import average_similarity, pair_similarities
 from .session import new_path
 from .sources.sinks import write_blocks
-from .sources.spectra import SAMPLE_COLUMNS, find_sample_sheet, read_samples, read_spectra, sample_table, with_usi
+from .sources.spectra import SAMPLE_COLUMNS, read_spectra, sample_table, with_usi
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,8 +112,7 @@ def route_large(spark, sf_dir):
 
 @query(f'{_ROUTED} select cluster_accession, usi, global_qvalue from ranked where nreps > 10 and rk <= 10')
 def top10_large(spark, sf_dir):
-    psm = _psm(spark, sf_dir)
-    return with_nreps(top_rows(psm, "global_qvalue", 10), psm).filter("Nreps > 10").select("cluster_accession", "usi", "global_qvalue")
+    return sized_top(_psm(spark, sf_dir), "global_qvalue", 10).filter("Nreps > 10").select("cluster_accession", "usi", "global_qvalue")
 
 
 @query(f'{_ROUTED} select cluster_accession, usi, nreps as "Nreps", cast(rk as integer) as rk from many')
@@ -217,8 +216,14 @@ def pep_lower_median(spark, sf_dir):
     return AverageSpectrumStrategy(pepmass="lower_median").precursors(rows).select("cluster_accession", F.round("pepmass", 6).alias("pepmass"), "charge")
 
 
-@query(f"{_PAIRS} select cluster_accession, usi_a, usi_b, round(similarity, 9) as similarity from dots")
+@query(f"""{_ROUTED}, peaks as ({fx.SPACED}), norms as (select scan_number, sqrt(sum(intensity * intensity)) as norm from peaks group by 1),
+unit as (select scan_number, mz, floor((mz - 99) / 2) as grid, intensity / norm as w from peaks join norms using (scan_number)),
+a as (select cluster_accession as c, usi, rk, grid, mz, w from many join unit using (scan_number)),
+found as (select a.c, a.usi as usi_a, b.usi as usi_b, sum(a.w * b.w) as d from a join a b on a.c = b.c and a.grid = b.grid and a.rk <= b.rk and abs(a.mz - b.mz) <= cast(0.02 as double) group by all)
+select a.cluster_accession, a.usi as usi_a, b.usi as usi_b, round(coalesce(d, 0), 9) as similarity
+from many a join many b on a.cluster_accession = b.cluster_accession and a.rk <= b.rk left join found on c = a.cluster_accession and usi_a = a.usi and usi_b = b.usi""")
 def pair_dot(spark, sf_dir):
+    """Peaks 2.0 apart, so the SQL joins those of one place on the grid."""
     return pair_similarities(_many(spark, sf_dir, fx.SPACED)).withColumn("similarity", F.round("similarity", 9))
 
 
@@ -243,6 +248,21 @@ def most_consensus(spark, sf_dir):
     return consensus.select("cluster_accession", "usi", "Nreps")
 
 
+@query(f'{_PAIRS} select cast(m.cluster_accession as varchar) as cluster_accession, m.usi, split_part(m.usi, \':\', -1) as name, least(m.nreps, 10) as rows_held, round(w.total, 6) as total from many m join winners w on m.cluster_accession = w.cluster_accession and m.usi = w.usi')
+def most_by_sql(spark, sf_dir):
+    """The most similar spectrum of each cluster in SQL text alone: a table function over routed rows, and its summed similarity by the scalar one."""
+    sql.register(spark)
+    fx.spectra(spark, sf_dir, fx.SPACED).createOrReplaceTempView("clustered_spectra")
+    return spark.sql("""
+        with ranked as (select *, row_number() over (partition by cluster_accession order by global_qvalue, usi) as rk, count(*) over (partition by cluster_accession) as n from clustered_spectra),
+        routed as (select * from ranked where rk <= 10 and n > 1),
+        best as (select * from most_similar(table(select cluster_accession, usi, rk, pepmass, charge, posterior_error_probability, mz_array, intensity_array from routed) partition by cluster_accession order by rk)),
+        pairs as (select b.cluster_accession, b.usi, b.Nreps, case when r.rk < s.rk then dot_similarity(r.mz_array, r.intensity_array, s.mz_array, s.intensity_array)
+            else dot_similarity(s.mz_array, s.intensity_array, r.mz_array, r.intensity_array) end as d
+          from best b join routed s on cast(s.cluster_accession as string) = b.cluster_accession and s.usi = b.usi join routed r on r.cluster_accession = s.cluster_accession)
+        select cluster_accession, usi, library_name(usi) as name, Nreps as rows_held, round(sum(d), 6) as total from pairs group by all""")
+
+
 @query(f"""{_PAIRS}, mirrored as (select cluster_accession, usi_a as a, usi_b as b, similarity from dots union all select cluster_accession, usi_b, usi_a, similarity from dots where ra < rb)
 select b.cluster_accession, round(avg(similarity), 9) as avg_dot from mirrored b join ranked r on r.cluster_accession = b.cluster_accession and r.usi = b.a and r.rk = 1 group by 1""")
 def avg_dot(spark, sf_dir):
@@ -334,6 +354,16 @@ def cluster_join(spark, sf_dir):
     return join_clusters(assigned, placed).select("cluster_accession", "mgf_path", "mgf_order", "usi", "pepmass")
 
 
+@query(SQL["cluster_join"])
+def cluster_join_kept(spark, sf_dir):
+    """The same from spectra kept in buckets of their places: only the assignments move."""
+    placed = _positions(spark, sf_dir).join(fx.spectra(spark, sf_dir).select("scan_number", "mz_array", "intensity_array"), "scan_number")
+    path = new_path(spark, "kept-spectra")
+    keep_placed(placed, path)
+    assigned = _positions(spark, sf_dir).select("mgf_path", "mgf_order", "cluster_accession")
+    return join_clusters(assigned, kept_spectra(spark, path)).select("cluster_accession", "mgf_path", "mgf_order", "usi", "pepmass")
+
+
 _LINES = "string_agg(concat(cast(mz as varchar), ' ', cast(intensity as varchar)), chr(10) order by mz)"
 
 
@@ -416,7 +446,21 @@ def scanned_spectra(spark, sf_dir):
     return found.select("usi", "charge", F.col("exp_mass_to_charge").alias("pepmass"), "global_qvalue", F.size("mz_array").cast("long").alias("n"))
 
 
-def _project(spark, sf_dir) -> str:
+@query(SQL["scanned_spectra"])
+def scanned_beside_strays(spark, sf_dir):
+    """Spectra in two directories parquet_files among Parquet files that are none: beside them, above them and in a directory inside."""
+    folder = new_path(spark, "spectra-strays")
+    named = fx.spectra(spark, sf_dir).withColumnRenamed("pepmass", "exp_mass_to_charge")
+    for k, place in enumerate(("aa/parquet_files", "b [1]/c/parquet_files")):
+        named.filter(F.col("scan_number") % 2 == k).write.parquet(f"{folder}/{place}")
+    stray = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    for place in ("aa/0", "aa/parquet_files/0", "zz"):
+        stray.coalesce(1).write.parquet(f"{folder}/{place}")
+    found = with_usi(read_spectra(spark, folder, scored=True, discover=True).withColumn("dataset", F.lit("PXD7")))
+    return found.select("usi", "charge", F.col("exp_mass_to_charge").alias("pepmass"), "global_qvalue", F.size("mz_array").cast("long").alias("n"))
+
+
+def _project(spark, sf_dir, *given: str) -> str:
     """A folder with spectra in parquet_files, a sample sheet and, from `convert`, MGF files of 100 spectra at most."""
     folder = new_path(spark, "project")
     fx.spectra(spark, sf_dir).withColumnRenamed("pepmass", "exp_mass_to_charge").write.parquet(f"{folder}/parquet_files")
@@ -424,7 +468,7 @@ def _project(spark, sf_dir) -> str:
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.concat_ws("\t", "data_file", "organism", "instrument").alias("text")))), lambda r: r["text"]), "\n")
     sheet = rows.agg(F.concat(F.lit("\t".join(SAMPLE_COLUMNS) + "\n"), lines).alias("block")).select(F.lit("samples.sdrf.tsv").alias("file_path"), F.lit(0).alias("ordinal"), "block")
     write_blocks(sheet, folder, "mgf")
-    cli.main(["convert", "-p", folder, "-c", "100"])
+    cli.main(["convert", "-p", folder, "-c", "100", *given])
     return folder
 
 
@@ -434,17 +478,78 @@ def convert_command(spark, sf_dir):
     return _blocks_in(spark, f"{_project(spark, sf_dir)}/mgf_output", "mgf").select("block")
 
 
-@query(f"""{_msp_best("replace(usi, 'PXD000001', 'part')")} select block from blocks""")
-def msp_command(spark, sf_dir):
-    """Spectra, sample sheet and assignments from files to a library by the command line, some lines of the assignments without a cluster."""
-    folder = _project(spark, sf_dir)
+def _library(spark, sf_dir, *given: str) -> str:
+    """A folder with a library made by both commands from spectra, sample sheet and assignments in files, some lines of the assignments without a cluster."""
+    folder = _project(spark, sf_dir, "--keep", kept := new_path(spark, "kept-spectra"))
     titles = F.regexp_extract("block", r":scan:(\d+):", 1).cast("long")
-    placed = read_spectra(spark, f"{folder}/parquet_files", scored=True)
-    placed = place_in_files(attach_samples(placed, read_samples(spark, find_sample_sheet(spark, folder))), 100).select(F.col("scan_number").cast("long").alias("scan_number"), "mgf_path", "mgf_order")
+    placed = kept_spectra(spark, kept).select(F.col("scan_number").cast("long").alias("scan_number"), "mgf_path", "mgf_order")
     made = _blocks_in(spark, f"{folder}/mgf_output", "mgf").select(F.col("path").alias("made_path"), titles.alias("scan_number"))
     assigned = placed.join(made, "scan_number").filter("made_path = mgf_path").join(_psm(spark, sf_dir).select("scan_number", "cluster_accession"), "scan_number")
     lines = assigned.select("mgf_path", "mgf_order", F.col("cluster_accession").cast("string").alias("cluster"))
     lines.unionByName(lines.withColumn("cluster", F.lit(None).cast("string"))).write.option("sep", "\t").csv(f"{folder}/clusters")
     paths = ["--path_parquet", f"{folder}/parquet_files", "--path_sdrf", f"{folder}/samples.sdrf.tsv", "--path_cluster_tsv", f"{folder}/clusters"]
-    cli.main(["msp", *paths, "--output", f"{folder}/library/best.msp", "-c", "100"])
-    return _blocks_in(spark, f"{folder}/library", "msp").select("block")
+    cli.main(["msp", *paths, "--output", f"{folder}/library/all.msp", "-c", "100", *given])
+    return f"{folder}/library"
+
+
+@query(f"""{_msp_best("replace(usi, 'PXD000001', 'part')")} select block from blocks""")
+def msp_command(spark, sf_dir):
+    return _blocks_in(spark, _library(spark, sf_dir), "msp").select("block")
+
+
+def _headed(blocks: str) -> str:
+    """Lines that tell library blocks of these data apart: all but the cluster's UUID, which goes by the order of rows in the files, and the precursor's last digits."""
+    return f"""select regexp_extract(block, 'Nreps=([0-9]+)', 1) as nreps, regexp_extract(block, 'PEP=(.*)', 1) as pep, regexp_extract(block, 'Num peaks: ([0-9]+)', 1) as peaks,
+  len(string_split(regexp_extract(block, 'Name: (.*)', 1), ';')) as names, rtrim(split_part(block, 'Num peaks: ', 2), chr(10)) as lines from ({blocks})"""
+
+
+def _heads(blocks: DataFrame) -> DataFrame:
+    part = lambda pattern: F.regexp_extract("block", pattern, 1)
+    return blocks.select(
+        part("Nreps=([0-9]+)").alias("nreps"), part("PEP=(.*)").alias("pep"), part("Num peaks: ([0-9]+)").alias("peaks"),
+        F.size(F.split(part("Name: (.*)"), ";")).cast("long").alias("names"), F.rtrim(F.split_part("block", F.lit("Num peaks: "), F.lit(2)), F.lit("\n")).alias("lines"),
+    )
+
+
+_SINGLE_BLOCKS = f"""select {_MSP} as block from (select *, sha1({_NAMESPACE} || encode(usi)) as h, split_part(usi, ':', -1) as name, posterior_error_probability as pep from routed where nreps = 1) r
+  join (select scan_number, count(*) as n, {_LINES} as peak_lines from peaks group by 1) l on l.scan_number = r.scan_number"""
+
+
+def _with_singles(sql: str) -> str:
+    """SQL of consensus blocks, with those of single spectra."""
+    head, last = sql.rsplit("\nselect ", 1)
+    return f"{head}, blocks as (select {last}) {_headed(f'select block from blocks union all {_SINGLE_BLOCKS}')}"
+
+
+@query(_with_singles(SQL["msp_block_bin"]))
+def msp_bin_command(spark, sf_dir):
+    """A library of binned spectra from files by the command line."""
+    return _heads(_blocks_in(spark, _library(spark, sf_dir, "--strategy_type", "bin"), "msp"))
+
+
+@query(_with_singles(SQL["msp_block_average"]))
+def msp_average_command(spark, sf_dir):
+    """A library of averaged spectra, precursors averaged too."""
+    return _heads(_blocks_in(spark, _library(spark, sf_dir, "--strategy_type", "average", "--pepmass", "naive_average"), "msp"))
+
+
+@query(f"""{_MGF_TEXT} select mgf_path, split_part(split_part(block, 'TITLE=id=', 2), chr(10), 1) as title, mgf_order as place from blocks""")
+def mgf_file_order(spark, sf_dir):
+    """Titles of written MGF files by their place in the file's text."""
+    folder = new_path(spark, "mgf-files")
+    write_blocks(mgf_block(spark, sf_dir), folder, "mgf")
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.mgf").text(folder, wholetext=True)
+    path = F.substring_index(F.url_decode(F.col("_metadata.file_path")), f"{folder.rsplit('/', 1)[1]}/", -1)
+    placed = found.select(path.alias("mgf_path"), F.posexplode(F.regexp_extract_all("value", F.lit(r"TITLE=id=([^\n]*)"), 1)).alias("place", "title"))
+    return placed.select("mgf_path", "title", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""{_ROUTED}, placed as (select cast(cluster_accession as varchar) as c, usi, nreps, nreps = 1 as single from routed where rk = 1)
+select split_part(usi, ':', -1) as name, replace(usi, 'PXD000001', 'part') as usi, row_number() over (order by single, c, usi) - 1 as place from placed""")
+def msp_file_order(spark, sf_dir):
+    """A library of one file: consensus spectra by cluster, then single ones, as their names and UUIDs stand in its text."""
+    found = spark.read.text(f"{_library(spark, sf_dir, '--files', '1')}/all.msp", wholetext=True)
+    heads = found.select(F.posexplode(F.regexp_extract_all("value", F.lit(r"Name: ([^\n]*\n[^\n]*\nComment: clusterID=[0-9a-f-]*)"), 1)).alias("place", "head"))
+    heads = heads.select(F.col("place").cast("long").alias("place"), F.split_part("head", F.lit("\n"), F.lit(1)).alias("name"), F.split_part("head", F.lit("clusterID="), F.lit(2)).alias("uuid"))
+    known = _psm(spark, sf_dir).select(F.regexp_replace("usi", "PXD000001", "part").alias("usi"))
+    return heads.join(known.withColumn("uuid", text.cluster_uuid(F.col("usi"))), "uuid").select("name", "usi", "place")

@@ -24,3 +24,8 @@ ASSIGNMENT = _struct(mgf_path=T.StringType(), mgf_order=T.LongType(), cluster_ac
 CONSENSUS = (
     "cluster_accession", "pepmass", "Nreps", "posterior_error_probability", "usi", "charge", "mz_array", "intensity_array", "is_singleton",
 )
+#: What a cluster reduces to in SQL's table functions.
+REDUCED = _struct(
+    cluster_accession=T.StringType(), usi=T.StringType(), pepmass=T.DoubleType(), charge=T.IntegerType(), Nreps=T.LongType(), posterior_error_probability=T.DoubleType(),
+    mz_array=_ARRAY, intensity_array=_ARRAY,
+)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,17 +17,25 @@ SPECTRA_DIRECTORY = "parquet_files"
 SAMPLE_COLUMNS = ("comment[data file]", "characteristics[organism]", "comment[instrument]")
 
 
+def find_spectra(spark: SparkSession, folder: str) -> list[str]:
+    """Parquet files right inside a directory named parquet_files anywhere below a folder, in order of paths, with characters of patterns escaped."""
+    listed = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").format("binaryFile").load(folder)
+    found = listed.filter(F.col("path").rlike(f"/{SPECTRA_DIRECTORY}/[^/]+$")).select("path").collect()
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", r.path) for r in sorted(found)]
+
+
 def read_spectra(spark: SparkSession, path: str, scored: bool = False, discover: bool = False) -> DataFrame:
     """Spectra of all Parquet files at path, with file_path, file_stem, dataset and row_index, their position in the file.
 
-    With discover, files are sought in all directories below path and kept if
-    they lie in one named parquet_files. Numbers of other widths are cast.
+    With discover, files are sought in all directories below path first, and
+    only those in one named parquet_files are ever opened; none is an error.
+    Numbers of other widths are cast.
     """
     schema = SCORED_SPECTRUM if scored else SPECTRUM
-    reader = spark.read.option("recursiveFileLookup", discover)
-    rows = (reader.option("pathGlobFilter", "*.parquet") if discover else reader).parquet(path)
-    if discover:
-        rows = rows.filter(F.col("_metadata.file_path").rlike(f"/{SPECTRA_DIRECTORY}/[^/]+$"))
+    paths = find_spectra(spark, path) if discover else [path]
+    if not paths:
+        raise FileNotFoundError(f"no Parquet file in a directory {SPECTRA_DIRECTORY} below {path}")
+    rows = spark.read.parquet(*paths)
     name = F.col("_metadata.file_name")
     return rows.select(
         *(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema),
