@@ -111,14 +111,13 @@ def dot_products(spectra: Spectra, left: np.ndarray, right: np.ndarray, toleranc
 SIMILARITIES: dict[str, Callable] = {"dot": dot_products}
 
 
-def similarity(mz: Column, intensity: Column, other_mz: Column, other_intensity: Column, tolerance: float = 0.02, sim: str = "dot") -> Column:
-    """Similarity of two spectra in a row; null if any array is."""
-    measure = SIMILARITIES[sim]
+def pair_function(measure: Callable, tolerance: float) -> Callable:
+    """A measure of SIMILARITIES as a function of four columns, (mz, intensity, other mz, other intensity), arrays of double; null if any is."""
 
     @F.arrow_udf(T.DoubleType())
     def measured(a: pa.Array, x: pa.Array, b: pa.Array, y: pa.Array) -> pa.Array:
         known = pc.and_(pc.and_(a.is_valid(), x.is_valid()), pc.and_(b.is_valid(), y.is_valid()))
-        a, x, b, y = (v.filter(known) for v in (a, x, b, y))
+        a, x, b, y = (v.filter(known).cast(pa.list_(pa.float64())) for v in (a, x, b, y))
         n = len(a)
         found = measure(Spectra(pa.concat_arrays([a, b]), pa.concat_arrays([x, y])), np.arange(n), np.arange(n, 2 * n), tolerance)
         out = np.full(len(known), np.nan)
@@ -126,7 +125,12 @@ def similarity(mz: Column, intensity: Column, other_mz: Column, other_intensity:
         out[here] = found
         return pa.array(out, mask=~here)
 
-    return measured(mz, intensity, other_mz, other_intensity)
+    return measured
+
+
+def similarity(mz: Column, intensity: Column, other_mz: Column, other_intensity: Column, tolerance: float = 0.02, sim: str = "dot") -> Column:
+    """Similarity of two spectra in a row; null if any array is."""
+    return pair_function(SIMILARITIES[sim], tolerance)(mz, intensity, other_mz, other_intensity)
 
 
 def similarity_sums(spectra: Column, tolerance: float = 0.02, sim: str = "dot") -> Column:

@@ -22,7 +22,7 @@ def cluster_counts(df: DataFrame) -> DataFrame:
     return df.filter("cluster_accession is not null").groupBy("cluster_accession").agg(F.count(F.lit(1)).alias("Nreps"))
 
 
-def sized_top(df: DataFrame, metric: str, n: int, by: str = "cluster_accession") -> DataFrame:
+def sized_top(df: DataFrame, metric: str, n: int, by: str = "cluster_accession", held_rows: int = HELD_ROWS) -> DataFrame:
     """The n rows with the smallest metric of each group, nulls and NaN last, ties by usi; with Nreps, the group's full size. Rows without a group go.
 
     One pass: each task keeps n rows and a count of every group that it has
@@ -50,9 +50,9 @@ def sized_top(df: DataFrame, metric: str, n: int, by: str = "cluster_accession")
         for b in batches:
             if b.num_rows:
                 held.append(b.append_column("_rows", pa.array(np.ones(b.num_rows, np.int64))))
-            if sum(h.num_rows for h in held) >= HELD_ROWS or sum(h.nbytes for h in held) >= HELD_BYTES:
+            if sum(h.num_rows for h in held) >= held_rows or sum(h.nbytes for h in held) >= HELD_BYTES:
                 held = reduced(held).to_batches()
-                if sum(h.num_rows for h in held) >= HELD_ROWS // 2 or sum(h.nbytes for h in held) >= HELD_BYTES // 2:
+                if sum(h.num_rows for h in held) >= held_rows // 2 or sum(h.nbytes for h in held) >= HELD_BYTES // 2:
                     yield from held
                     held = []
         if held:

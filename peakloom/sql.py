@@ -11,12 +11,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .functions.similarity import SIMILARITIES, Spectra
+from .functions.similarity import SIMILARITIES, Spectra, pair_function
 from .operators.routing import KEPT
 from .schemas import REDUCED
 
@@ -32,26 +30,13 @@ EXPRESSIONS = {
 Reducer = Callable[[list[Row]], dict]
 
 
-def _similarity_function(measure: Callable, tolerance: float) -> Callable:
-    @F.arrow_udf(T.DoubleType())
-    def measured(a: pa.Array, x: pa.Array, b: pa.Array, y: pa.Array) -> pa.Array:
-        known = pc.and_(pc.and_(a.is_valid(), x.is_valid()), pc.and_(b.is_valid(), y.is_valid()))
-        a, x, b, y = (v.filter(known) for v in (a, x, b, y))
-        out = np.zeros(len(known))
-        n, here = len(a), known.to_numpy(zero_copy_only=False)
-        out[here] = measure(Spectra(pa.concat_arrays([a, b]), pa.concat_arrays([x, y])), np.arange(n), np.arange(n, 2 * n), tolerance)
-        return pa.array(out, mask=~here)
-
-    return measured
-
-
 def register_similarity(spark: SparkSession, name: str, measure: Callable, tolerance: float = 0.02) -> None:
     """A similarity by name: for strategies as `sim`, and in SQL as <name>_similarity(mz, intensity, other_mz, other_intensity), arrays of double.
 
     measure: (Spectra, left numbers, right numbers, tolerance) -> a number for each pair.
     """
     SIMILARITIES[name] = measure
-    spark.udf.register(f"{name}_similarity", _similarity_function(measure, tolerance))
+    spark.udf.register(f"{name}_similarity", pair_function(measure, tolerance))
 
 
 def register_reducer(spark: SparkSession, name: str, reduce: Reducer, kept: int = KEPT) -> None:

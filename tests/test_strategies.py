@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -12,8 +13,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from peakloom.functions.similarity import Spectra, dot_products, explained_share, similarity, similarity_sums
-from peakloom.operators.routing import cluster_counts, routed, singles, top_rows
+from peakloom.functions.similarity import RESIDUES, WATER, Spectra, _lowest_free, dot_products, explained_shares, fraction_by, similarity, similarity_sums
+from peakloom.operators.routing import cluster_counts, routed, singles, sized_top
 from peakloom.plans import AverageSpectrumStrategy, BestSpectrumStrategy, BinningStrategy, MostSimilarStrategy, strategy
 from peakloom.schemas import CONSENSUS
 
@@ -46,7 +47,22 @@ def test_routing_by_size(spark):
 
 def test_ties_nulls_and_nan_rank_last(spark):
     df = cluster(spark, row("a", "u3", q=0.5), row("a", "u2", q=0.5), row("a", "u1", q=None), row("a", "u0", q=float("nan")))
-    assert [r.usi for r in top_rows(df, "global_qvalue", 3).orderBy(F.col("global_qvalue"), "usi").collect()] == ["u2", "u3", "u0"]
+    assert [r.usi for r in sized_top(df, "global_qvalue", 3).orderBy(F.col("global_qvalue"), "usi").collect()] == ["u2", "u3", "u0"]
+
+
+@pytest.mark.parametrize("held", [1, 7, 1 << 15])
+def test_top_rows_and_sizes_in_one_pass(spark, tmp_path, held):
+    rng = np.random.default_rng(3)
+    rows = [row(f"c{min(rng.integers(0, 40), rng.integers(0, 40))}", f"u{i:04d}", q=[None, float("nan"), *rng.integers(0, 6, 6).astype(float).tolist()][rng.integers(0, 8)]) for i in range(900)]
+    spark.createDataFrame(rows, SCHEMA).repartition(5).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    place = lambda r: (r[7] is None, r[7] is not None and math.isnan(r[7]), 0.0 if r[7] is None or math.isnan(r[7]) else r[7], r[1])
+    groups = defaultdict(list)
+    for r in sorted(rows, key=place):
+        groups[r[0]].append(r[1])
+    found = sized_top(df, "global_qvalue", 4, held_rows=held)
+    assert sorted((r.cluster_accession, r.usi, r.Nreps) for r in found.collect()) == sorted((c, u, len(us)) for c, us in groups.items() for u in us[:4])
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1  # the rows are read once
 
 
 def test_rank_column_decides_order(spark):
@@ -197,12 +213,46 @@ def test_similarity_columns_take_nulls_unsorted_and_empty_lists(spark):
         df.select(similarity(F.col("a"), F.col("b"), F.col("a"), F.col("x"))).collect()
 
 
+def free_places(low, high):
+    """Each taker in turn goes through the places from its low on and takes the first that nobody has."""
+    taken, out = set(), []
+    for a, b in zip(low, high, strict=True):
+        out.append(next((x for x in range(a, b) if x not in taken), -1))
+        taken.add(out[-1])
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 5)), max_size=40))
+def test_places_are_taken_in_order(steps):
+    low = np.cumsum([a for a, _ in steps], dtype=np.int64)
+    high = np.maximum.accumulate(np.array([x + b for x, (_, b) in zip(low.tolist(), steps, strict=True)], np.int64)) if steps else low
+    assert _lowest_free(low, high).tolist() == free_places(low.tolist(), high.tolist())
+
+
+def test_matching_close_peaks_takes_time_in_proportion():
+    def seconds(n):
+        rng = np.random.default_rng(n)
+        mz = [np.sort(rng.random(n)) * n / 2000 + 100 for _ in range(2)]  # some 80 peaks within the tolerance of each
+        lists = [pa.array([m.tolist() for m in mz], pa.list_(pa.float64())), pa.array([[1.0] * n] * 2, pa.list_(pa.float64()))]
+        start = time.perf_counter()
+        dot_products(Spectra(*lists), np.array([0]), np.array([1]), 0.02)
+        return time.perf_counter() - start
+
+    assert min(seconds(80_000) for _ in range(3)) < 20 * min(seconds(10_000) for _ in range(3)) + 0.2
+
+
+def share(sequence, charge, precursor, mz, intensity):
+    kind = pa.list_(pa.float64())
+    return explained_shares(pa.array([sequence], pa.string()), np.array([charge]), np.array([precursor]), pa.array([mz], kind), pa.array([intensity], kind), 0.02)[0]
+
+
 def test_explained_share_of_a_dipeptide():
     b1, y1 = 57.02146 + 1.00727646677, 71.03711 + 18.01056 + 1.00727646677
-    assert explained_share("GA", 1, 147.08, [b1, y1, 120.0], [1.0, 2.0, 1.0], 0.02) == pytest.approx(0.75)
-    assert explained_share(None, 1, 147.08, [b1], [1.0], 0.02) == 0.0
-    assert explained_share("GA", 1, 147.08, None, None, 0.02) == 0.0
-    assert explained_share("GXA", 1, 147.08, [b1], [1.0], 0.02) is None  # X has no mass
+    assert share("GA", 1, 147.08, [b1, y1, 120.0], [1.0, 2.0, 1.0]) == pytest.approx(0.75)
+    assert share(None, 1, 147.08, [b1], [1.0]) == 0.0
+    assert share("GA", 1, 147.08, None, None) == 0.0
+    assert math.isnan(share("GXA", 1, 147.08, [b1], [1.0]))  # X has no mass
 
 
 def test_explained_share_of_higher_charges_and_without_the_precursor():
@@ -210,8 +260,37 @@ def test_explained_share_of_higher_charges_and_without_the_precursor():
     b2, precursor = 57.02146 + 71.03711, (mass + 3 * 1.00727646677) / 3
     mz = [b2 / 2 + 1.00727646677, b2 + 1.00727646677, mass / 2 + 1.00727646677, 500.0]
     # at charge 3 doubly charged ions count, and the precursor's peak at charge 2 is gone
-    assert explained_share("GAK", 3, precursor, mz, [1.0, 2.0, 50.0, 3.0], 0.02) == pytest.approx(0.5)
-    assert explained_share("GAK", 2, (mass + 2 * 1.00727646677) / 2, mz, [1.0, 2.0, 50.0, 3.0], 0.02) == pytest.approx(2 / 6)
+    assert share("GAK", 3, precursor, mz, [1.0, 2.0, 50.0, 3.0]) == pytest.approx(0.5)
+    assert share("GAK", 2, (mass + 2 * 1.00727646677) / 2, mz, [1.0, 2.0, 50.0, 3.0]) == pytest.approx(2 / 6)
+
+
+def explained_by_rule(sequence, charge, precursor, mz, intensity):
+    """One ladder step and one peak at a time."""
+    if not sequence or mz is None or intensity is None:
+        return 0.0
+    proton, ions, total, part = 1.00727646677, [], 0.0, 0.0
+    for cut in range(1, len(sequence)):
+        for mass in (sum(RESIDUES[r] for r in sequence[:cut]), sum(RESIDUES[r] for r in sequence[cut:]) + WATER):
+            ions += [mass / z + proton for z in range(1, max(2, charge))]
+    neutral = (precursor - proton) * charge
+    for m, i in zip(mz, intensity, strict=True):
+        if all(abs(m - (neutral / z + proton)) > 0.02 for z in range(1, charge + 1)):
+            total += i
+            part += i * any(abs(m - ion) <= 0.02 for ion in ions)
+    return part / total if total else 0.0
+
+
+def test_explained_shares_of_a_batch_against_the_rule(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(60):
+        sequence, charge = "".join(rng.choice(list("GASPVTLKR"), rng.integers(0, 12))), int(rng.integers(1, 5))
+        mz = None if k % 9 == 0 else sorted((rng.random(rng.integers(0, 60)) * 900 + 50).tolist() + [57.02146 + 1.00727646677])
+        rows.append((k, sequence or None, charge, 300.0 + k, mz, None if mz is None else (rng.integers(0, 9, len(mz)) * 1.0).tolist()))
+    rows += [(60, "GUA", 2, 300.0, [100.0], [1.0]), (61, "GA", None, 300.0, [100.0], [1.0]), (62, "GA", 2, 300.0, [], [])]
+    df = spark.createDataFrame(rows, "k int, s string, z int, p double, m array<double>, i array<double>").repartition(3)
+    found = {r.k: r.x for r in df.select("k", fraction_by(*(F.col(c) for c in "szpmi")).alias("x")).collect()}
+    assert found == {r[0]: None if r[0] in (60, 61) else pytest.approx(explained_by_rule(*r[1:])) for r in rows}
 
 
 def binned_by_rule(spectra, low=100.0, high=2000.0, width=0.02, quorum=0.25, threshold=0.5):
