@@ -28,6 +28,8 @@ MOST_LANGUAGES = 200
 RIDGE, SHARPNESS = 1e-3, 4.0
 #: Texts scored by one matrix product.
 BLOCK = 256
+#: Bytes of texts, or characters of a longer one, whose n-grams are hashed together.
+PART = 1 << 20
 UNDETERMINED = "und"
 
 
@@ -36,29 +38,35 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def _spectra(texts: pa.Array) -> Iterator[np.ndarray]:
-    """For each text the hashed numbers of its n-grams, repeats included; empty where it has no letter.
-
-    Letters count in lower case; each run of other characters is one space.
-    """
-    lower = [t or "" for t in pc.utf8_lower(texts.cast(pa.large_string())).to_pylist()]
-    ends = np.cumsum([len(t) + 2 for t in lower])
-    codes = np.frombuffer("".join(f" {t} " for t in lower).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-    letter = _letters()[codes]
-    codes[~letter] = 32
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    keep[np.concatenate([[0], ends[:-1]])] = True
-    kept = np.concatenate([[0], np.cumsum(keep)])
-    codes = codes[keep]
-    hashed = []
+def _hashed(codes: np.ndarray) -> list[np.ndarray]:
+    """The hashed numbers of all n-grams of some characters, for each n."""
+    out = []
     for n in ORDERS:
         h = np.full(max(0, len(codes) - n + 1), n, np.uint32)
         for j in range(n):
             h = (h ^ codes[j : len(codes) - n + 1 + j]) * np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
-        hashed.append((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS))
+        out.append((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS))
+    return out
+
+
+def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Characters, 32 for all that are no letters, and which are letters."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    letter = _letters()[codes]
+    codes[~letter] = 32
+    return codes, letter
+
+
+def _of_short(lower: list[str]) -> Iterator[np.ndarray]:
+    ends = np.cumsum([len(t) + 2 for t in lower])
+    codes, letter = _codes("".join(f" {t} " for t in lower))
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
     starts = np.concatenate([[0], ends[:-1]])
+    keep[starts] = True
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    hashed = _hashed(codes[keep])
     for a, b, s, e in zip(kept[starts], kept[ends], starts, ends, strict=True):
         if not letter[s:e].any():
             yield np.empty(0, np.uint32)
@@ -66,11 +74,47 @@ def _spectra(texts: pa.Array) -> Iterator[np.ndarray]:
             yield np.concatenate([h[a : max(a, b - n + 1)] for n, h in zip(ORDERS, hashed, strict=True)])
 
 
-def _presence(spectra: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(spectra), 1 << BITS), np.float32)
-    for row, ids in zip(out, spectra, strict=True):
-        row[ids] = 1
-    return out
+def _of_long(text: str) -> np.ndarray:
+    """The same for one long text, part by part, each with the last characters before it; each number once."""
+    found, carry, after_letter, any_letter = np.zeros(1 << BITS, bool), np.full(1, 32, np.uint32), False, False
+    for at in range(0, len(text) + 1, PART):
+        codes, letter = _codes(text[at : at + PART] + " " * (at + PART > len(text)))
+        keep = letter | np.concatenate([[after_letter], letter[:-1]])
+        kept = np.concatenate([carry, codes[keep]])
+        for h in _hashed(kept):
+            found[h] = True
+        carry, after_letter, any_letter = kept[-max(ORDERS) + 1 :], letter[-1], any_letter or letter.any()
+    return np.flatnonzero(found).astype(np.uint32) if any_letter else np.empty(0, np.uint32)
+
+
+def _spectra(texts: pa.Array) -> Iterator[np.ndarray]:
+    """For each text the hashed numbers of its n-grams, perhaps repeated; empty where it has no letter.
+
+    Letters count in lower case; each run of other characters is one space.
+    Texts are worked on in groups of PART bytes, longer ones in parts: some 50
+    bytes of memory a byte of PART, and 5 a byte of the longest text.
+    """
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    at = 0
+    while at < len(sizes):
+        to, total = at + 1, sizes[at]
+        while to < len(sizes) and total + sizes[to] <= PART:
+            total, to = total + sizes[to], to + 1
+        lower = [t or "" for t in pc.utf8_lower(texts.slice(at, to - at).cast(pa.large_string())).to_pylist()]
+        if total <= PART:
+            yield from _of_short(lower)
+        else:
+            yield _of_long(lower[0])
+        at = to
+
+
+def _presence(spectra: Iterator[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row of presence for each of n texts, and which have any n-gram; a text's numbers are dropped as soon as they are in."""
+    out, found = np.zeros((n, 1 << BITS), np.float32), np.zeros(n, bool)
+    for i, ids in enumerate(spectra):
+        out[i, ids] = 1
+        found[i] = len(ids) > 0
+    return out, found
 
 
 def held_out(id_col: str) -> F.Column:
@@ -95,7 +139,7 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = [np.packbits(_presence([ids])[0] > 0).tobytes() if len(ids) else None for ids in _spectra(b.column("text"))]
+            bits = [np.packbits(_presence(iter([ids]), 1)[0] > 0).tobytes() if len(ids) else None for ids in _spectra(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("rank"), pa.array(bits, pa.binary())], ["lang", "rank", "spectrum"])
 
     return ranked.select("lang", "rank", "text").mapInArrow(task, "lang string, rank int, spectrum binary").filter("spectrum is not null")
@@ -139,11 +183,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 b = whole.slice(at, BLOCK)
-                spectra = list(_spectra(b.column(2)))
-                found = np.array([len(ids) > 0 for ids in spectra], bool) & bool(langs)
-                pred, score = np.full(len(spectra), UNDETERMINED, object), np.zeros(len(spectra))
+                x, found = _presence(_spectra(b.column(2)), b.num_rows)
+                found &= bool(langs)
+                pred, score = np.full(b.num_rows, UNDETERMINED, object), np.zeros(b.num_rows)
                 if found.any():
-                    x = _presence([s for s, f in zip(spectra, found, strict=True) if f])
+                    x = x[found]
                     values = (x @ weights) / np.sqrt(x.sum(1, keepdims=True))
                     odds = np.exp(SHARPNESS * (values - values.max(1, keepdims=True)).astype(float))
                     pred[found] = np.array(langs, object)[values.argmax(1)]
