@@ -309,7 +309,9 @@ def _search_block(docs: DataFrame, id_col: str, text_col: str, ids: pa.Array, qu
 
     found = counted.filter(F.size("terms") > 0).select("doc_id", "terms", F.expr(impact).alias("impacts"))
     found = found.mapInArrow(lengths, f"doc_id {kinds['doc_id']}, terms array<int>, impacts array<long>, norm double").filter("norm > 0")
-    ordered = written(found.repartitionByRange(F.desc("norm")).sortWithinPartitions(F.desc("norm")), "search-vectors")
+    # copies are of one length: their ids deal them to several ranges
+    dealt = found.repartitionByRange(F.desc("norm"), F.xxhash64("doc_id")).sortWithinPartitions(F.desc("norm"))
+    ordered = written(dealt, "search-vectors")
     removed(counted)
     cut = ordered.agg(F.percentile_approx("norm", 1 - HEAD)).first()[0]
     if cut is None:
