@@ -43,9 +43,13 @@ e as (select *, case when source_size > 0 then budget // source_size else 0 end
 select doc_id, size, source_size, target, cast(epochs * size + greatest(0, least(size, budget - epochs * source_size - start)) as bigint) as taken from e
 """
 
-_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licences.TEMPLATES))
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TEMPLATES = ", ".join(f"({i}, {_quoted(t.name)}, {_quoted(t.family)}, {_quoted(t.text)}, [{', '.join(map(_quoted, t.telling))}]::varchar[], {_quoted(licences.FAMILY.get(t.family, ''))})" for i, t in enumerate(licences.TEMPLATES))
 LICENCES = rf"""
-with tpl as (select * from (values {_TEMPLATES}) as v(t, name, text)),
+with tpl as (select * from (values {_TEMPLATES}) as v(t, name, family, text, telling, evidence)),
 lower_of as (select t, name, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from tpl),
 tw as (select t, name, unnest(regexp_extract_all(text, '[a-z0-9]+')) as word from lower_of),
 ttf as (select t, name, word, count(*) as n from tw group by all),
@@ -56,18 +60,29 @@ total as (select count(*) as n from documents),
 df as (select word, count(distinct doc_id) as df from pos where word in (select word from ttf) group by 1),
 idf as (select word, ln((1 + total.n) / cast(1 + coalesce(df, 0) as double)) + 1 as idf from (select distinct word from ttf) left join df using (word), total),
 tnorm as (select t, sqrt(sum((n * idf) ** 2)) as norm from ttf join idf using (word) group by 1),
-weight as (select t, word, n * idf * idf / norm as w from ttf join idf using (word) join tnorm using (t)),
+weight as (select t, word, n * idf * idf / norm as w, (n * idf / norm) ** 2 as share from ttf join idf using (word) join tnorm using (t)),
+held as (select distinct doc_id, word from pos where word in (select word from ttf)),
+looked as (select doc_id, t from held join weight using (word) group by 1, 2 having sum(share) >= 0.63),
 valued as (select pos.*, size_of.t, m, coalesce(idf, ln(cast(1 + total.n as double)) + 1) as idf, coalesce(w, 0) as w
-  from pos cross join size_of cross join total left join idf using (word) left join weight on weight.t = size_of.t and weight.word = pos.word),
+  from pos join looked using (doc_id) join size_of using (t) cross join total left join idf using (word) left join weight on weight.t = size_of.t and weight.word = pos.word),
 running as (select *, sum(w) over r as upto_w, sum(idf * idf) over r as upto_i from valued window r as (partition by doc_id, t order by p rows unbounded preceding)),
 ended as (select a.doc_id, a.t, a.p, least(a.m, a.len) as m, b.upto_w - a.upto_w + a.w as dot, b.upto_i - a.upto_i + a.idf * a.idf as squares
   from running a join running b on b.doc_id = a.doc_id and b.t = a.t and b.p = a.p + least(a.m, a.len) - 1),
 near as (select * from ended where dot >= (cast(0.8 as double) - cast(0.000001 as double)) * sqrt(greatest(squares, 0))),
-wtf as (select n.doc_id, n.t, n.p, v.word, any_value(idf) as idf, any_value(w) as w, count(*) as n
+wtf as (select n.doc_id, n.t, n.p, any_value(n.m) as m, v.word, any_value(idf) as idf, any_value(w) as w, count(*) as n
   from near n join valued v on v.doc_id = n.doc_id and v.t = n.t and v.p between n.p and n.p + n.m - 1 group by all),
-windows as (select doc_id, t, p, sum(n * w) / sqrt(sum((n * idf) ** 2)) as c from wtf group by all),
-cosines as (select doc_id, name, round(c, 9) as c from windows join tpl using (t)),
-own as (select doc_id, name as own_licence, c from (select *, row_number() over (partition by doc_id order by c desc, name) as r from cosines where c >= 0.8 - 1e-9) where r = 1),
+windows as (select doc_id, t, p, any_value(m) as m, sum(n * w) / sqrt(sum((n * idf) ** 2)) as c from wtf group by all),
+seen as (select w.doc_id, t, p, p + windows_m as stop, round(c, 9) as c, c as exact, name, family, telling, evidence, size_of.m as size,
+    array_to_string(list_concat(case when p = 0 then ['^', '^'] when p = 1 then ['^', ws[1]] else ws[p - 1 : p] end, ['|'], ws[p + 1 : p + windows_m]), ' ') as words
+  from (select *, m as windows_m from windows) w join tpl using (t) join size_of using (t) join listed on listed.doc_id = w.doc_id where c >= 0.8 - 1e-9),
+ranked as (select *, row_number() over (partition by doc_id order by c desc, name, p, t) as r, coalesce(list_bool_and(list_transform(telling, lambda x: regexp_matches(words, x))), true) as told,
+  regexp_matches(words, '{licences.NEGATED}') as negated from seen),
+shown as (select * from ranked where size >= {licences.TITLE} or told),
+counting as (select * from shown a where not negated and regexp_matches(words, evidence)
+  and not exists (select 1 from shown b where b.doc_id = a.doc_id and b.negated and b.r < a.r and a.p < b.stop and b.p < a.stop)),
+firsts as (select * from (select *, row_number() over (partition by doc_id order by r) as k from counting) where k = 1),
+named as (select f.doc_id, min_by(x.name, x.r) as name, min_by(x.c, x.r) as c from firsts f join ranked x on x.doc_id = f.doc_id and x.family = f.family and x.told and x.p < f.stop and f.p < x.stop group by 1),
+own as (select f.doc_id, coalesce(n.name, f.family) as own_licence, coalesce(n.c, f.c) as c from firsts f left join named n using (doc_id)),
 files as (select doc_id, concat_ws('/', source, doc_id // 512, case when doc_id % 64 <> 0 then doc_id // 64 end, case when doc_id % 8 = 0 then 'LICENSE' else concat('doc', doc_id, '.txt') end) as path,
   concat_ws('/', source, doc_id // 512, case when doc_id % 64 <> 0 then doc_id // 64 end) as dir, concat_ws('/', source, doc_id // 512) as parent, doc_id % 8 = 0 as licence_file from documents),
 known as (select f.*, own_licence, c from files f left join own using (doc_id)),
