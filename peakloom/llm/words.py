@@ -10,7 +10,7 @@ import pyarrow as pa
 from .shingles import utf8
 
 #: Bytes of text looked at together; a longer text is cut between words.
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 20
 
 #: Says of each byte of some UTF-8 whether it belongs to a word, from it and the byte before.
 Inside = Callable[[np.ndarray], np.ndarray]
