@@ -236,7 +236,7 @@ def _top(rows: DataFrame, best: int) -> DataFrame:
 
 
 def _blocks(terms: DataFrame, most: int) -> Iterator[tuple[list, np.ndarray, pa.Array]]:
-    """(ids, query of each entry, terms of the entries) of the queries in blocks of at most `most` terms; a block is what is collected and broadcast."""
+    """(ids, query of each entry, terms of the entries) of the queries in blocks of `most` terms and one query more at most; a block is what is collected and broadcast."""
     sizes = terms.groupBy("item_id").agg(F.count(F.lit(1)).alias("terms"))
     order = F.struct(F.xxhash64("item_id").alias("hash"), "item_id")
     longest = sizes.agg(F.max("terms")).first()[0] or 0

@@ -29,7 +29,7 @@ def pieces(column: pa.Array, inside: Inside) -> Iterator[tuple[np.ndarray, np.nd
             while low < end:
                 high = min(end, low + PIECE_BYTES)
                 # a word's byte tells by itself and the one before it
-                while high < end and not (gap := ~inside(data[high - 2 : high + PIECE_BYTES])[1:])[0]:
+                while high < end and not (gap := ~inside(data[high - 2 : min(end, high + PIECE_BYTES)])[1:])[0]:
                     high = high + int(gap.argmax()) if gap.any() else min(end, high + PIECE_BYTES)
                 yield np.array([at]), np.array([0, high - low]), data[low:high]
                 low = high

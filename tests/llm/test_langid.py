@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +90,28 @@ def test_too_many_languages(docs_of, monkeypatch):
 def test_nothing_to_learn_from(none, docs_of):
     assert identify(none).count() == 0
     assert [r.lang_pred for r in identify(docs_of([(1, "text", None, "s")])).collect()] == [UNDETERMINED]
+
+
+def test_long_texts_in_parts_have_the_same_n_grams(monkeypatch):
+    rng = random.Random(3)
+    for _ in range(100):
+        text = pa.array(["".join(rng.choices("ab  é.1ß東", k=rng.randint(0, 400)))])
+        whole = np.unique(next(langid._spectra(text)))
+        with monkeypatch.context() as m:
+            m.setattr(langid, "PART", rng.randint(1, 50))
+            assert np.array_equal(np.unique(next(langid._spectra(text))), whole)
+
+
+def test_a_block_of_long_texts_takes_bounded_memory():
+    """64 texts of 1 MB in a process of its own; all their n-grams at once took 2.5 GB."""
+    code = """
+import resource, pyarrow as pa
+from peakloom.llm import langid
+texts = pa.array([("lorem ipsum dolor " * 60_000)[: 1 << 20]] * 64)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+x, found = langid._presence(langid._spectra(texts), 64)
+assert found.all()
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    grown = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(langid.__file__).parents[2])
+    assert int(grown.stdout) < 400_000  # KB
