@@ -19,6 +19,8 @@ from .common import if_small, written
 WORDS, SIMILAR = 5, 0.8
 #: Bits of a fingerprint and of each of its blocks; fingerprints up to RADIUS apart are compared. One of the four blocks is then within RADIUS // 4.
 BITS, BLOCK, RADIUS = 64, 16, 15
+#: Words in a segment of a text, or as many as the longest item has.
+SEGMENT = 4096
 #: Words are runs of letters and digits, in lower case.
 BETWEEN = r"[^\p{L}\p{N}]+"
 
@@ -36,14 +38,24 @@ def shingles(words: Column, width: int) -> Column:
 
 
 def simhash(items: Column) -> Column:
-    """64-bit fingerprint of an array of strings: each repeat weighs once more; bit b is set if most hashes have it."""
-    hashes = F.transform(items, lambda s: F.xxhash64(s))
+    """64-bit fingerprint of an array of strings: each repeat weighs once more; bit b is set if most hashes have it.
 
-    def bit(b: Column) -> Column:
-        ones = F.aggregate(hashes, F.lit(0), lambda n, h: n + F.getbit(h, b).cast("int"))
-        return F.when(ones * 2 > F.size(items), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+    One pass over the hashes: number j of 32 counts bit j in its low half and bit j + 32 in its high half.
+    """
+    lanes = range(BITS // 2)
+    ones = F.lit((1 << 32) + 1)
+    zero = F.struct(*(F.lit(0).cast("long").alias(f"c{j}") for j in lanes))
+    add = lambda n, h: F.struct(*((n[f"c{j}"] + F.shiftrightunsigned(h, j).bitwiseAND(ones)).alias(f"c{j}") for j in lanes))
+
+    def most(n: Column) -> Column:
+        def bit(count: Column, b: int) -> Column:
+            return F.when(count * 2 > F.size(items), F.lit((1 << b) - ((1 << 64) if b == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long"))
+
+        low = (bit(n[f"c{j}"].bitwiseAND(F.lit((1 << 32) - 1)), j) for j in lanes)
+        high = (bit(F.shiftrightunsigned(n[f"c{j}"], 32), j + 32) for j in lanes)
+        return reduce(lambda x, y: x.bitwiseOR(y), [*low, *high])
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(bit(b)))
+    return F.aggregate(F.transform(items, lambda s: F.xxhash64(s)), zero, add, most)
 
 
 def blocks(fingerprint: Column, reach: int) -> Column:
@@ -115,6 +127,28 @@ def _starts(positions: Column, total: Column, n_words: Column, width: Column, si
     return F.when(runs >= 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(runs, F.lit(0))), after))).otherwise(F.array().cast("array<int>"))
 
 
+def _window_words(windows: DataFrame, texts: DataFrame, longest: int) -> DataFrame:
+    """(text_a, text_b, n_words, width, at: (start, words)) of the windows of texts, of equal ones in a text the first.
+
+    Windows are first told apart by 96 bits of their words; those left are cut
+    out of segments of their texts, so a long text is many rows' work and no row
+    holds more than a segment's windows.
+    """
+    text, size = ["text_a", "text_b"], max(SEGMENT, longest)
+    hashed = windows.join(texts.select(*text, F.transform("words", lambda w: F.xxhash64(w)).alias("h")), text)
+
+    def told(s: Column) -> Column:
+        words = F.slice("h", s + 1, F.col("n_words"))
+        return F.struct(s.alias("start"), F.xxhash64(words).alias("a"), F.hash(words).alias("b"))
+
+    each = hashed.select(*text, "n_words", "width", F.explode(F.transform("starts", told)).alias("w")).groupBy(*text, "n_words", "width", "w.a", "w.b").agg(F.min("w.start").alias("start"))
+    each = each.groupBy(*text, "n_words", "width", F.floor(F.col("start") / size).cast("int").alias("segment")).agg(F.collect_list("start").alias("starts"))
+    segment = lambda k: F.struct(k.alias("segment"), F.slice("words", k * size + 1, F.lit(size + longest)).alias("words"))
+    segments = texts.select(*text, F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("words") / size).cast("int")), segment)).alias("s")).select(*text, "s.*")
+    cut = F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("words", s - F.col("segment") * size + 1, F.col("n_words")).alias("words")))
+    return each.join(segments, [*text, "segment"]).select(*text, "n_words", "width", F.explode(cut).alias("at"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
     """(text_a, text_b, item_id, start, n_words, similarity): each distinct text's best window for each item that it leaks.
 
@@ -141,9 +175,8 @@ def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col
     texts = docs.select(*_key(F.col(text_col)), F.col(text_col).alias("text")).join(
         if_small(written(windows.select("text_a", "text_b").distinct(), "leak-texts")), ["text_a", "text_b"], "left_semi"
     )
-    texts = texts.groupBy("text_a", "text_b").agg(F.first("text").alias("text")).select("text_a", "text_b", words_of(F.col("text")).alias("words"))
-    cut = F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("words", s + 1, F.col("n_words")).alias("words")))
-    slices = windows.join(texts, ["text_a", "text_b"]).select("text_a", "text_b", "n_words", "width", F.explode(cut).alias("at"))
+    texts = written(texts.groupBy("text_a", "text_b").agg(F.first("text").alias("text")), "leak-texts").select("text_a", "text_b", words_of(F.col("text")).alias("words"))
+    slices = _window_words(windows, texts, known.agg(F.max("n_words")).first()[0] or 1)
     by_width = reduce(lambda c, w: c.when(F.col("width") == w, shingles(F.col("at.words"), w)), widths, F)
     prints = slices.select("text_a", "text_b", "n_words", "at.start", by_width.alias("shingles"))
     prints = written(prints.withColumn("print", simhash(F.col("shingles"))), "leak-prints")
@@ -156,7 +189,7 @@ def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col
     close = written(close.select("text_a", "text_b", "n_words", "start", "item_id").distinct(), "leak-close")
     verified = (
         prints.join(close, ["text_a", "text_b", "n_words", "start"])
-        .join(if_small(known.select("item_id", "item_shingles")), "item_id")
+        .join(if_small(known.select("item_id", "item_shingles"), items="item_shingles"), "item_id")
         .withColumn("similarity", weighted_jaccard(F.col("shingles"), F.col("item_shingles")))
         .filter(F.col("similarity") >= similar)
     )
