@@ -74,4 +74,5 @@ def msp(spark: SparkSession, path_parquet: str, path_sdrf: str, path_cluster_tsv
     path = F.lit(name) if files == 1 else F.concat(F.lit(f"{name.removesuffix('.msp')}_"), part, F.lit(".msp"))
     blocks = msp_blocks(consensus.unionByName(single), strategy_type).withColumn("file_path", path)
     write_blocks(blocks, folder or ".", "msp", mode, ("is_singleton", "cluster_accession", "usi"))
+    removed(single)  # the routed rows, which both were read from
     removed(clusters)

@@ -30,7 +30,9 @@ class Strategy:
     def consensus_spectrum_aggregation(self, clusters: DataFrame, filter_metrics: str = "global_qvalue") -> tuple[DataFrame, DataFrame]:
         """(consensus spectra, spectra alone in their cluster), both in one schema.
 
-        Rows are routed once, into a table with at most `kept` rows a cluster, from which both are read.
+        Rows are routed once, when this is called, into a table in the shared
+        folder with at most `kept` rows a cluster, from which both are read.
+        session.removed() of either deletes it, when both have been used.
         """
         rows = written(routed(clusters, filter_metrics, self.kept), "routed")
         return as_consensus(self.consensus(rows.filter("Nreps > 1")), False), as_consensus(singles(rows), True)
