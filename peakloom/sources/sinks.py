@@ -10,6 +10,8 @@ done: in mode overwrite it is completed, in mode append undone.
 from __future__ import annotations
 
 import json
+import os
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -207,6 +209,8 @@ def write_blocks(blocks: DataFrame, path: str, kind: str, mode: str = "append",
     from pyarrow import fs
 
     register(blocks.sparkSession)
+    if not re.match("[a-z0-9]+:|/", path):
+        path = os.path.abspath(path)  # tasks may work in other folders
     settled(path)
     store, root = _store(path.rstrip("/"))
     if mode == "append" and store.get_file_info(fs.FileSelector(root, allow_not_found=True)):

@@ -177,6 +177,12 @@ def test_a_commit_that_stops_half_way_is_settled_by_the_next_write(spark, tmp_pa
     assert _files(tmp_path) == {n: "again\n" for n in names}
 
 
+def test_a_path_may_be_relative(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    write_blocks(spark.createDataFrame([("a.msp", 0, "x")], "file_path string, ordinal long, block string"), ".", "msp")
+    assert _files(tmp_path) == {"a.msp": "x\n"}
+
+
 def test_a_commit_that_fails_leaves_nothing_in_append(spark, tmp_path, monkeypatch):
     writer = sinks.BlockWriter(str(tmp_path), False)
     messages, move = _written(writer, ["a.mgf", "b.mgf"], "new"), sinks.Commit._move
