@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .functions.similarity import SIMILARITIES, Spectra, pair_function
 from .operators.routing import KEPT
 from .schemas import REDUCED
+from .session import ship_package
 
 #: Functions that SQL itself can express: (parameters, result, expression).
 EXPRESSIONS = {
@@ -35,6 +36,7 @@ def register_similarity(spark: SparkSession, name: str, measure: Callable, toler
 
     measure: (Spectra, left numbers, right numbers, tolerance) -> a number for each pair.
     """
+    ship_package(spark)
     SIMILARITIES[name] = measure
     spark.udf.register(f"{name}_similarity", pair_function(measure, tolerance))
 
@@ -63,6 +65,7 @@ def register_reducer(spark: SparkSession, name: str, reduce: Reducer, kept: int
                 found = {"cluster_accession": str(self.rows[0]["cluster_accession"]), "Nreps": self.came} | reduce(self.rows)
                 yield tuple(found.get(c) for c in REDUCED.names)
 
+    ship_package(spark)
     spark.udtf.register(name, F.udtf(Reduced, returnType=REDUCED))
 
 
