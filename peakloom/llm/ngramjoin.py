@@ -31,8 +31,8 @@ from .shingles import mix, shingle_sets
 
 #: Words in a shingle; the similarity in hundredths.
 WORDS, SIMILAR = 4, 85
-#: Coordinates of a document's point, a power of two, and of its coarse point, each the sum of some of the others.
-GROUPS, COARSE = 256, 64
+#: Coordinates of a document's point, a power of two.
+GROUPS = 256
 #: Sizes are cut into classes, each reaching to GROWTH times the last one's end.
 GROWTH = 1.4
 #: Hashings tried until few parts are empty.
@@ -49,8 +49,8 @@ HEADS = 4
 KEY_BYTES, BUCKET_KEYS = 6, 1 << 21
 #: Bits of the filter of shared keys for each of them, and of the whole filter at most; a fuller one lets more rows through.
 FILTER_SHARE, FILTER_MOST = 12, 28
-#: Points (some 300 bytes each) and coarse points (some 80) that are broadcast together.
-POINT_ROWS, COARSE_ROWS = 100_000, 400_000
+#: Points (some 200 bytes each, with what goes along) that are broadcast together.
+POINT_ROWS = 150_000
 #: Comparisons with one document that a task makes.
 STAR_ROWS = 256
 
@@ -117,22 +117,27 @@ def point(hashes: np.ndarray) -> np.ndarray:
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """A byte a coordinate where that is enough, else four."""
-    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+    """Half a byte a coordinate where that is enough, else one, else four."""
+    most = counts.max()
+    if most < 16:
+        return (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+    return counts.astype(np.uint8 if most < 256 else np.uint32).tobytes()
 
 
-def unpacked(column: pa.Array, groups: int = GROUPS) -> np.ndarray:
+def unpacked(column: pa.Array) -> np.ndarray:
     """Points as rows of numbers."""
     column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data, np.uint8)
-    wide = np.diff(offsets) > groups
-    if not wide.any():
-        return data[offsets[0] : offsets[-1]].reshape(-1, groups).astype(np.int16)
-    out = np.zeros((len(column), groups), np.int32)
-    for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-        out[i] = data[a:b].view(np.uint32) if wide[i] else data[a:b]
+    width = np.diff(offsets)
+    out = np.zeros((len(column), GROUPS), np.int32 if (width > GROUPS).any() else np.int16)
+    half, whole = np.flatnonzero(width == GROUPS // 2), np.flatnonzero(width == GROUPS)
+    two = data[offsets[half][:, None] + np.arange(GROUPS // 2)]
+    out[half[:, None], np.arange(0, GROUPS, 2)], out[half[:, None], np.arange(1, GROUPS, 2)] = two & 15, two >> 4
+    out[whole] = data[offsets[whole][:, None] + np.arange(GROUPS)]
+    for i in np.flatnonzero(width > GROUPS).tolist():
+        out[i] = data[offsets[i] : offsets[i + 1]].view(np.uint32)
     return out
 
 
@@ -191,31 +196,29 @@ class Forest:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
-    """(doc_id, text_a, n_shingles, set_id, point, coarse, keys): what the index needs of every document, without its shingles.
+    """(doc_id, text_a, n_shingles, set_id, point, keys): what the index needs of every document, without its shingles.
 
     set_id has the sums of two hashes over the set, so it stands for the set; text_a is a hash of the text; keys are KEY_BYTES each.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, high, low, points, coarse, keys = [], [], [], [], [], []
+            sizes, high, low, points, keys = [], [], [], [], []
             for h in shingle_sets(b.column(2), words):
                 sizes.append(len(h))
                 high.append(mix(h * _SEED[1]).sum(dtype=np.uint64))
                 low.append(mix(h * _SEED[2]).sum(dtype=np.uint64))
-                counts = point(h)
-                points.append(packed(counts))
-                coarse.append(packed(counts.reshape(COARSE, -1).sum(1)))
+                points.append(packed(point(h)))
                 keys.append(block_keys(h, similar).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(sizes, pa.int64()), _sets(_signed(np.array(high, np.uint64)), _signed(np.array(low, np.uint64))),
-                 pa.array(points, pa.binary()), pa.array(coarse, pa.binary()), pa.array(keys, pa.binary())],
-                ["doc_id", "text_a", "n_shingles", "set_id", "point", "coarse", "keys"],
+                 pa.array(points, pa.binary()), pa.array(keys, pa.binary())],
+                ["doc_id", "text_a", "n_shingles", "set_id", "point", "keys"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_a"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(task, f"doc_id {kind}, text_a long, n_shingles long, set_id {_SET}, point binary, coarse binary, keys binary")
+    return rows.mapInArrow(task, f"doc_id {kind}, text_a long, n_shingles long, set_id {_SET}, point binary, keys binary")
 
 
 def text_hash(text: Column) -> Column:
@@ -427,8 +430,11 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str,
     return sent.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, f"a {_SET}, b {_SET}").distinct()
 
 
-def _tree_pairs(rows: DataFrame, part: list[str], found, schema: str, similar: int, groups: int = GROUPS) -> DataFrame:
-    """What `found` makes of the self-join of each part's tree. Rows are (*part, set_id, label, n_shingles, point, centre), points of so many coordinates."""
+def _tree_pairs(rows: DataFrame, part: list[str], found, schema: str, similar: int) -> DataFrame:
+    """What `found` makes of the self-join of each part's tree: of (first columns of part, set ids, sizes, i, j, bounds, extra).
+
+    Rows are (*part, set_id, label, n_shingles, point, extra).
+    """
     width = len(part)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,13 +444,14 @@ def _tree_pairs(rows: DataFrame, part: list[str], found, schema: str, similar: i
             if not len(several):
                 return
             number = number[several]
-            ids, labels, sizes, points, centre = (t.column(width + k).combine_chunks().take(pa.array(several)) for k in range(5))
+            keys = t.column(0).to_numpy()[several]
+            ids, labels, sizes, points, extra = (t.column(width + k).combine_chunks().take(pa.array(several)) for k in range(5))
             ids = _halves(ids)
             labels = np.unique(np.ascontiguousarray(_halves(labels)).view("V16").ravel(), return_inverse=True)[1]
-            sizes, centre = sizes.to_numpy(zero_copy_only=False), centre.to_numpy(zero_copy_only=False)
-            i, j, bound = Forest(number, unpacked(points, groups), sizes, labels).joined(similar)
+            sizes = sizes.to_numpy(zero_copy_only=False)
+            i, j, bound = Forest(number, unpacked(points), sizes, labels).joined(similar)
             if len(i):
-                yield found(ids, sizes, i, j, bound, centre)
+                yield found(keys, ids, sizes, i, j, bound, extra)
 
         def _changes(t: pa.Table) -> np.ndarray:
             """Where a part begins."""
@@ -467,7 +474,7 @@ def _tree_pairs(rows: DataFrame, part: list[str], found, schema: str, similar: i
             yield from searched(held)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = [*part, "set_id", "label", "n_shingles", "point", "centre"]
+    columns = [*part, "set_id", "label", "n_shingles", "point", "extra"]
     return rows.select(*columns).repartition(parts, *part).sortWithinPartitions(*part).mapInArrow(task, schema)
 
 
@@ -483,11 +490,12 @@ def nearest_partners(inside: DataFrame, points: DataFrame, similar: int) -> Data
     centres = heads.groupBy("key").agg(F.max_by("set_id", F.struct("score", "set_id")).alias("middle"), F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("tiles"))
     centres = written(centres, "join-centres")
     members = heads.join(if_small(centres), "key").filter(F.col("set_id") != F.col("middle"))
-    members = members.select("key", F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int").alias("tile"), "set_id", F.lit(False).alias("centre"))
-    middles = centres.select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("middle").alias("set_id"), F.lit(True).alias("centre"))
+    members = members.select("key", F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int").alias("tile"), "set_id", F.lit(False).alias("extra"))
+    middles = centres.select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("middle").alias("set_id"), F.lit(True).alias("extra"))
     rows = members.unionByName(middles).join(if_small(points, POINT_ROWS), "set_id").withColumn("label", F.col("set_id"))
 
-    def found(ids: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, bound: np.ndarray, centre: np.ndarray) -> pa.RecordBatch:
+    def found(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, bound: np.ndarray, extra: pa.Array) -> pa.RecordBatch:
+        centre = extra.to_numpy(zero_copy_only=False)
         of, to = np.concatenate([i, j]), np.concatenate([j, i])
         like = np.tile(bound / (sizes[i] + sizes[j] - bound), 2)
         middle = centre[to]
@@ -504,39 +512,33 @@ def nearest_partners(inside: DataFrame, points: DataFrame, similar: int) -> Data
 
 
 def unlike_pairs(rows: DataFrame, similar: int) -> DataFrame:
-    """Pairs (a, b) of unlike components that the trees leave, from rows (key, set_id, label, n_shingles, coarse, tiles)."""
+    """Pairs (a, b) of unlike components that the trees leave, from rows (key, set_id, label, n_shingles, point, heads, tiles).
+
+    heads are the first keys of a set among all rows. Two sets that have some of
+    those in common are a pair only in the part of the first of them.
+    """
     tile = F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int")
     both = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, tile).alias("low"), F.greatest(t, tile).alias("high")))
-    dealt = rows.select("key", F.explode(both).alias("t"), "set_id", "label", "n_shingles", F.col("coarse").alias("point"), F.lit(False).alias("centre")).select("key", "t.low", "t.high", "*").drop("t")
-
-    def found(ids: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, bound: np.ndarray, centre: np.ndarray) -> pa.RecordBatch:
+    dealt = rows.select("key", F.explode(both).alias("t"), "set_id", "label", "n_shingles", "point", F.col("heads").alias("extra")).select("key", "t.low", "t.high", "*").drop("t")
+
+    def found(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, bound: np.ndarray, extra: pa.Array) -> pa.RecordBatch:
+        heads = extra.flatten().to_numpy().reshape(-1, HEADS)
+        keep = []
+        for at in range(0, len(i), PAIRS):
+            a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+            common = (heads[a][:, :, None] == heads[b][:, None, :]) & (heads[a] < keys[a][:, None])[:, :, None]
+            keep.append(~common.any((1, 2)))
+        keep = np.concatenate(keep)
+        i, j = i[keep], j[keep]
         number = np.unique(np.ascontiguousarray(ids).view("V16").ravel(), return_inverse=True)[1]
         once = np.unique(np.minimum(number[i], number[j]) * len(ids) + np.maximum(number[i], number[j]), return_index=True)[1]
         i, j = i[once], j[once]
         return pa.RecordBatch.from_arrays([_sets(*ids[i].T), _sets(*ids[j].T)], ["a", "b"])
 
-    pairs = _tree_pairs(dealt, ["key", "low", "high"], found, f"a {_SET}, b {_SET}", similar, COARSE)
+    pairs = _tree_pairs(dealt, ["key", "low", "high"], found, f"a {_SET}, b {_SET}", similar)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def bounded_pairs(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """Of written pairs (a, b), found by coarse points, those that the whole points leave."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "join-mixed-sets")
-    points = sets.join(if_small(wanted), "set_id", "left_semi").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point"))
-    points = written(points, "join-points")
-    rows = pairs
-    for side in ("a", "b"):
-        rows = rows.join(if_small(points.select(F.col("set_id").alias(side), F.col("n_shingles").alias(f"size_{side}"), F.col("point").alias(f"point_{side}")), POINT_ROWS), side)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bound = np.minimum(unpacked(b.column(2)), unpacked(b.column(3))).sum(1, dtype=np.int64)
-            sizes = b.column(4).to_numpy() + b.column(5).to_numpy()
-            yield b.select(["a", "b"]).filter(pa.array(bound >= least_common(sizes, similar)))
-
-    return rows.select("a", "b", "point_a", "point_b", "size_a", "size_b").mapInArrow(task, f"a {_SET}, b {_SET}")
-
-
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """(doc_id, text_a, n_shingles, comp) of every row: a set id for its component of links, null for texts without words; text_a is a hash of the text.
 
@@ -578,12 +580,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     unlike = written(unlike.filter("low < high").select("key", F.ceil(F.col("n") / F.lit(TILE)).cast("int").alias("tiles")), "join-unlike")
     mixed = written(placed.join(if_small(unlike), "key"), "join-mixed")
     removed(placed)
-    wanted = if_small(written(mixed.select("set_id").distinct(), "join-mixed-sets"))
-    coarse = sets.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("coarse").alias("coarse"))
-    coarse = written(coarse, "join-points")
-    near = written(unlike_pairs(mixed.join(if_small(coarse, COARSE_ROWS), "set_id"), similar), "join-near")
+    first_keys = F.slice(F.concat(F.array_sort(F.collect_list("key")), F.array_repeat(F.lit((1 << 63) - 1), HEADS)), 1, HEADS)
+    heads = written(mixed.groupBy("set_id").agg(first_keys.alias("heads")), "join-mixed-sets")
+    points = sets.join(if_small(heads), "set_id").groupBy("set_id").agg(*(F.first(c).alias(c) for c in ("n_shingles", "point", "heads")))
+    points = written(points, "join-points")
+    pairs = written(unlike_pairs(mixed.join(if_small(points, POINT_ROWS), "set_id"), similar), "join-pairs")
     removed(mixed)
-    pairs = written(bounded_pairs(near, sets, similar), "join-pairs")
     more = written(verified(docs, pairs, classes, id_col, text_col, words, similar), "join-links")
     comps = written(components(edges.unionByName(more)), "join-comps")
     return sets.select("doc_id", "text_a", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id")).join(
