@@ -9,6 +9,7 @@ import pytest
 
 from peakloom.llm import shingles as shingles_of
 from peakloom.llm.components import components
+from peakloom.llm import ngramjoin
 from peakloom.llm.ngramjoin import GROUPS, Forest, block_keys, jaccard_components, least_common, point
 
 from .conftest import ODD, prose
@@ -124,3 +125,11 @@ def test_components(spark, edges):
         x, y = sorted((top(a), top(b)))
         parent[y] = x
     assert {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == {n: top(n) for n in parent}
+
+
+def test_points_of_all_widths_come_back():
+    rng = np.random.default_rng(2)
+    rows = [rng.integers(0, most, ngramjoin.GROUPS) for most in (2, 16, 17, 256, 257, 100_000, 1)]
+    for some in (rows, rows[:2], rows[2:4], rows[:1]):
+        assert np.array_equal(ngramjoin.unpacked(pa.array([ngramjoin.packed(r) for r in some], pa.binary())), np.stack(some))
+    assert [len(ngramjoin.packed(r)) for r in rows] == [128, 128, 256, 256, 1024, 1024, 128]
