@@ -374,9 +374,10 @@ def _members(sets: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """Of distinct pairs (a, b) of set ids, those whose sets link, compared exactly.
 
-    Only texts in some pair are shingled again. Sets travel to their partner a,
-    whose own set is repeated for every STAR_ROWS partners, so a set in very
-    many pairs is spread over tasks.
+    Only texts in some pair are shingled again. Texts, which are shorter than
+    their shingles' hashes, travel to their partner a, whose own text is
+    repeated for every STAR_ROWS partners, so a set in very many pairs is spread
+    over tasks.
     """
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(STAR_ROWS)).cast("int").alias("salts"))
     roles = (
@@ -389,32 +390,11 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str,
     wanted = written(roles.join(classes, "set_id").select("set_id", "first", "to"), "join-wanted")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_a"), F.col(text_col).alias("text"))
     rows = rows.join(if_small(wanted, items="to"), F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_a") == F.col("first.text_a")))
-    names, kinds = ["a", "salt", "role", "set_id", "hashes"], [None, pa.int32(), pa.int32(), None, pa.binary()]
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([_sets(*np.array(c, np.int64).T) if k is None else pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-        for b in batches:
-            out: list[tuple] = []
-            size = 0
-            for h, set_id, to in zip(shingle_sets(b.column(0), words), _halves(b.column(1)).tolist(), b.column(2).to_pylist(), strict=True):
-                data = h.tobytes()
-                for t in to:
-                    out.append((tuple(t["a"].values()), t["salt"], t["role"], set_id, data))
-                    size += len(data)
-                    if size > 16 << 20:
-                        yield made(out)
-                        out, size = [], 0
-            if out:
-                yield made(out)
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         star, own = None, np.empty(0, np.uint64)
         for b in batches:
             out = []
-            for i, (a, salt, role) in enumerate(zip(map(tuple, _halves(b.column(0)).tolist()), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                h = np.frombuffer(b.column(4)[i].as_buffer(), np.uint64)
+            for i, (a, salt, role, h) in enumerate(zip(map(tuple, _halves(b.column(0)).tolist()), b.column(1).to_pylist(), b.column(2).to_pylist(), shingle_sets(b.column(4), words), strict=True)):
                 if role == 0:
                     star, own = (a, salt), h
                 elif (a, salt) == star:
@@ -425,7 +405,7 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str,
             if out:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(out)), b.column(3).take(pa.array(out))], ["a", "b"])
 
-    sent = rows.select("text", "set_id", "to").mapInArrow(sets, f"a {_SET}, salt int, role int, set_id {_SET}, hashes binary")
+    sent = rows.select("text", "set_id", F.explode("to").alias("to")).select("to.a", "to.salt", "to.role", "set_id", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return sent.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, f"a {_SET}, b {_SET}").distinct()
 
@@ -511,6 +491,18 @@ def nearest_partners(inside: DataFrame, points: DataFrame, similar: int) -> Data
     return best.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "centre", "a", "b").groupBy("x", "y").agg(F.max_by(F.struct("a", "b"), "centre").alias("p")).select("p.a", "p.b")
 
 
+def pairing_parts(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """(key): the parts of rows (key, set_id) that may have pairs of their own, with heads (set_id, heads) the first keys of each set.
+
+    If all sets of a part have the same key, of a lower number, at one place of
+    their heads, unlike_pairs() makes every pair of them in another part.
+    """
+    each = rows.join(if_small(heads), "set_id").select("key", *(F.element_at("heads", i + 1).alias(f"h{i}") for i in range(HEADS)))
+    ends = each.groupBy("key").agg(*(f(f"h{i}").alias(f"{f.__name__}{i}") for i in range(HEADS) for f in (F.min, F.max)))
+    elsewhere = functools.reduce(Column.__or__, ((F.col(f"min{i}") == F.col(f"max{i}")) & (F.col(f"max{i}") < F.col("key")) for i in range(HEADS)))
+    return ends.filter(~elsewhere).select("key")
+
+
 def unlike_pairs(rows: DataFrame, similar: int) -> DataFrame:
     """Pairs (a, b) of unlike components that the trees leave, from rows (key, set_id, label, n_shingles, point, heads, tiles).
 
@@ -582,6 +574,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     removed(placed)
     first_keys = F.slice(F.concat(F.array_sort(F.collect_list("key")), F.array_repeat(F.lit((1 << 63) - 1), HEADS)), 1, HEADS)
     heads = written(mixed.groupBy("set_id").agg(first_keys.alias("heads")), "join-mixed-sets")
+    every, mixed = mixed, written(mixed.join(if_small(written(pairing_parts(mixed, heads), "join-open")), "key"), "join-mixed")
+    removed(every)
+    heads = heads.join(if_small(written(mixed.select("set_id").distinct(), "join-mixed-sets")), "set_id")
     points = sets.join(if_small(heads), "set_id").groupBy("set_id").agg(*(F.first(c).alias(c) for c in ("n_shingles", "point", "heads")))
     points = written(points, "join-points")
     pairs = written(unlike_pairs(mixed.join(if_small(points, POINT_ROWS), "set_id"), similar), "join-pairs")

@@ -10,7 +10,7 @@ import pytest
 from peakloom.llm import shingles as shingles_of
 from peakloom.llm.components import components
 from peakloom.llm import ngramjoin
-from peakloom.llm.ngramjoin import GROUPS, Forest, block_keys, jaccard_components, least_common, point
+from peakloom.llm.ngramjoin import GROUPS, HEADS, Forest, block_keys, jaccard_components, least_common, pairing_parts, point
 
 from .conftest import ODD, prose
 
@@ -133,3 +133,17 @@ def test_points_of_all_widths_come_back():
     for some in (rows, rows[:2], rows[2:4], rows[:1]):
         assert np.array_equal(ngramjoin.unpacked(pa.array([ngramjoin.packed(r) for r in some], pa.binary())), np.stack(some))
     assert [len(ngramjoin.packed(r)) for r in rows] == [128, 128, 256, 256, 1024, 1024, 128]
+
+
+def test_parts_whose_pairs_are_made_elsewhere(spark):
+    """Sets that share an earlier head, at one place, leave no pair to a later part; one set without it does."""
+
+    def kept(rows):
+        frame = spark.createDataFrame([(k, s) for s, keys in rows.items() for k in keys], "key long, set_id long")
+        heads = spark.createDataFrame([(s, (sorted(keys) + [(1 << 63) - 1] * HEADS)[:HEADS]) for s, keys in rows.items()], "set_id long, heads array<long>")
+        return {r.key for r in pairing_parts(frame, heads).collect()}
+
+    assert kept({1: [5, 9], 2: [5, 9], 3: [5, 9]}) == {5}
+    assert kept({1: [5, 9], 2: [5, 9], 3: [5, 9], 4: [9]}) == {5, 9}
+    assert kept({1: [2, 7, 9], 2: [3, 7, 9]}) >= {7} and 9 not in kept({1: [2, 7, 9], 2: [3, 7, 9]})
+    assert kept({1: [-4, 9], 2: [9], 3: [-4, 9]}) >= {9, -4}

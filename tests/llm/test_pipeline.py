@@ -8,6 +8,7 @@ from collections import Counter
 
 import corpus_pipeline as p
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from peakloom.llm.langid import UNDETERMINED
@@ -147,3 +148,19 @@ def test_nothing_left(spark, tmp_path):
 def test_constants():
     assert [name for name, _ in p.STAGES] == ["language_id", "ngram_jaccard_join", "benchmark_decontamination", "source_mixing", "sharding"]
     assert UNDETERMINED == "und" and prose(3, 1) == prose(3, 1)
+
+
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    """A partition of 24 MB came as one batch, which executor and worker held in several copies."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(p, "jaccard_groups", lambda docs, **_: docs.mapInArrow(lambda bs: (pa.record_batch([pa.array([b.nbytes])] * 3, ["doc_id", "text_a", "comp"]) for b in bs), "doc_id long, text_a long, comp long"))
+    monkeypatch.setattr(p, "written", lambda df, label: pytest.fail(f"{max(r.comp for r in df.collect())}"))
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id as doc_id", "repeat('abcdefghij', 600) as text")
+    spark.conf.unset(bound)
+    with pytest.raises(pytest.fail.Exception) as most:
+        p.ngram_jaccard_join(spark, docs, "")
+    assert 1 << 20 < int(str(most.value)) < 5 << 20
+    spark.conf.set(bound, "9m")  # what a session was given stays
+    p.small_batches(spark)
+    assert spark.conf.get(bound) == "9m"
+    spark.conf.unset(bound)
