@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import if_small, removed, written
@@ -111,9 +111,41 @@ def block_keys(hashes: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
-def point(hashes: np.ndarray) -> np.ndarray:
-    """How many shingles of a set fall into each group."""
-    return np.bincount((hashes >> np.uint64(65 - GROUPS.bit_length())).astype(np.int64), minlength=GROUPS)
+def point(hashes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """How many shingles of a set fall into each group; of half as many groups, each has two neighbours' shingles."""
+    return np.bincount((hashes >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+
+
+def fine_point(hashes: np.ndarray) -> bytes:
+    """A point with one or two shingles a group, GROUPS groups at least, behind the number of groups and of shingles.
+
+    Over GROUPS groups any two sets of some thousand shingles look alike.
+    """
+    groups = max(GROUPS, 1 << (len(hashes) // 2 - 1).bit_length())
+    return np.array([groups, len(hashes)], np.int64).tobytes() + packed(point(hashes, groups))
+
+
+def fine_counts(data: bytes) -> tuple[int, np.ndarray]:
+    """Size and counts of a fine_point()."""
+    groups, size = np.frombuffer(data, np.int64, 2).tolist()
+    flat = np.frombuffer(data, np.uint8, offset=16)
+    if len(flat) == groups // 2:
+        return size, np.stack([flat & 15, flat >> 4], axis=1).ravel().astype(np.int64)
+    return size, (flat if len(flat) == groups else flat.view(np.uint32)).astype(np.int64)
+
+
+def may_link(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray], similar: int = SIMILAR) -> bool:
+    """Whether the summed minima of two points, over the groups of the coarser one, reach the overlap that the sets need."""
+    groups = min(len(a[1]), len(b[1]))
+    x, y = (counts.reshape(groups, -1).sum(1) for _, counts in (a, b))
+    return int(np.minimum(x, y).sum()) >= least_common(a[0] + b[0], similar)
+
+
+def do_link(a: np.ndarray, b: np.ndarray, similar: int = SIMILAR) -> bool:
+    """Whether two sets (sorted hashes) link."""
+    both = np.sort(np.concatenate([a, b]))
+    common = int((both[1:] == both[:-1]).sum())
+    return common * 100 >= similar * (len(a) + len(b) - common)
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -348,14 +380,20 @@ def _members(sets: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
     """(key, set_id, n_shingles, point): keys of sets, less most of those that only one set has.
 
     The point is there for the HEADS smallest keys of a set, which like sets
-    mostly have in common; their parts of the index are searched first.
+    mostly have in common; their parts of the index are searched first. A task
+    sends a set's keys once, however many copies of it there are.
     """
     found, bits = _key_filter(shared)
     known = sets.sparkSession.sparkContext.broadcast(found)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones = known.value
+        ones, seen = known.value, set()
         for b in _slices(batches):
+            before = len(seen)
+            new = [i for i, s in enumerate(map(tuple, _halves(b.column(0)).tolist())) if s not in seen and not seen.add(s)]
+            if len(seen) == before:
+                continue
+            b = b.take(pa.array(new))
             row, key = _block_keys(b.column(3), buckets)
             keep = np.ones(len(key), bool)
             for place in _places(key, bits):
@@ -371,13 +409,21 @@ def _members(sets: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
     return rows.mapInArrow(task, f"key long, set_id {_SET}, n_shingles long, point binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
-    """Of distinct pairs (a, b) of set ids, those whose sets link, compared exactly.
+def shared_parts(members: DataFrame) -> DataFrame:
+    """(key, set_id, head, n) of the parts with several sets, n of them; head: whether the key is one of the set's first.
+
+    Rows travel once, by key: copies of a row, sets of a part and single sets are all found where they arrive.
+    """
+    rows = members.select("key", "set_id", F.col("point").isNotNull().alias("head")).repartition("key")
+    once = rows.groupBy("key", "set_id").agg(F.max("head").alias("head"))
+    return once.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+
 
-    Only texts in some pair are shingled again. Texts, which are shorter than
-    their shingles' hashes, travel to their partner a, whose own text is
-    repeated for every STAR_ROWS partners, so a set in very many pairs is spread
-    over tasks.
+def _paired_texts(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(set_id, to, text) of each set in some of the distinct pairs (a, b): `to` are the places (a, salt, role) where it is compared.
+
+    A set b (role 1) goes to its partner a, which is there itself (role 0) for
+    every STAR_ROWS partners, so a set in very many pairs is spread over tasks.
     """
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(STAR_ROWS)).cast("int").alias("salts"))
     roles = (
@@ -390,26 +436,52 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str,
     wanted = written(roles.join(classes, "set_id").select("set_id", "first", "to"), "join-wanted")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_a"), F.col(text_col).alias("text"))
     rows = rows.join(if_small(wanted, items="to"), F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_a") == F.col("first.text_a")))
+    return rows.select("set_id", "to", "text")
+
+
+def _compared(rows: DataFrame, values, kept) -> DataFrame:
+    """Pairs (a, b) of rows (set_id, to, data) of which `kept` says so, given what `values` makes of both data."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        star, own = None, np.empty(0, np.uint64)
+        star, own = None, None
         for b in batches:
             out = []
-            for i, (a, salt, role, h) in enumerate(zip(map(tuple, _halves(b.column(0)).tolist()), b.column(1).to_pylist(), b.column(2).to_pylist(), shingle_sets(b.column(4), words), strict=True)):
+            for i, (a, salt, role, value) in enumerate(zip(map(tuple, _halves(b.column(0)).tolist()), b.column(1).to_pylist(), b.column(2).to_pylist(), values(b.column(4)), strict=True)):
                 if role == 0:
-                    star, own = (a, salt), h
-                elif (a, salt) == star:
-                    both = np.sort(np.concatenate([own, h]))
-                    common = int((both[1:] == both[:-1]).sum())
-                    if common * 100 >= similar * (len(own) + len(h) - common):
-                        out.append(i)
+                    star, own = (a, salt), value
+                elif (a, salt) == star and kept(own, value):
+                    out.append(i)
             if out:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(out)), b.column(3).take(pa.array(out))], ["a", "b"])
 
-    sent = rows.select("text", "set_id", F.explode("to").alias("to")).select("to.a", "to.salt", "to.role", "set_id", "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = rows.select("data", "set_id", F.explode("to").alias("to")).select("to.a", "to.salt", "to.role", "set_id", "data")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return sent.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, f"a {_SET}, b {_SET}").distinct()
 
 
+def likely(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """Of distinct pairs (a, b) of set ids, those that their fine points leave, which are a tenth or less of their texts."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fine = pa.array([fine_point(h) for h in shingle_sets(b.column(2), words)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fine], ["set_id", "to", "data"])
+
+    rows = _paired_texts(docs, pairs, classes, id_col, text_col)
+    rows = rows.mapInArrow(task, f"set_id {_SET}, to array<struct<a: {_SET}, salt: int, role: int>>, data binary")
+    return _compared(rows, lambda column: map(fine_counts, column.to_pylist()), functools.partial(may_link, similar=similar))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """Of distinct pairs (a, b) of set ids, those whose sets link, compared exactly.
+
+    Only texts in some pair are shingled again, where they are compared: they
+    are shorter than their shingles' hashes.
+    """
+    rows = _paired_texts(docs, pairs, classes, id_col, text_col).withColumnRenamed("text", "data")
+    return _compared(rows, functools.partial(shingle_sets, words=words), functools.partial(do_link, similar=similar))
+
+
 def _tree_pairs(rows: DataFrame, part: list[str], found, schema: str, similar: int) -> DataFrame:
     """What `found` makes of the self-join of each part's tree: of (first columns of part, set ids, sizes, i, j, bounds, extra).
 
@@ -543,7 +615,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Round one takes each set's nearest partner and its centre by the trees of
     its first keys; what then lies in one component needs no more. Round two
-    joins the trees of all other parts that hold unlike components.
+    joins the trees of all other parts that hold unlike components; few of its
+    pairs link, so their fine points are compared before their texts.
     """
     sets = written(document_sets(docs, id_col, text_col, words, similar), "join-sets")
     classes = written(sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_a")).alias("first")), "join-classes")
@@ -553,11 +626,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = written(_members(sets, shared, buckets), "join-members")
     keyed, sets = sets, written(sets.drop("keys"), "join-sets")
     removed(keyed)
-    inside = members.groupBy("key", "set_id").agg(F.max(F.col("point").isNotNull()).alias("head"))
-    inside = written(inside, "join-inside")
-    several = inside.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    every, inside = inside, written(inside.join(if_small(written(several, "join-parts")), "key"), "join-inside")
-    removed(every)
+    inside = written(shared_parts(members), "join-inside")
     points = members.filter("point is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point"))
     points = written(points, "join-points")
     removed(members)
@@ -581,6 +650,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     points = written(points, "join-points")
     pairs = written(unlike_pairs(mixed.join(if_small(points, POINT_ROWS), "set_id"), similar), "join-pairs")
     removed(mixed)
+    pairs = written(likely(docs, pairs, classes, id_col, text_col, words, similar), "join-likely")
     more = written(verified(docs, pairs, classes, id_col, text_col, words, similar), "join-links")
     comps = written(components(edges.unionByName(more)), "join-comps")
     return sets.select("doc_id", "text_a", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id")).join(

@@ -147,3 +147,53 @@ def test_parts_whose_pairs_are_made_elsewhere(spark):
     assert kept({1: [5, 9], 2: [5, 9], 3: [5, 9], 4: [9]}) == {5, 9}
     assert kept({1: [2, 7, 9], 2: [3, 7, 9]}) >= {7} and 9 not in kept({1: [2, 7, 9], 2: [3, 7, 9]})
     assert kept({1: [-4, 9], 2: [9], 3: [-4, 9]}) >= {9, -4}
+
+
+def test_fine_points_bound_the_overlap_of_long_texts():
+    """Unlike sets of thousands pass over GROUPS groups, which sent their whole texts; over fine ones they don't, and no link is lost."""
+    rng = np.random.default_rng(12)
+    for n in (1, 3, 300, 900, 3000, 9000):
+        base = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        for share in (0.0, 0.5, 0.8, 0.9, 0.95, 1.0):
+            other = np.unique(np.concatenate([base[rng.random(len(base)) < share], rng.integers(0, 1 << 63, round(n * (1 - share)), np.uint64)]))
+            if not len(other):
+                continue
+            a, b = (ngramjoin.fine_counts(ngramjoin.fine_point(h)) for h in (base, other))
+            assert (a[0], b[0]) == (len(base), len(other)) and (a[1].sum(), b[1].sum()) == (a[0], b[0])
+            groups = min(len(a[1]), len(b[1]))
+            bound = np.minimum(*(c.reshape(groups, -1).sum(1) for _, c in (a, b))).sum()
+            assert bound >= len(np.intersect1d(base, other))
+            assert ngramjoin.may_link(a, b, 80) >= ngramjoin.do_link(base, other, 80)
+            if n == 9000 and share <= 0.5:
+                assert np.minimum(point(base), point(other)).sum() >= least_common(len(base) + len(other), 80)
+                assert not ngramjoin.may_link(a, b, 80)
+    crowded = np.arange(40_000, dtype=np.uint64)  # all in one group: four bytes a coordinate
+    assert ngramjoin.fine_counts(ngramjoin.fine_point(crowded))[1].tolist()[:2] == [40_000, 0]
+    assert ngramjoin.may_link(*[ngramjoin.fine_counts(ngramjoin.fine_point(h)) for h in (crowded, crowded[:35_000])])
+
+
+def test_of_pairs_of_long_texts_only_likely_ones_are_compared_whole(docs_of, monkeypatch):
+    """Of a star with more partners than STAR_ROWS, the one that links comes through, and so does a copy under another id."""
+    monkeypatch.setattr(ngramjoin, "STAR_ROWS", 2)
+    words = prose(6000, 50).split()
+    texts = [" ".join(words), " ".join([*words[:5900], *prose(100, 51).split()]), *(" ".join([*words[:2000], *prose(4000, 60 + i).split()]) for i in range(4)), " ".join(words)]
+    docs = docs_of([(i, t) for i, t in enumerate(texts)])
+    sets = ngramjoin.document_sets(docs, "doc_id", "text")
+    classes = sets.groupBy("set_id").agg(ngramjoin.F.min(ngramjoin.F.struct("doc_id", "text_a")).alias("first"))
+    names = {r.set_id: r.first.doc_id for r in classes.collect()}
+    star = next(k for k, v in names.items() if v == 0)
+    pairs = docs.sparkSession.createDataFrame([(star, s) for s in names if s != star], f"a {ngramjoin._SET}, b {ngramjoin._SET}")
+    assert pairs.count() == 5
+    left = ngramjoin.likely(docs, pairs, classes, "doc_id", "text")
+    assert [(names[r.a], names[r.b]) for r in left.collect()] == [(0, 1)]
+    whole = [(names[r.a], names[r.b]) for r in ngramjoin.verified(docs, pairs, classes, "doc_id", "text").collect()]
+    assert whole == [(0, 1)] == [(0, i) for i in range(1, 6) if 100 * len(shingles(texts[0]) & shingles(texts[i])) >= 85 * len(shingles(texts[0]) | shingles(texts[i]))]
+
+
+def test_rows_of_the_keys_travel_once(spark):
+    """Copies, single sets and sizes of parts are told apart behind one shuffle; it took three, which grew faster than the input."""
+    rows = [(5, (1, 1), 9, b"p"), (5, (1, 1), 9, None), (5, (2, 2), 9, None), (6, (1, 1), 9, b"p"), (6, (1, 1), 9, b"p"), (7, (3, 3), 9, None), (-1, (2, 2), 9, b"p"), (-1, (3, 3), 9, b"p"), (-1, (4, 4), 9, None)]
+    found = ngramjoin.shared_parts(spark.createDataFrame(rows, f"key long, set_id {ngramjoin._SET}, n_shingles long, point binary"))
+    assert sorted((r.key, r.set_id.hi, r["head"], r.n) for r in found.collect()) == [(-1, 2, True, 3), (-1, 3, True, 3), (-1, 4, False, 3), (5, 1, True, 2), (5, 2, False, 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange ", plan.split("Initial Plan")[-1])) == 1 and "Join" not in plan
