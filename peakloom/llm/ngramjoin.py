@@ -45,8 +45,8 @@ FOREST = 1 << 12
 SLICE = 1 << 10
 #: Keys of a set whose parts are searched first.
 HEADS = 4
-#: Bytes of a key, and keys that are counted together.
-KEY_BYTES, BUCKET_KEYS = 6, 1 << 21
+#: Bytes of a key, keys that are counted together, and keys that a task brings in order at once (some 100 bytes of memory each).
+KEY_BYTES, BUCKET_KEYS, SEND_KEYS = 6, 1 << 21, 1 << 18
 #: Bits of the filter of shared keys for each of them, and of the whole filter at most; a fuller one lets more rows through.
 FILTER_SHARE, FILTER_MOST = 12, 28
 #: Points (some 200 bytes each, with what goes along) that are broadcast together.
@@ -293,9 +293,9 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared_keys(sets: DataFrame, buckets: int) -> DataFrame:
     """(key): all keys that more than one set has.
 
-    Tasks send a bucket's keys as packed pairs of 32 bits of the key and of a
-    hash of set and key, so that two sets do not look like one in all of their
-    keys; of a key with several sets in a task, once, marked as shared (0). So a
+    Tasks send a bucket's keys as numbers of 32 bits of the key and of a hash of
+    set and key, so that two sets do not look like one in all of their keys; of
+    a key with several sets among SEND_KEYS, once, marked as shared (0). So a
     bucket holds about BUCKET_KEYS of them, whatever sets are alike.
     """
 
@@ -304,7 +304,7 @@ def _shared_keys(sets: DataFrame, buckets: int) -> DataFrame:
             key, of = (np.concatenate(v) for v in zip(*held, strict=True))
             key, of = _once(key, of)
             starts = np.flatnonzero(np.concatenate([[True], key[1:] >> np.uint64(32) != key[:-1] >> np.uint64(32)]))
-            pair = np.stack([(key & np.uint64(0xFFFFFFFF)).astype(np.uint32), of], axis=1)
+            pair = key << np.uint64(32) | of
             return pa.RecordBatch.from_arrays(
                 [pa.array((key[starts] >> np.uint64(32)).astype(np.int64)), pa.array([x.tobytes() for x in np.split(pair, starts[1:])], pa.binary())], ["bucket", "pairs"]
             )
@@ -316,7 +316,7 @@ def _shared_keys(sets: DataFrame, buckets: int) -> DataFrame:
                 tag = mix(_halves(b.column(0))[:, 0].view(np.uint64)[row] ^ key) >> np.uint64(32)
                 held.append((key, np.maximum(tag, np.uint64(1)).astype(np.uint32)))
                 count += len(key)
-            if count >= BUCKET_KEYS:
+            if count >= SEND_KEYS:
                 yield flush()
                 held, count = [], 0
         if held:
@@ -324,9 +324,11 @@ def _shared_keys(sets: DataFrame, buckets: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(bucket: int, packed_pairs: list[bytes]) -> pa.RecordBatch:
-            pair = np.frombuffer(b"".join(packed_pairs), np.uint32).reshape(-1, 2)
-            key, of = _once(pair[:, 0].astype(np.uint64), pair[:, 1])
-            return pa.RecordBatch.from_arrays([pa.array((key[of == 0] | np.uint64(bucket << 32)).view(np.int64))], ["key"])
+            pair = np.sort(np.frombuffer(b"".join(packed_pairs), np.uint64))
+            first = np.append(True, pair[1:] >> np.uint64(32) != pair[:-1] >> np.uint64(32))
+            least, most = pair[first], pair[np.append(first[1:], True)]
+            key = least[(least != most) | (least & np.uint64(0xFFFFFFFF) == 0)] >> np.uint64(32)
+            return pa.RecordBatch.from_arrays([pa.array((key | np.uint64(bucket << 32)).view(np.int64))], ["key"])
 
         at, held = None, []
         for b in batches:

@@ -197,3 +197,20 @@ def test_rows_of_the_keys_travel_once(spark):
     assert sorted((r.key, r.set_id.hi, r["head"], r.n) for r in found.collect()) == [(-1, 2, True, 3), (-1, 3, True, 3), (-1, 4, False, 3), (5, 1, True, 2), (5, 2, False, 2)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"\bExchange ", plan.split("Initial Plan")[-1])) == 1 and "Join" not in plan
+
+
+def test_keys_are_sent_in_bounded_memory(spark, monkeypatch):
+    """The keys that sets share are those of a plain count, however few keys are brought in order at once; two million at once took some 200 MB of each worker."""
+    assert ngramjoin.SEND_KEYS <= ngramjoin.BUCKET_KEYS // 8
+    rng = np.random.default_rng(3)
+    keys = [rng.integers(0, 600, 40, np.uint64) for _ in range(12)]
+    rows = [((i + 1, i), 40, bytearray(k.view(np.uint8).reshape(-1, 8)[:, : ngramjoin.KEY_BYTES].tobytes())) for i, k in enumerate(keys)] + [((1, 0), 40, bytearray(keys[0].view(np.uint8).reshape(-1, 8)[:, : ngramjoin.KEY_BYTES].tobytes()))]
+    sets = spark.createDataFrame(rows, f"set_id {ngramjoin._SET}, n_shingles long, keys binary").repartition(2)
+    number = np.concatenate([np.unique(k) for k in keys])
+    values, counts = np.unique(number, return_counts=True)
+    for buckets in (1, 5):
+        wanted = sorted(int(v) % buckets << 32 | int(v) // buckets for v in values[counts > 1])
+        for most in (1, 90, 1 << 18):
+            monkeypatch.setattr(ngramjoin, "SEND_KEYS", most)
+            monkeypatch.setattr(ngramjoin, "SLICE", 1 if most == 1 else 1 << 10)
+            assert sorted(r.key for r in ngramjoin._shared_keys(sets, buckets).collect()) == wanted
