@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cli, sql
@@ -82,6 +82,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _rounded(value: Column, digits: int) -> Column:
+    """round() as the SQL has it: halves of the product with a power of ten go away from zero. Spark's own takes halves of the shortest decimal."""
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def _psm(spark, sf_dir) -> DataFrame:
     return fx.view(spark, sf_dir, fx.PSM)
 
@@ -180,7 +185,7 @@ select cluster_accession, round(mz, 9) as mz, intensity from ranged where intens
 def _averaged(spark, sf_dir, **options) -> DataFrame:
     consensus, _ = AverageSpectrumStrategy(**options).consensus_spectrum_aggregation(fx.spectra(spark, sf_dir))
     peaks = F.inline(F.arrays_zip(F.col("mz_array").alias("mz"), F.col("intensity_array").alias("intensity")))
-    return consensus.select("cluster_accession", peaks).toDF("cluster_accession", "mz", "intensity").withColumn("mz", F.round("mz", 9))
+    return consensus.select("cluster_accession", peaks).toDF("cluster_accession", "mz", "intensity").withColumn("mz", _rounded(F.col("mz"), 9))
 
 
 @query(_AVERAGED.format(segments=_SEGMENTS, mz="sum(mz * intensity) / sum(intensity)"))
