@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import cli, sql
@@ -432,6 +432,16 @@ def _blocks_in(spark, folder: str, kind: str) -> DataFrame:
     return found.select(path.alias("path"), F.regexp_replace("value", r"\n$", "").alias("block"))
 
 
+def _blocks_in_order(spark, file: str) -> DataFrame:
+    """(block, place) of one file, place from 0. Parts of the file are many tasks' work; only their counts are summed up in one place."""
+    found = spark.read.option("lineSep", "\n\n").text(file)
+    found = found.select(F.col("value").alias("block"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("id"))
+    counts = found.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = F.broadcast(counts.select("part", "low", before.alias("before")))
+    return found.join(parts, "part").select("block", (F.col("before") + F.col("id") - F.col("low")).alias("place"))
+
+
 @query(f"{_MGF_TEXT} select mgf_path, block from blocks")
 def mgf_files(spark, sf_dir):
     """Spectra through the MGF sink and back from the files' text."""
@@ -553,8 +563,8 @@ def mgf_file_order(spark, sf_dir):
 select split_part(usi, ':', -1) as name, replace(usi, 'PXD000001', 'part') as usi, row_number() over (order by single, c, usi) - 1 as place from placed""")
 def msp_file_order(spark, sf_dir):
     """A library of one file: consensus spectra by cluster, then single ones, as their names and UUIDs stand in its text."""
-    found = spark.read.text(f"{_library(spark, sf_dir, '--files', '1')}/all.msp", wholetext=True)
-    heads = found.select(F.posexplode(F.regexp_extract_all("value", F.lit(r"Name: ([^\n]*\n[^\n]*\nComment: clusterID=[0-9a-f-]*)"), 1)).alias("place", "head"))
-    heads = heads.select(F.col("place").cast("long").alias("place"), F.split_part("head", F.lit("\n"), F.lit(1)).alias("name"), F.split_part("head", F.lit("clusterID="), F.lit(2)).alias("uuid"))
+    blocks = _blocks_in_order(spark, f"{_library(spark, sf_dir, '--files', '1')}/all.msp")
+    head = F.regexp_extract("block", r"Name: ([^\n]*\n[^\n]*\nComment: clusterID=[0-9a-f-]*)", 1)
+    heads = blocks.select("place", F.split_part(head, F.lit("\n"), F.lit(1)).alias("name"), F.split_part(head, F.lit("clusterID="), F.lit(2)).alias("uuid"))
     known = _psm(spark, sf_dir).select(F.regexp_replace("usi", "PXD000001", "part").alias("usi"))
     return heads.join(known.withColumn("uuid", text.cluster_uuid(F.col("usi"))), "uuid").select("name", "usi", "place")
