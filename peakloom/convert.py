@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators.layout import BUCKETS, CAPACITY, attach_samples, join_clusters, keep_placed, kept_spectra, place_in_files
 from .plans import strategy
-from .session import removed, ship_package, written
+from .session import removed, ship_package
 from .sources.sinks import write_blocks
 from .sources.spectra import find_sample_sheet, read_assignments, read_samples, read_spectra, with_usi
 
 #: Files that a library is dealt to.
 FILES = 8
+#: What of assigned spectra goes on to strategies.
+CLUSTERED = ("cluster_accession", "rank", "usi", "pepmass", "charge", "mz_array", "intensity_array", "posterior_error_probability", "global_qvalue")
 
 
 def mgf_blocks(placed: DataFrame) -> DataFrame:
@@ -57,7 +59,7 @@ def clustered(spark: SparkSession, path_parquet: str, path_sdrf: str, path_clust
     placed = placed.withColumnRenamed("exp_mass_to_charge", "pepmass")
     missing = F.raise_error(F.concat(F.lit("no spectrum at "), "mgf_path", F.lit(" "), F.col("mgf_order").cast("string"))).cast("string")
     joined = join_clusters(read_assignments(spark, path_cluster_tsv), placed.withColumn("found", F.lit(True)))
-    return joined.withColumn("usi", F.when(F.col("found").isNull(), missing).otherwise(F.col("usi"))).drop("found")
+    return joined.withColumn("usi", F.when(F.col("found").isNull(), missing).otherwise(F.col("usi"))).select(*CLUSTERED)
 
 
 def msp(spark: SparkSession, path_parquet: str, path_sdrf: str, path_cluster_tsv: str, output: str, strategy_type: str = "best", mode: str = "append", files: int = FILES, spectra_capacity: int = CAPACITY, kept: str | None = None, **options) -> None:
@@ -67,7 +69,7 @@ def msp(spark: SparkSession, path_parquet: str, path_sdrf: str, path_cluster_tsv
     """
     chosen = strategy(strategy_type, **options)
     ship_package(spark)
-    clusters = written(clustered(spark, path_parquet, path_sdrf, path_cluster_tsv, spectra_capacity, kept), "clustered")
+    clusters = clustered(spark, path_parquet, path_sdrf, path_cluster_tsv, spectra_capacity, kept)
     consensus, single = chosen.consensus_spectrum_aggregation(clusters)
     folder, _, name = output.rpartition("/")
     part = (F.pmod(F.xxhash64("cluster_accession"), F.lit(files)) + 1).cast("string")
@@ -75,4 +77,3 @@ def msp(spark: SparkSession, path_parquet: str, path_sdrf: str, path_cluster_tsv
     blocks = msp_blocks(consensus.unionByName(single), strategy_type).withColumn("file_path", path)
     write_blocks(blocks, folder or ".", "msp", mode, ("is_singleton", "cluster_accession", "usi"))
     removed(single)  # the routed rows, which both were read from
-    removed(clusters)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.peaks import PROTON, neutral_mass, peaks
-from .common import Strategy, clusters_of, mean, with_peaks
+from ..functions.averaging import averaged_peaks, cut_peaks
+from ..functions.peaks import PROTON, neutral_mass
+from .common import Strategy, clusters_of, mean
 
 PRECURSORS = ("naive_average", "neutral_average", "lower_median")
 AVERAGES = ("naive", "weighted")
@@ -19,30 +20,19 @@ class AverageSpectrumStrategy(Strategy):
         for value, known in ((pepmass, PRECURSORS), (msms_avg, AVERAGES)):
             if value not in known:
                 raise ValueError(f"{value!r} is none of {', '.join(known)}")
+        if not dyn_range:
+            raise ValueError("dyn_range must not be 0")
         self.gap, self.range, self.fraction = float(diff_thresh), float(dyn_range), float(min_fraction)
         self.pepmass, self.msms_avg, self.merge_tail = pepmass, msms_avg, merge_tail
 
     def segments(self, rows: DataFrame) -> DataFrame:
         """(cluster_accession, segment, mz, intensity) for every peak of a cluster's spectra. Without a gap all is segment 0."""
-        spectrum = clusters_of(rows).select("cluster_accession", F.explode("spectra").alias("s"))
-        peak = spectrum.select("cluster_accession", F.explode(peaks(F.col("s.mz_array"), F.col("s.intensity_array"))).alias("p")).select("cluster_accession", "p.mz", "p.intensity")
-        w = Window.partitionBy("cluster_accession").orderBy("mz", "intensity")
-        opens = F.coalesce((F.col("mz") - F.lag("mz").over(w) >= self.gap).cast("int"), F.lit(0))
-        cut = peak.withColumn("opens", opens).withColumn("segment", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
-        last = F.max("segment").over(Window.partitionBy("cluster_accession"))
-        tail = (F.col("segment") == last) & (last >= 2) & F.lit(self.merge_tail)
-        return cut.withColumn("segment", F.when(tail, F.col("segment") - 1).otherwise(F.col("segment")))
+        cut = cut_peaks(F.col("spectra"), self.gap, self.merge_tail)
+        return clusters_of(rows).select("cluster_accession", F.inline(cut)).select("cluster_accession", "mz", "intensity", "segment")
 
-    def consensus_peaks(self, rows: DataFrame) -> DataFrame:
-        """(cluster_accession, mz, intensity) of segments with enough peaks and within the dynamic range. A segment without intensity has a null m/z."""
-        sizes = clusters_of(rows).select("cluster_accession", F.size("spectra").alias("k"))
-        weighted = F.sum(F.col("mz") * F.col("intensity")) / F.nullif(F.sum("intensity"), F.lit(0.0))
-        found = self.segments(rows).groupBy("cluster_accession", "segment").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("intensity").alias("total"), (weighted if self.msms_avg == "weighted" else F.avg("mz")).alias("mz")
-        )
-        kept = found.join(sizes, "cluster_accession").filter(F.col("n") >= F.col("k") * self.fraction).withColumn("intensity", F.col("total") / F.col("k"))
-        most = F.max("intensity").over(Window.partitionBy("cluster_accession"))
-        return kept.withColumn("most", most).filter(F.col("intensity") >= F.col("most") / self.range).select("cluster_accession", "mz", "intensity")
+    def averaged(self) -> Column:
+        """mz_array and intensity_array of a cluster's segments with enough peaks and within the dynamic range. A segment without intensity has a null m/z."""
+        return averaged_peaks(F.col("spectra"), self.gap, self.fraction, self.range, self.msms_avg == "weighted", self.merge_tail)
 
     def precursor(self) -> tuple[Column, Column]:
         """Precursor m/z and charge from a cluster's spectra, in the chosen way."""
@@ -64,4 +54,7 @@ class AverageSpectrumStrategy(Strategy):
         return clusters_of(rows).select("cluster_accession", "Nreps", "posterior_error_probability", "usi", pepmass.alias("pepmass"), charge.alias("charge"))
 
     def consensus(self, rows: DataFrame) -> DataFrame:
-        return with_peaks(self.precursors(rows), self.consensus_peaks(rows))
+        """Header and peaks of a cluster from one row: one shuffle, and no row for a peak."""
+        pepmass, charge = self.precursor()
+        clusters = clusters_of(rows).withColumns({"pepmass": pepmass, "charge": charge, "averaged": self.averaged()})
+        return clusters.withColumns({c: F.col("averaged")[c] for c in ("mz_array", "intensity_array")}).drop("spectra", "averaged")

@@ -500,8 +500,8 @@ def _library(spark, sf_dir, *given: str) -> str:
     placed = kept_spectra(spark, kept).select(F.col("scan_number").cast("long").alias("scan_number"), "mgf_path", "mgf_order")
     made = _blocks_in(spark, f"{folder}/mgf_output", "mgf").select(F.col("path").alias("made_path"), titles.alias("scan_number"))
     assigned = placed.join(made, "scan_number").filter("made_path = mgf_path").join(_psm(spark, sf_dir).select("scan_number", "cluster_accession"), "scan_number")
-    lines = assigned.select("mgf_path", "mgf_order", F.col("cluster_accession").cast("string").alias("cluster"))
-    lines.unionByName(lines.withColumn("cluster", F.lit(None).cast("string"))).write.option("sep", "\t").csv(f"{folder}/clusters")
+    both = F.explode(F.array(F.col("cluster_accession").cast("string"), F.lit(None).cast("string")))
+    assigned.select("mgf_path", "mgf_order", both.alias("cluster")).write.option("sep", "\t").csv(f"{folder}/clusters")
     paths = ["--path_parquet", f"{folder}/parquet_files", "--path_sdrf", f"{folder}/samples.sdrf.tsv", "--path_cluster_tsv", f"{folder}/clusters"]
     cli.main(["msp", *paths, "--output", f"{folder}/library/all.msp", "-c", "100", *given])
     return f"{folder}/library"
